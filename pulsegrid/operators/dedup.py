@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from datetime import date
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -28,6 +29,12 @@ def dedup_first(
     return first.select(*key_cols, *[F.col("_row")[c].alias(c) for c in rest]).select(*rows.columns)
 
 
+def distinct_dates(batch: DataFrame, date_col: str = "event_date") -> list[date] | None:
+    """The dates of a batch, or None when there are more than ``PRUNE_DATES``."""
+    dates = [r[0] for r in batch.select(date_col).distinct().limit(PRUNE_DATES + 1).collect()]
+    return dates if len(dates) <= PRUNE_DATES else None
+
+
 def prune_dates(target: DataFrame, batch: DataFrame, date_col: str = "event_date") -> DataFrame:
     """The partitions of ``target`` that a batch can touch, as literal predicates.
 
@@ -35,8 +42,8 @@ def prune_dates(target: DataFrame, batch: DataFrame, date_col: str = "event_date
     with more dates than ``PRUNE_DATES`` is cut to its first and last date,
     which is a superset.
     """
-    dates = [r[0] for r in batch.select(date_col).distinct().limit(PRUNE_DATES + 1).collect()]
-    if len(dates) <= PRUNE_DATES:
+    dates = distinct_dates(batch, date_col)
+    if dates is not None:
         return target.filter(F.col(date_col).isin(dates)) if dates else target.filter(F.lit(False))
     low, high = batch.agg(F.min(date_col), F.max(date_col)).first()
     return target.filter(F.col(date_col).between(low, high))

@@ -76,10 +76,11 @@ def by_metric(
     start: datetime | None = None,
     end: datetime | None = None,
 ) -> DataFrame:
-    """Rows of one metric, oldest first; the name is a column or a field of ``data``."""
+    """Rows of one metric (of one device or of all), oldest first; the name is a
+    column or a field of ``data``."""
     rows = of_gpu(telemetry, gpu_id) if gpu_id is not None else telemetry
     name = F.col("metric_name") if "metric_name" in rows.columns else json_field("data", "metric_name")
-    return in_range(rows, start, end).filter(name == metric_name).orderBy("timestamp")
+    return in_range(rows, start, end).filter(name == metric_name).orderBy("timestamp", "gpu_id")
 
 
 def expand_data(telemetry: DataFrame) -> DataFrame:

@@ -28,7 +28,7 @@ from pulsegrid.operators import compaction, dedup, log, numbering, records, rout
 from pulsegrid.plans.ingest import collect_batch, publish_csv, publish_records
 from pulsegrid.plans.response import telemetry_of_all
 from pulsegrid.schema import METRIC_COLUMNS, TopicSpec, topic_partitions
-from pulsegrid.session import prepare_session, work_folder
+from pulsegrid.session import local_rows, pin_small, prepare_session, work_folder
 from pulsegrid.sources.csv_records import read_csv_records, read_metric_rows, stream_csv_records
 from pulsegrid.sources.message_log import MessageLog
 from pulsegrid.sources.telemetry_table import TelemetryTable
@@ -154,7 +154,7 @@ class EventLog:
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.messages = event_log(spark, sf_dir)
-        self.ends = log.partition_ends(self.messages)
+        self.ends = pin_small(log.partition_ends(self.messages))
         self.bases = event_bases(self.ends)
         self.commits = event_commits(self.ends)
         self.extents = log.partition_extents(self.ends, partitions(spark), self.bases)
@@ -429,9 +429,9 @@ def append_after_tail(spark, sf_dir):
 
 
 def limited(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    ends = log.partition_ends(event_log(spark, sf_dir))
-    room = ends.select(*log.KEYS, tenths(4).alias("capacity"))
-    return numbering.apply_capacity(event_log(spark, sf_dir), room)
+    messages = event_log(spark, sf_dir)
+    room = log.partition_ends(messages).select(*log.KEYS, tenths(4).alias("capacity"))
+    return numbering.apply_capacity(messages, room)
 
 
 @query
@@ -510,7 +510,9 @@ def offset_watermark(spark, sf_dir):
 @query
 def registered_watermark(spark, sf_dir):
     e = EventLog(spark, sf_dir)
-    groups = spark.createDataFrame([("telemetry", "late"), ("alerts", "slow")], "topic string, group string")
+    groups = local_rows(
+        spark, [("telemetry", "late"), ("alerts", "slow")], T.StructType.fromDDL("topic string, group string")
+    )
     return log.offset_watermark(e.commits, e.extents, groups).select("topic", "partition", "watermark")
 
 

@@ -13,7 +13,7 @@ from pulsegrid.operators import log
 from pulsegrid.operators.records import restamp, to_message
 from pulsegrid.operators.routing import Router
 from pulsegrid.operators.validate import rejects, to_telemetry, validate_messages
-from pulsegrid.session import BATCH_STORAGE
+from pulsegrid.session import BATCH_STORAGE, pin_small
 from pulsegrid.sources.csv_records import ARRIVAL, read_csv_records
 from pulsegrid.sources.message_log import MessageLog, Published
 from pulsegrid.sources.telemetry_table import TelemetryTable
@@ -91,8 +91,7 @@ def ingest_messages(
         if not isinstance(sink, TelemetryTable):
             sink(rows, batch_id)
             return Collected(batch_id, polled, rejected, None, None)
-        sink.insert(rows, LOG_ORDER, batch_id, clustered=clustered)
-        inserted = sink.batch(batch_id).count()
+        inserted = sink.insert(rows, LOG_ORDER, batch_id, clustered=clustered).count()
         return Collected(batch_id, polled, rejected, inserted, polled - rejected - inserted)
     finally:
         kept.unpersist()
@@ -114,9 +113,8 @@ def collect_batch(
     """
     if batch_id is None:
         batch_id = sink.next_batch_id() if isinstance(sink, TelemetryTable) else 0
-    positions = log.consume_positions(log_store.commits(), log_store.extents(), topic, group, batch)
-    # One row per partition of the topic.
-    reached = log_store.spark.createDataFrame(positions.collect(), positions.schema)
+    # Fixed before the poll: one row per partition of the topic.
+    reached = pin_small(log.consume_positions(log_store.commits(), log_store.extents(), topic, group, batch))
     done = ingest_messages(log_store.consume(topic, group, batch), sink, batch_id, rejects_folder)
     log_store.acknowledge(
         reached.filter(F.col("next_offset") > F.col("start_offset")).select(

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pulsegrid.errors import InvalidArgument, TopicExists, TopicNotFound
+from pulsegrid.session import local_rows
 
 
 def _struct(*fields: tuple[str, T.DataType]) -> T.StructType:
@@ -145,7 +146,7 @@ def topic_partitions(
 ) -> DataFrame:
     """One row per partition of every topic: ``topic, partition, capacity``."""
     rows = [(s.name, s.partitions, s.capacity or default_capacity) for s in check_topics(specs)]
-    return (
-        spark.createDataFrame(rows, "topic string, partitions int, capacity bigint")
-        .select("topic", F.explode(F.sequence(F.lit(0), F.col("partitions") - 1)).alias("partition"), "capacity")
+    kinds = _struct(("topic", T.StringType()), ("partitions", T.IntegerType()), ("capacity", T.LongType()))
+    return local_rows(spark, rows, kinds).select(
+        "topic", F.explode(F.sequence(F.lit(0), F.col("partitions") - 1)).alias("partition"), "capacity"
     )

@@ -8,9 +8,13 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterable, Sequence
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.storagelevel import StorageLevel
 
 RUNTIME_CONF = {
@@ -74,6 +78,15 @@ def folder_exists(spark: SparkSession, path: str) -> bool:
     return folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(folder)
 
 
+def local_rows(spark: SparkSession, rows: Iterable[Sequence], schema: T.StructType) -> DataFrame:
+    """A handful of driver-side rows as a local relation, which Catalyst can fold."""
+    columns = list(zip(*rows)) or [[] for _ in schema.fields]
+    return spark.createDataFrame(
+        pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(columns, to_arrow_schema(schema))], schema.names),
+        schema,
+    )
+
+
 def has_at_most(df: DataFrame, rows: int) -> bool:
     """Whether ``df`` has at most ``rows`` rows.
 
@@ -83,9 +96,20 @@ def has_at_most(df: DataFrame, rows: int) -> bool:
     return len(df.select(F.lit(True)).take(rows + 1)) <= rows
 
 
+def pin_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """A frame proven to have at most ``rows`` rows as a local relation.
+
+    Meant for frames with one narrow row per partition, range or topic, which
+    are used several times. A frame that turns out larger stays as it is.
+    """
+    head = df.take(rows + 1)
+    return local_rows(df.sparkSession, head, df.schema) if len(head) <= rows else df
+
+
 def checked_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Hint a broadcast when the side is proven small, else leave the join to AQE."""
-    return df.hint("broadcast") if has_at_most(df, rows) else df
+    """A narrow join side, broadcast when proven small; else the join is left to AQE."""
+    head = df.take(rows + 1)
+    return local_rows(df.sparkSession, head, df.schema).hint("broadcast") if len(head) <= rows else df
 
 
 BATCH_STORAGE = StorageLevel.DISK_ONLY

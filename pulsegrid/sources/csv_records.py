@@ -78,7 +78,7 @@ def read_csv_records(
     """
     header = csv_header(spark, path, multi_line)
     if not header:
-        return spark.createDataFrame([], T.StructType([]))
+        return spark.range(0).select()
     named = [name or f"_c{i}" for i, name in enumerate(header)]
     if spark.conf.get("spark.sql.caseSensitive") != "true":
         spelling: dict[str, str] = {}

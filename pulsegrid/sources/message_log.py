@@ -36,9 +36,11 @@ from pulsegrid.schema import (
     find_topic,
     topic_partitions,
 )
-from pulsegrid.session import checked_broadcast, folder_exists, remove_folder
+from pulsegrid.session import checked_broadcast, folder_exists, local_rows, pin_small, remove_folder
 
 BATCH_KEYS = ["topic", "batch_id"]
+# A poll that spans more publish batches than this scans the log by offset alone.
+LISTED_BATCHES = 1000
 MISSING_KEY = "missing_key"
 PARTITION_RANGE = "partition_range"
 
@@ -68,7 +70,7 @@ class MessageLog:
 
     def _table(self, name: str, schema: T.StructType) -> DataFrame:
         if not folder_exists(self.spark, self.folder(name)):
-            return self.spark.createDataFrame([], schema)
+            return local_rows(self.spark, [], schema)
         return self.spark.read.schema(schema).parquet(self.folder(name))
 
     def published(self) -> DataFrame:
@@ -100,12 +102,16 @@ class MessageLog:
         """Live messages, absolute offsets."""
         return log.live_messages(self.stored_messages(), self.bases())
 
-    def batch_messages(self, batch_ids: Sequence[int], topic: str) -> DataFrame:
-        """Live messages of given batches; the ids prune folders."""
-        rows = self._table("messages", MESSAGE).filter(
-            (F.col("topic") == topic) & F.col("batch_id").isin([int(b) for b in batch_ids])
-        )
-        return log.live_messages(rows, self.bases())
+    def batch_messages(self, batch_ids: Sequence[int], topic: str, live: bool = True) -> DataFrame:
+        """Messages of given batches; only their folders are listed."""
+        root = self.folder("messages")
+        folders = [f"{root}/topic={topic}/batch_id={int(b)}" for b in batch_ids]
+        present = [f for f in folders if folder_exists(self.spark, f)]
+        if not present:
+            return local_rows(self.spark, [], MESSAGE)
+        rows = self.spark.read.schema(MESSAGE).option("basePath", root).parquet(*present)
+        rows = rows.select(*MESSAGE.fieldNames())
+        return log.live_messages(rows, self.bases()) if live else rows
 
     def extents(self) -> DataFrame:
         ends = self.published().groupBy(*log.KEYS).agg(F.max("next_offset").alias("end_offset"))
@@ -161,7 +167,9 @@ class MessageLog:
             .agg(F.max("next_offset").alias("tail_offset"))
         )
         numbered = append_offsets(counted.filter(F.col("reason").isNull()).drop("reason"), order_by, tails)
-        kept, full = apply_capacity(numbered.rows, self.partitions(), self.bases())
+        kept, refused = numbered.rows, None
+        if (spec.capacity or self.default_capacity) > 0:
+            kept, refused = apply_capacity(kept, self.partitions(), self.bases())
         placed = [*BATCH_KEYS, "partition", "offset"]
         kept.select(
             "topic",
@@ -179,11 +187,12 @@ class MessageLog:
             (F.col("topic") == topic) & (F.col("batch_id") == batch_id)
         )
         # Refused rows cost a second pass over the input only if there are any.
-        refused = full
         if seen.get["refused"] > 0:
             marked = routed.withColumn("reason", reason).filter(F.col("reason").isNotNull())
-            refused = full.union(as_rejects(marked.select("reason", F.col("payload").alias("raw"), "topic")))
-        self._write_batch(refused, "rejects", batch_id)
+            early = as_rejects(marked.select("reason", F.col("payload").alias("raw"), "topic"))
+            refused = early if refused is None else refused.union(early)
+        if refused is not None:
+            self._write_batch(refused, "rejects", batch_id)
         taken = stored.groupBy(*log.KEYS).agg(
             F.min("offset").alias("first_offset"), (F.max("offset") + 1).alias("next_offset")
         )
@@ -206,9 +215,22 @@ class MessageLog:
         spec = find_topic(self.topics, topic)
         if partition is not None:
             log.check_partition([spec], topic, partition)
-        return log.consume_batch(
-            self.stored_messages(), self.commits(), self.extents(), topic, group, batch, partition
+        extents, commits = pin_small(self.extents()), self.commits()
+        positions = log.consume_positions(commits, extents, topic, group, batch, partition)
+        overlap = (F.col("next_offset") > F.col("start_offset")) & (F.col("first_offset") < F.col("stop_offset"))
+        wanted = (
+            self.published()
+            .join(positions.select(*log.KEYS, "start_offset", F.col("next_offset").alias("stop_offset")), log.KEYS)
+            .filter(overlap)
+            .select("batch_id")
+            .distinct()
+            .take(LISTED_BATCHES + 1)
         )
+        if len(wanted) > LISTED_BATCHES:
+            source = self.stored_messages()
+        else:
+            source = self.batch_messages([r[0] for r in wanted], topic, live=False)
+        return log.consume_batch(source, commits, extents, topic, group, batch, partition)
 
     def next_commit_seq(self) -> int:
         last = self.commits().agg(F.max("commit_seq")).first()[0]
@@ -220,7 +242,7 @@ class MessageLog:
         commits = positions.select(
             *log.KEYS, "group", "offset", F.lit(seq).cast("bigint").alias("commit_seq")
         )
-        checked = log.commit_errors(commits, self.extents(), validate)
+        checked = pin_small(log.commit_errors(commits, self.extents(), validate))
         bad = checked.filter(F.col("error").isNotNull()).first()
         if bad is not None:
             raise InvalidArgument(f"{bad['topic']}-{bad['partition']}, group {bad['group']!r}: {bad['error']}")
@@ -229,10 +251,7 @@ class MessageLog:
     def ack(self, topic: str, group: str, partition: int, offset: int) -> None:
         """Commit one absolute offset."""
         log.check_partition(self.topics, topic, partition)
-        row = self.spark.createDataFrame(
-            [(topic, partition, group, offset)], "topic string, partition int, group string, offset bigint"
-        )
-        self.acknowledge(row)
+        self.acknowledge(local_rows(self.spark, [(topic, partition, group, offset)], T.StructType(COMMIT.fields[:4])))
 
     # -- compaction --------------------------------------------------------
 
@@ -243,7 +262,7 @@ class MessageLog:
         """
         if topic is not None:
             find_topic(self.topics, topic)
-        marks = self.watermarks()
+        marks = pin_small(self.watermarks())
         if threshold is None:
             plan = compaction.compaction_plan(marks)
         else:

@@ -9,14 +9,15 @@ insert replaces its first attempt and changes nothing else. One writer at a time
 from __future__ import annotations
 
 from collections.abc import Sequence
+from datetime import date
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pulsegrid.functions import json_field
-from pulsegrid.operators.dedup import TELEMETRY_KEY, insert_if_absent
+from pulsegrid.operators.dedup import TELEMETRY_KEY, distinct_dates, insert_if_absent, prune_dates
 from pulsegrid.schema import TELEMETRY
-from pulsegrid.session import folder_exists
+from pulsegrid.session import folder_exists, local_rows
 
 
 def read_telemetry(spark: SparkSession, path: str) -> DataFrame:
@@ -52,10 +53,17 @@ class TelemetryTable:
         self.spark = spark
         self.path = path.rstrip("/")
 
-    def read(self) -> DataFrame:
-        if not folder_exists(self.spark, self.path):
-            return self.spark.createDataFrame([], TELEMETRY)
-        return read_telemetry(self.spark, self.path)
+    def read(self, dates: Sequence[date] | None = None) -> DataFrame:
+        """The table, or only the folders of some dates; others are not even listed."""
+        if dates is None:
+            if folder_exists(self.spark, self.path):
+                return read_telemetry(self.spark, self.path)
+        else:
+            folders = [f"{self.path}/event_date={d.isoformat()}" for d in dates]
+            present = [f for f in folders if folder_exists(self.spark, f)]
+            if present:
+                return self.spark.read.schema(TELEMETRY).option("basePath", self.path).parquet(*present)
+        return local_rows(self.spark, [], TELEMETRY)
 
     def next_batch_id(self) -> int:
         """One more than the largest batch folder; a listing, no file is opened."""
@@ -72,8 +80,8 @@ class TelemetryTable:
         batch_id: int | None = None,
         key_cols: Sequence[str] = TELEMETRY_KEY,
         clustered: bool = True,
-    ) -> int:
-        """Store the rows whose key is new and return the batch id.
+    ) -> DataFrame:
+        """Store the rows whose key is new and return them as stored.
 
         ``order_by`` says which of two rows with one key arrived first. It may
         name columns that are not stored, such as a log offset. ``key_cols`` may
@@ -81,9 +89,12 @@ class TelemetryTable:
         """
         batch_id = self.next_batch_id() if batch_id is None else batch_id
         dated = with_key_fields(rows.withColumn("event_date", F.to_date("timestamp")), key_cols)
-        target = with_key_fields(self.read().filter(F.col("batch_id") < batch_id), key_cols)
-        fresh = insert_if_absent(dated, target, order_by, key_cols, "event_date")
-        stored = fresh.select(
+        dates = distinct_dates(dated)
+        stored = self.read(dates).filter(F.col("batch_id") < batch_id)
+        target = with_key_fields(stored, key_cols)
+        if dates is None:
+            target = prune_dates(target, dated)
+        fresh = insert_if_absent(dated, target, order_by, key_cols).select(
             "gpu_id",
             "timestamp",
             "data",
@@ -91,9 +102,6 @@ class TelemetryTable:
             "event_date",
             F.lit(batch_id).cast("bigint").alias("batch_id"),
         )
-        write = (cluster(stored) if clustered else stored).write.mode("overwrite")
+        write = (cluster(fresh) if clustered else fresh).write.mode("overwrite")
         write.option("partitionOverwriteMode", "dynamic").partitionBy("event_date", "batch_id").parquet(self.path)
-        return batch_id
-
-    def batch(self, batch_id: int) -> DataFrame:
-        return self.read().filter(F.col("batch_id") == batch_id)
+        return self.read(dates).filter(F.col("batch_id") == batch_id)

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from pulsegrid.errors import InvalidArgument
 from pulsegrid.plans.ingest import Collected, Sink, ingest_messages
 from pulsegrid.schema import INGEST_METRICS, PUBLISHED
+from pulsegrid.session import local_rows
 from pulsegrid.sources.message_log import MessageLog
 from pulsegrid.sources.telemetry_table import TelemetryTable
 
@@ -66,9 +68,10 @@ def stream_collect(
 
 def record_metrics(log_store: MessageLog, query: str, done: Collected, folder: str) -> None:
     """One row per micro-batch; a retry replaces its row."""
-    row = log_store.spark.createDataFrame(
+    row = local_rows(
+        log_store.spark,
         [(query, done.batch_id, done.polled, done.rejected, done.inserted, done.duplicates)],
-        "query string, batch_id bigint, polled bigint, rejected bigint, inserted bigint, duplicates bigint",
+        T.StructType(INGEST_METRICS.fields[:-1]),
     )
     row.withColumn("recorded_at", F.current_timestamp()).write.mode("overwrite").option(
         "partitionOverwriteMode", "dynamic"
