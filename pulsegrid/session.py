@@ -78,6 +78,12 @@ def folder_exists(spark: SparkSession, path: str) -> bool:
     return folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(folder)
 
 
+def partition_folder(spark: SparkSession, column: str, value: object) -> str:
+    """``column=value`` as Spark writes it, special characters escaped."""
+    escape = spark.sparkContext._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName
+    return f"{column}={escape(str(value))}"
+
+
 def local_rows(spark: SparkSession, rows: Iterable[Sequence], schema: T.StructType) -> DataFrame:
     """A handful of driver-side rows as a local relation, which Catalyst can fold."""
     columns = list(zip(*rows)) or [[] for _ in schema.fields]

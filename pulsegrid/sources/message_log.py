@@ -36,7 +36,7 @@ from pulsegrid.schema import (
     find_topic,
     topic_partitions,
 )
-from pulsegrid.session import checked_broadcast, folder_exists, local_rows, pin_small, remove_folder
+from pulsegrid.session import checked_broadcast, folder_exists, local_rows, partition_folder, pin_small, remove_folder
 
 BATCH_KEYS = ["topic", "batch_id"]
 # A poll that spans more publish batches than this scans the log by offset alone.
@@ -102,10 +102,13 @@ class MessageLog:
         """Live messages, absolute offsets."""
         return log.live_messages(self.stored_messages(), self.bases())
 
+    def _batch_folder(self, topic: str, batch_id: int) -> str:
+        return f"{self.folder('messages')}/{partition_folder(self.spark, 'topic', topic)}/batch_id={int(batch_id)}"
+
     def batch_messages(self, batch_ids: Sequence[int], topic: str, live: bool = True) -> DataFrame:
         """Messages of given batches; only their folders are listed."""
         root = self.folder("messages")
-        folders = [f"{root}/topic={topic}/batch_id={int(b)}" for b in batch_ids]
+        folders = [self._batch_folder(topic, b) for b in batch_ids]
         present = [f for f in folders if folder_exists(self.spark, f)]
         if not present:
             return local_rows(self.spark, [], MESSAGE)
@@ -152,8 +155,10 @@ class MessageLog:
         """
         spec = find_topic(self.topics, topic)
         batch_id = self.next_batch_id() if batch_id is None else batch_id
+        chosen = router or route_modulo(spec.partitions)
         routed = route_messages(
-            messages, topic, router or route_modulo(spec.partitions), spec.partitions, on_range_error="null"
+            # A router only ever sees keys.
+            messages, topic, lambda key: F.when(key != "", chosen(key)), spec.partitions, on_range_error="null"
         )
         reason = F.when(F.coalesce("key", F.lit("")) == "", MISSING_KEY).when(
             F.col("partition").isNull(), PARTITION_RANGE
@@ -288,7 +293,7 @@ class MessageLog:
         )
         removed = 0
         for row in dead.toLocalIterator():
-            path = f"{self.folder('messages')}/topic={row['topic']}/batch_id={row['batch_id']}"
+            path = self._batch_folder(row["topic"], row["batch_id"])
             if folder_exists(self.spark, path):
                 removed += remove_folder(self.spark, path)
         return removed
