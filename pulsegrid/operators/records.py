@@ -42,9 +42,13 @@ def require_key(records: DataFrame, key: str = KEY_COLUMN) -> DataFrame:
     return records.filter(has_key(key))
 
 
-def record_json(columns: list[str]) -> Column:
-    """The record as a JSON object: keys sorted, every value a string."""
-    text = F.to_json(F.struct(*[F.col(f"`{c}`").cast("string").alias(c) for c in sorted(columns)]))
+def record_json(columns: list[str], within: str | None = None) -> Column:
+    """The record as a JSON object: keys sorted, every value a string.
+
+    ``within`` names the struct column that holds the fields.
+    """
+    prefix = f"`{within}`." if within else ""
+    text = F.to_json(F.struct(*[F.col(f"{prefix}`{c}`").cast("string").alias(c) for c in sorted(columns)]))
     for raw, escaped in HTML_ESCAPES:
         text = F.replace(text, F.lit(raw), F.lit(escaped))
     return text

@@ -23,6 +23,7 @@ from pulsegrid.functions import (
     json_number,
     parse_rfc3339,
     strict_json,
+    with_once,
 )
 from pulsegrid.operators import compaction, dedup, log, numbering, records, routing, telemetry, validate
 from pulsegrid.plans.ingest import collect_batch, publish_csv, publish_records
@@ -45,7 +46,7 @@ START = datetime(2024, 1, 10, tzinfo=timezone.utc)
 END = datetime(2024, 1, 20, tzinfo=timezone.utc)
 STAMP = datetime(2026, 4, 10, 15, 0, tzinfo=timezone.utc)
 TOPICS = [TopicSpec("telemetry", 3), TopicSpec("alerts", 2), TopicSpec("idle", 1)]
-HOUR_KEY = ("gpu_id", "timestamp")
+EVENTS = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
 MICROS = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'"
 
 
@@ -70,10 +71,15 @@ def query(fn: Query) -> Query:
 # -- the events table as telemetry, messages, log -------------------------------
 
 
+def gpu_name() -> Column:
+    user = F.col("user_id").cast("string")
+    return F.concat(F.lit("gpu-"), F.when(F.length(user) < 4, F.lpad(user, 4, "0")).otherwise(user))
+
+
 def events_as_telemetry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/events.parquet").select(
+    return spark.read.schema(EVENTS).parquet(f"{sf_dir}/events.parquet").select(
         "event_id",
-        F.format_string("gpu-%04d", "user_id").alias("gpu_id"),
+        gpu_name().alias("gpu_id"),
         F.col("ts").cast("timestamp").alias("timestamp"),
         F.col("event_type").alias("metric_name"),
         "value",
@@ -113,16 +119,27 @@ def event_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.to_message(event_records(spark, sf_dir), keep=("arrival",))
 
 
-def routed_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    messages = event_messages(spark, sf_dir)
-    alerts = messages.filter(F.get_json_object("payload", "$.metric_name") == "error")
-    return routing.route_messages(messages, "telemetry", routing.route_modulo(3), 3).union(
-        routing.route_messages(alerts, "alerts", routing.route_modulo(2), 2)
+def routed_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records with topic and partition, hashed once for both topics."""
+    h = fnv1a32("key")
+    topics = F.array(
+        *[
+            F.struct(F.lit(name).alias("topic"), (F.col("hash") % n).cast("int").alias("partition"))
+            for name, n in (("telemetry", 3), ("alerts", 2))
+        ]
     )
+    wanted = F.when(F.col("metric_name") == "error", topics).otherwise(F.slice(topics, 1, 1))
+    hashed = event_records(spark, sf_dir).withColumn("key", F.col("gpu_id")).withColumn("hash", h)
+    return hashed.select("*", F.inline(wanted)).drop("hash")
 
 
 def event_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return numbering.append_offsets(routed_messages(spark, sf_dir), ["arrival"]).rows
+    """The payload is put together after the offsets are known, hence once."""
+    numbered = numbering.append_offsets(routed_records(spark, sf_dir), ["arrival"]).rows
+    columns = ["gpu_id", "timestamp", "metric_name", "value", "data"]
+    return with_once(numbered, {"payload": records.record_json(columns)}).select(
+        "topic", "partition", "offset", "key", "payload", "arrival"
+    )
 
 
 def partitions(spark: SparkSession) -> DataFrame:
@@ -332,16 +349,22 @@ def payload_roundtrip(spark, sf_dir):
 
 def faulty_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Messages of which every metric but one has its own fault."""
-    fault = F.get_json_object("payload", "$.metric_name")
-    device, stamp = F.col("key"), F.get_json_object("payload", "$.timestamp")
+    rows = event_records(spark, sf_dir)
+    whole = records.record_json([c for c in rows.columns if c != "arrival"])
+    fault, number = F.col("metric_name"), F.col("arrival").cast("string")
+
+    def text(*parts: str | Column) -> Column:
+        return F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
+
+    gpu, stamp = F.col("gpu_id"), F.col("timestamp")
     payload = (
-        F.when(fault == "view", F.format_string('{"gpu_id":%d,"timestamp":"%s"}', "arrival", stamp))
-        .when(fault == "error", F.format_string('{"gpu_id":"%s","timestamp":"%s"}', device, F.replace(stamp, F.lit("T"), F.lit(" "))))
-        .when(fault == "signup", F.concat("payload", F.lit(" trailing")))
-        .when(fault == "purchase", F.format_string('{"gpu_id":"%s","timestamp":"","n":%d}', device, "arrival"))
-        .otherwise(F.format_string('{"timestamp":"%s","n":%d,"n":1,"gpu_id":"%s"}', stamp, "arrival", device))
+        F.when(fault == "view", text('{"gpu_id":', number, ',"timestamp":"', stamp, '"}'))
+        .when(fault == "error", text('{"gpu_id":"', gpu, '","timestamp":"', F.replace(stamp, F.lit("T"), F.lit(" ")), '"}'))
+        .when(fault == "signup", text(whole, " trailing"))
+        .when(fault == "purchase", text('{"gpu_id":"', gpu, '","timestamp":"","n":', number, "}"))
+        .otherwise(text('{"timestamp":"', stamp, '","n":', number, ',"n":1,"gpu_id":"', gpu, '"}'))
     )
-    return event_messages(spark, sf_dir).select("arrival", payload.alias("payload"))
+    return with_once(rows.select("*"), {"payload": payload}).select("arrival", "payload")
 
 
 @query
@@ -359,9 +382,10 @@ def rejects(spark, sf_dir):
 @query
 def decode_base64_payload(spark, sf_dir):
     """The wire form: base64 payloads, those of one metric damaged."""
-    wire = encode_payload("payload")
-    damaged = F.when(F.get_json_object("payload", "$.metric_name") == "view", F.concat(F.lit("*"), wire)).otherwise(wire)
-    coded = event_messages(spark, sf_dir).select("arrival", damaged.alias("payload"))
+    rows = event_records(spark, sf_dir)
+    wire = encode_payload(records.record_json([c for c in rows.columns if c != "arrival"]))
+    damaged = F.concat(F.when(F.col("metric_name") == "view", "*").otherwise(""), wire)
+    coded = rows.select("arrival", damaged.alias("payload"))
     checked = validate.validate_messages(coded, encoding="base64")
     return checked.select("arrival", "gpu_id", "timestamp", "reason")
 
@@ -383,7 +407,7 @@ def parse_timestamps(spark, sf_dir):
 
 @query
 def canonical_documents(spark, sf_dir):
-    text = F.format_string('{ "z" : %s, "a":[1, 2.50,null], "z" : %d }', "data", "event_id")
+    text = F.concat(F.lit('{ "z" : '), "data", F.lit(', "a":[1, 2.50,null], "z" : '), "event_id", F.lit(" }"))
     return events_as_telemetry(spark, sf_dir).select("event_id", canonical_json(strict_json(text)).alias("document"))
 
 
@@ -424,7 +448,7 @@ def append_offsets(spark, sf_dir):
 def append_after_tail(spark, sf_dir):
     """A second append continues where the first ended."""
     ends = log.partition_ends(event_log(spark, sf_dir)).withColumnRenamed("end_offset", "tail_offset")
-    again = numbering.append_offsets(routed_messages(spark, sf_dir), ["arrival"], tails=ends)
+    again = numbering.append_offsets(routed_records(spark, sf_dir), ["arrival"], tails=ends)
     return again.rows.select("topic", "partition", "offset", "arrival")
 
 
@@ -690,11 +714,10 @@ def stream_publish_csv(spark, sf_dir):
 def collected_stream(spark: SparkSession, sf_dir: str) -> tuple[TelemetryTable, DataFrame]:
     """Events streamed into the log, cut to the hour, and from there into a table."""
     store = MessageLog(spark, work_folder(spark, "log"), TOPICS)
-    schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
-    events = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    events = spark.readStream.schema(EVENTS).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
     rows = events.select(
         F.col("event_id").alias("arrival"),
-        F.format_string("gpu-%04d", "user_id").alias("gpu_id"),
+        gpu_name().alias("gpu_id"),
         F.date_format(F.date_trunc("hour", "ts"), "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("timestamp"),
         F.get_json_object("props", "$.k").alias("k"),
     )

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pulsegrid.operators import log
-from pulsegrid.operators.records import restamp, to_message
+from pulsegrid.operators.records import KEY_COLUMN, record_json, restamp
 from pulsegrid.operators.routing import Router
 from pulsegrid.operators.validate import rejects, to_telemetry, validate_messages
 from pulsegrid.session import BATCH_STORAGE, pin_small
@@ -54,9 +54,16 @@ def publish_records(
     if they are called ``arrival``.
     """
     stamped = restamp(records, stamp) if restamped else records
-    keep = (ARRIVAL,) if ARRIVAL in records.columns else ()
-    messages = to_message(stamped, keep=keep, keyed_only=False)
-    return log_store.publish(messages, topic, order_by, router, batch_id)
+    body = [c for c in stamped.columns if c != ARRIVAL]
+    key = F.col(KEY_COLUMN) if KEY_COLUMN in body else F.lit(None)
+    order = {f"order_{i}": F.col(o) if isinstance(o, str) else o for i, o in enumerate(order_by)}
+    # The record travels as one struct: its column names are the producer's.
+    rows = stamped.select(
+        key.cast("string").alias("key"),
+        F.struct(*[F.col(f"`{c}`") for c in body]).alias("record"),
+        *[column.alias(name) for name, column in order.items()],
+    )
+    return log_store.publish(rows, topic, list(order), router, batch_id, payload=record_json(body, "record"))
 
 
 def publish_csv(

@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pulsegrid.errors import InvalidArgument
+from pulsegrid.functions import with_once
 from pulsegrid.operators import compaction, log
 from pulsegrid.operators.numbering import append_offsets, apply_capacity
 from pulsegrid.operators.records import as_rejects
@@ -146,15 +147,20 @@ class MessageLog:
         order_by: Sequence[str | Column],
         router: Router | None = None,
         batch_id: int | None = None,
+        payload: str | Column = "payload",
     ) -> Published:
         """Route, number and store ``key, payload`` rows in ``order_by`` order.
 
+        ``payload`` may be an expression over the other columns. It is evaluated
+        once, after the rows have been numbered.
+
         Publishing the same ``batch_id`` again replaces that batch, so a retried
         micro-batch takes the same offsets. Rows without a key, outside the
         topic or beyond its capacity are set aside with a reason.
         """
         spec = find_topic(self.topics, topic)
         batch_id = self.next_batch_id() if batch_id is None else batch_id
+        content = (F.col(payload) if isinstance(payload, str) else payload).cast("string")
         chosen = router or route_modulo(spec.partitions)
         routed = route_messages(
             # A router only ever sees keys.
@@ -172,7 +178,8 @@ class MessageLog:
             .agg(F.max("next_offset").alias("tail_offset"))
         )
         numbered = append_offsets(counted.filter(F.col("reason").isNull()).drop("reason"), order_by, tails)
-        kept, refused = numbered.rows, None
+        kept, refused = with_once(numbered.rows, {"payload": content}), None
+        kept = kept.select("topic", "partition", "offset", "key", "payload")
         if (spec.capacity or self.default_capacity) > 0:
             kept, refused = apply_capacity(kept, self.partitions(), self.bases())
         placed = [*BATCH_KEYS, "partition", "offset"]
@@ -181,7 +188,7 @@ class MessageLog:
             "partition",
             "offset",
             "key",
-            F.col("payload").cast("string").alias("payload"),
+            "payload",
             F.octet_length("payload").alias("payload_size"),
             F.current_timestamp().alias("append_ts"),
             F.lit(batch_id).cast("bigint").alias("batch_id"),
@@ -194,7 +201,7 @@ class MessageLog:
         # Refused rows cost a second pass over the input only if there are any.
         if seen.get["refused"] > 0:
             marked = routed.withColumn("reason", reason).filter(F.col("reason").isNotNull())
-            early = as_rejects(marked.select("reason", F.col("payload").alias("raw"), "topic"))
+            early = as_rejects(marked.select("reason", content.alias("raw"), "topic"))
             refused = early if refused is None else refused.union(early)
         if refused is not None:
             self._write_batch(refused, "rejects", batch_id)

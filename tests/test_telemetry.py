@@ -129,6 +129,7 @@ def test_by_metric(spark):
 
 def test_scan_is_pruned(spark, folder):
     """Device, time and date bounds and the column list all reach the scan."""
+    spark.conf.set("spark.sql.maxMetadataStringLength", "10000")
     store = TelemetryTable(spark, folder + "/t")
     store.insert(rows_of(spark, *[(f"g{i % 5}", minute(i * 600), "{}") for i in range(50)]).drop("event_date"))
     day = ops.telemetry_by_gpu_time_range(store.read(), "g1", minute(0), minute(1440)).select("timestamp")
