@@ -69,14 +69,14 @@ def canonical_json(document: str | Column) -> Column:
     return F.to_json(_col(document))
 
 
-def expand_json(text: str | Column) -> Column:
+def expand_json(text: str | Column, document: str | Column | None = None) -> Column:
     """Canonical object text of a stored document.
 
     Anything that is not a JSON object becomes ``{"raw": text}``; a literal
-    ``null`` stays NULL.
+    ``null`` stays NULL. ``document`` is the strictly parsed text, if at hand.
     """
     text = F.coalesce(_col(text), F.lit(""))
-    document = strict_json(text)
+    document = strict_json(text) if document is None else _col(document)
     return F.when(document.isNotNull() & opens_object(text), canonical_json(document)).when(
         document.isNull() | ~is_null_literal(text), F.to_json(F.struct(text.alias("raw")))
     )

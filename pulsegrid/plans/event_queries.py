@@ -134,11 +134,11 @@ def routed_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def event_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The payload is put together after the offsets are known, hence once."""
+    """The payload is put together after the offsets are known, and only where it is read."""
     numbered = numbering.append_offsets(routed_records(spark, sf_dir), ["arrival"]).rows
     columns = ["gpu_id", "timestamp", "metric_name", "value", "data"]
-    return with_once(numbered, {"payload": records.record_json(columns)}).select(
-        "topic", "partition", "offset", "key", "payload", "arrival"
+    return numbered.select(
+        "topic", "partition", "offset", "key", records.record_json(columns).alias("payload"), "arrival"
     )
 
 
@@ -364,7 +364,7 @@ def faulty_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(fault == "purchase", text('{"gpu_id":"', gpu, '","timestamp":"","n":', number, "}"))
         .otherwise(text('{"timestamp":"', stamp, '","n":', number, ',"n":1,"gpu_id":"', gpu, '"}'))
     )
-    return with_once(rows.select("*"), {"payload": payload}).select("arrival", "payload")
+    return with_once(rows, {"payload": payload}).select("arrival", "payload")
 
 
 @query

@@ -18,8 +18,9 @@ from pulsegrid.sources.csv_records import ARRIVAL, read_csv_records
 from pulsegrid.sources.message_log import MessageLog, Published
 from pulsegrid.sources.telemetry_table import TelemetryTable
 
-# Fixed value: batch size of a poll in the reference system.
+# Batch size of a poll and pause between polls in the reference system.
 POLL_BATCH = 10
+POLL_TRIGGER = {"processingTime": "500 milliseconds"}
 
 # A replacement for the telemetry table: takes rows and a batch id.
 Sink = Callable[[DataFrame, int], None]

@@ -18,7 +18,7 @@ from pulsegrid.operators.telemetry import (
     expand_data,
     fields_available,
     in_range,
-    telemetry_by_gpu_time_range,
+    of_gpu,
 )
 
 
@@ -53,7 +53,7 @@ def query_telemetry(
     telemetry: DataFrame, gpu_id: str, start: datetime | None = None, end: datetime | None = None
 ) -> TelemetryResponse:
     """Telemetry of one device; raises :class:`TelemetryNotFound` when there is none."""
-    rows = telemetry_by_gpu_time_range(telemetry, gpu_id, start, end)
+    rows = in_range(of_gpu(telemetry, gpu_id), start, end)
     if not rows.select("gpu_id").take(1):
         raise TelemetryNotFound(gpu_id)
     return _respond(rows, start, end)

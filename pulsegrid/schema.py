@@ -80,6 +80,16 @@ COMPACTION = _struct(
     ("compaction_id", T.LongType()),
 )
 
+# One row per partition and monitoring pass; ids are consecutive.
+SNAPSHOT = _struct(
+    ("topic", T.StringType()),
+    ("partition", T.IntegerType()),
+    ("tail_offset", T.LongType()),
+    ("watermark", T.LongType()),
+    ("taken_at", T.TimestampType()),
+    ("snapshot_id", T.LongType()),
+)
+
 # One row per micro-batch.
 INGEST_METRICS = _struct(
     ("query", T.StringType()),

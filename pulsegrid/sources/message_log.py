@@ -6,6 +6,8 @@
                  messages, so a batch is visible as a whole or not at all
 ``commits``      consumer commits, appended
 ``compactions``  how far each partition was compacted, and what that removed
+``rejects``      messages a publish refused, with the reason
+``snapshots``    tails and watermarks over time, for monitoring
 
 One writer per log at a time. Extents, lag, watermarks and compaction work on
 the three small tables and never open a message file.
@@ -31,6 +33,7 @@ from pulsegrid.schema import (
     COMPACTION,
     MESSAGE,
     PUBLISHED,
+    SNAPSHOT,
     STORED_REJECT,
     TopicSpec,
     check_topics,
@@ -134,6 +137,26 @@ class MessageLog:
     def lag(self) -> DataFrame:
         return log.consumer_lag(self.commits(), self.extents())
 
+    def snapshots(self) -> DataFrame:
+        return self._table("snapshots", SNAPSHOT)
+
+    def take_snapshot(self) -> int:
+        """Record tails and watermarks for :func:`pulsegrid.operators.log.stalled_watermarks`."""
+        last = self.snapshots().agg(F.max("snapshot_id")).first()[0]
+        number = 0 if last is None else last + 1
+        self.watermarks().select(
+            *log.KEYS,
+            F.col("end_offset").alias("tail_offset"),
+            "watermark",
+            F.current_timestamp().alias("taken_at"),
+            F.lit(number).cast("bigint").alias("snapshot_id"),
+        ).coalesce(1).write.mode("append").parquet(self.folder("snapshots"))
+        return number
+
+    def stalled(self) -> DataFrame:
+        """Partitions that grew between two snapshots while no group moved on."""
+        return log.stalled_watermarks(self.snapshots())
+
     # -- publish -----------------------------------------------------------
 
     def next_batch_id(self) -> int:

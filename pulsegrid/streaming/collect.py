@@ -40,7 +40,8 @@ def stream_collect(
     The stream follows the publish index, one small row per partition and batch,
     and reads the messages of those batches as an ordinary pruned scan. A batch
     is therefore seen whole and in order. Each group runs its own query with its
-    own checkpoint; the commits it leaves drive lag and compaction.
+    own checkpoint; the commits it leaves drive lag and compaction. The default
+    trigger drains what is there and stops; ``POLL_TRIGGER`` keeps polling.
     """
     if not group:
         raise InvalidArgument("group is required")

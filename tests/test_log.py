@@ -379,6 +379,17 @@ def test_stalled_watermarks(spark):
     assert [tuple(r) for r in log.stalled_watermarks(df).collect()] == [("t", 0, 2, 5, 2)]
 
 
+def test_snapshots(spark, folder):
+    store = store_of(spark, folder, 4)
+    store.ack("t", "g", 0, 2)
+    assert store.take_snapshot() == 0
+    store.publish(spark.createDataFrame([("0", "x", 1)], "key string, payload string, n int"), "t", ["n"], router=lambda k: k.cast("int"))
+    assert store.take_snapshot() == 1
+    store.ack("t", "g", 0, 5)
+    assert store.take_snapshot() == 2
+    assert [tuple(r) for r in store.stalled().collect()] == [("t", 0, 1, 2, 1)]
+
+
 def test_retained_bytes(spark, folder):
     store = store_of(spark, folder, 10)
     store.ack("t", "g", 0, 6)
