@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pulsegrid.operators.records import as_rejects
-from pulsegrid.session import checked_broadcast, remove_folder, work_folder
+from pulsegrid.session import checked_broadcast, remove_folder, split_by_range, work_folder
 
 LOG_KEYS = ("topic", "partition")
 # monotonically_increasing_id keeps the row number in its low 33 bits.
@@ -54,8 +54,7 @@ def number_rows(
     spark = df.sparkSession
     keys = list(keys)
     order = [*keys, *order_by]
-    split = df.repartitionByRange(ranges, *order) if ranges else df.repartitionByRange(*order)
-    staged = split.sortWithinPartitions(*order).select(
+    staged = split_by_range(df, *order, ranges=ranges).select(
         "*",
         F.spark_partition_id().alias("_range"),
         F.monotonically_increasing_id().bitwiseAND(F.lit(ROW_BITS)).alias("_row"),

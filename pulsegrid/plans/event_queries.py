@@ -11,7 +11,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from datetime import datetime, timezone
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -571,15 +571,16 @@ def stalled_watermark(spark, sf_dir):
         .groupBy("topic", "partition", "day")
         .agg(F.count(F.lit(1)).alias("n"))
     )
-    later = daily.select("topic", "partition", F.col("day").alias("snapshot_id"))
-    tails = (
-        later.join(daily, ["topic", "partition"])
-        .filter(F.col("day") <= F.col("snapshot_id"))
-        .groupBy("topic", "partition", "snapshot_id")
-        .agg(
-            F.sum("n").alias("tail_offset"),
-            F.sum(F.when(F.col("day") <= F.col("snapshot_id") - F.col("snapshot_id") % 3, F.col("n")).otherwise(0)).alias("watermark"),
-        )
+    # A row per partition and day is left; both windows run over those.
+    so_far = Window.partitionBy("topic", "partition").orderBy("day")
+    in_block = Window.partitionBy("topic", "partition", F.floor(F.col("day") / 3)).orderBy("day")
+    since_move = F.sum(F.when(F.col("day") % 3 > 0, F.col("n")).otherwise(0)).over(in_block)
+    tails = daily.select(
+        "topic",
+        "partition",
+        F.col("day").alias("snapshot_id"),
+        F.sum("n").over(so_far).alias("tail_offset"),
+        (F.sum("n").over(so_far) - since_move).alias("watermark"),
     )
     return log.stalled_watermarks(tails)
 
@@ -745,6 +746,6 @@ def continuous_hourly(spark, sf_dir):
     table = TelemetryTable(spark, work_folder(spark, "table"))
     table.insert(events_as_telemetry(spark, sf_dir), ["event_id"])
     averages = work_folder(spark, "averages")
-    source = telemetry_stream(spark, table.path, max_files=8)
+    source = telemetry_stream(spark, table.path, max_files=16)
     continuous_average(source, "k", averages, work_folder(spark, "checkpoint")).awaitTermination()
     return latest_average(spark.read.parquet(averages))

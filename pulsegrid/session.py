@@ -11,7 +11,7 @@ import uuid
 from collections.abc import Iterable, Sequence
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -24,8 +24,16 @@ RUNTIME_CONF = {
     "spark.sql.variant.allowDuplicateKeys": "true",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # Streaming averages keep a row per bucket and device: on disk, not on the heap.
+    "spark.sql.streaming.stateStore.providerClass": (
+        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+    ),
 }
 
+# Target size of a range in a range shuffle, and the most ranges asked for.
+RANGE_BYTES = 256 << 20
+MAX_RANGES = 100_000
+
 # A side is broadcast only when it has at most this many (narrow) rows.
 BROADCAST_ROWS = 50_000
 
@@ -118,4 +126,24 @@ def checked_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return local_rows(df.sparkSession, head, df.schema).hint("broadcast") if len(head) <= rows else df
 
 
+def range_count(df: DataFrame) -> int | None:
+    """How many ranges a large input needs, from the plan's size estimate.
+
+    None leaves ``spark.sql.shuffle.partitions`` and AQE in charge: for inputs
+    they suffice for, and for sources of unknown size.
+    """
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    needed = -(-size // RANGE_BYTES)
+    configured = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    unknown = size >= 1 << 60
+    return None if unknown or needed <= configured else min(needed, MAX_RANGES)
+
+
+def split_by_range(df: DataFrame, *order: str | Column, ranges: int | None = None) -> DataFrame:
+    """Range-shuffle and sort; large inputs get as many ranges as they need."""
+    ranges = ranges or range_count(df)
+    split = df.repartitionByRange(ranges, *order) if ranges else df.repartitionByRange(*order)
+    return split.sortWithinPartitions(*order)
+
+
 BATCH_STORAGE = StorageLevel.DISK_ONLY

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pulsegrid.functions import json_field
 from pulsegrid.operators.dedup import TELEMETRY_KEY, distinct_dates, insert_if_absent, prune_dates
 from pulsegrid.schema import TELEMETRY
-from pulsegrid.session import folder_exists, local_rows
+from pulsegrid.session import folder_exists, local_rows, split_by_range
 
 
 def read_telemetry(spark: SparkSession, path: str) -> DataFrame:
@@ -39,7 +39,7 @@ def read_telemetry_jdbc(
 def cluster(rows: DataFrame, order: Sequence[str] = ("event_date", "gpu_id", "timestamp")) -> DataFrame:
     """Range-split and sort for writing. The time in the range key also splits a
     device, or a date, that holds most of the rows."""
-    return rows.repartitionByRange(*order).sortWithinPartitions(*order)
+    return split_by_range(rows, *order)
 
 
 def with_key_fields(rows: DataFrame, key_cols: Sequence[str]) -> DataFrame:

@@ -79,6 +79,17 @@ def test_offsets_with_one_hot_partition(spark):
     assert numbered.rows.count() == 20000 and numbered.rows.filter(wrong).count() == 0
 
 
+def test_large_inputs_ask_for_more_ranges(spark, monkeypatch):
+    from pulsegrid import session
+
+    df = spark.range(100_000)
+    assert session.range_count(df) is None
+    monkeypatch.setattr(session, "RANGE_BYTES", 40_000)
+    assert session.range_count(df) == 20
+    assert session.range_count(spark.createDataFrame([(1,)], "id int")) is None
+    assert session.split_by_range(df, "id").rdd.getNumPartitions() == 20
+
+
 def test_row_ids(spark):
     ids = numbering.assign_row_ids(spark.range(1000).withColumnRenamed("id", "n"), [F.desc("n")], start=10).rows
     assert ids.filter(F.col("id") != 10 + 999 - F.col("n")).count() == 0
