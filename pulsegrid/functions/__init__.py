@@ -8,7 +8,7 @@ from pulsegrid.functions.jsonops import (
     json_number,
     strict_json,
 )
-from pulsegrid.functions.once import with_once
+from pulsegrid.functions.once import with_fence
 from pulsegrid.functions.payload import decode_payload, encode_payload
 from pulsegrid.functions.rfc3339 import format_rfc3339, parse_rfc3339, parse_rfc3339_text
 
@@ -25,5 +25,5 @@ __all__ = [
     "parse_rfc3339",
     "parse_rfc3339_text",
     "strict_json",
-    "with_once",
+    "with_fence",
 ]

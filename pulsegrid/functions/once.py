@@ -1,18 +1,17 @@
-"""Columns that are computed once, however often they are used afterwards."""
+"""An optimizer fence for expensive columns."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def with_once(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
-    """Add (or replace) columns behind an optimizer fence.
+def with_fence(df: DataFrame, *columns: str) -> DataFrame:
+    """The same rows; a later filter on ``columns`` is not pushed below this point.
 
-    A filter on a projected column is pushed below the projection, and stacked
-    projections are merged; both repeat the expression. The output of a
-    generator is neither pushed nor merged, which pays off for JSON parsing.
+    A filter pushed below a projection repeats the expressions it needs, which
+    for JSON parsing costs more than filtering early saves. The output of a
+    generator is not pushed.
     """
-    rest = [c for c in df.columns if c not in columns]
-    row = F.struct(*[value.alias(name) for name, value in columns.items()])
-    return df.select(*[F.col(f"`{c}`") for c in rest], F.inline(F.array(row)))
+    rest = [F.col(f"`{c}`") for c in df.columns if c not in columns]
+    return df.select(*rest, F.inline(F.array(F.struct(*columns))))

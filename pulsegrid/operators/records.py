@@ -7,7 +7,7 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pulsegrid.functions import format_rfc3339, with_once
+from pulsegrid.functions import format_rfc3339
 from pulsegrid.schema import REJECT
 
 KEY_COLUMN = "gpu_id"
@@ -63,8 +63,7 @@ def to_message(
     body = [c for c in records.columns if c not in keep]
     rows = require_key(records, key) if keyed_only and key in body else records
     named = F.col(key).cast("string") if key in body else F.lit(None).cast("string")
-    messages = with_once(rows.select("*", named.alias("_key")), {"key": F.col("_key"), "payload": record_json(body)})
-    messages = messages.select("key", "payload", *keep)
+    messages = rows.select(named.alias("key"), record_json(body).alias("payload"), *keep)
     return messages.filter(F.col("key").isNotNull()) if keyed_only else messages
 
 

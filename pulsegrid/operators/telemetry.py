@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pulsegrid.errors import InvalidArgument
-from pulsegrid.functions import expand_json, json_field, json_number, strict_json, with_once
+from pulsegrid.functions import expand_json, json_field, json_number, strict_json
 
 
 def list_gpus(telemetry: DataFrame) -> DataFrame:
@@ -85,7 +85,7 @@ def by_metric(
 
 def expand_data(telemetry: DataFrame) -> DataFrame:
     """``data`` as canonical object text, ``{"raw": ...}`` for anything else."""
-    parsed = with_once(telemetry, {"_document": strict_json("data")})
+    parsed = telemetry.withColumn("_document", strict_json("data"))
     return parsed.withColumn("data", expand_json("data", "_document")).select(*telemetry.columns)
 
 

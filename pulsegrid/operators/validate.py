@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pulsegrid.functions import canonical_json, decode_payload, parse_rfc3339, strict_json, with_once
+from pulsegrid.functions import canonical_json, decode_payload, parse_rfc3339, strict_json, with_fence
 from pulsegrid.functions.jsonops import is_null_literal, opens_object, string_field
 from pulsegrid.operators.records import as_rejects
 
@@ -22,7 +22,7 @@ def decode_json(messages: DataFrame, payload: str = "payload") -> DataFrame:
     true for it as well.
     """
     text = F.col(payload).cast("string")
-    parsed = with_once(messages, {"document": strict_json(text)})
+    parsed = messages.withColumn("document", strict_json(text))
     return parsed.withColumn(
         "is_record",
         F.coalesce(F.col("document").isNotNull() & (opens_object(text) | is_null_literal(text)), F.lit(False)),
@@ -37,16 +37,15 @@ def validate_messages(messages: DataFrame, payload: str = "payload", encoding: s
     """
     raw = F.col(payload).cast("string")
     text = decode_payload(payload) if encoding == "base64" else raw
-    decoded = decode_json(with_once(messages, {"raw": raw, "text": text}), "text")
-    fields = with_once(
-        decoded,
+    decoded = decode_json(messages.withColumns({"raw": raw, "text": text}), "text")
+    fields = decoded.withColumns(
         {
             "gpu_id": string_field("document", "gpu_id"),
             "timestamp_text": string_field("document", "timestamp"),
             "data": canonical_json("document"),
-        },
+        }
     )
-    stamped = with_once(fields, {"timestamp": parse_rfc3339("timestamp_text")})
+    stamped = fields.withColumn("timestamp", parse_rfc3339("timestamp_text"))
     empty = (F.coalesce("gpu_id", F.lit("")) == "") | (F.coalesce("timestamp_text", F.lit("")) == "")
     reason = (
         F.when(F.col("text").isNull(), BAD_BASE64 if encoding == "base64" else BAD_JSON)
@@ -54,7 +53,8 @@ def validate_messages(messages: DataFrame, payload: str = "payload", encoding: s
         .when(empty, MISSING_FIELDS)
         .when(F.col("timestamp").isNull(), BAD_TIMESTAMP)
     )
-    return stamped.withColumn("reason", reason).drop("text", "document", "is_record", "timestamp_text")
+    checked = stamped.withColumn("reason", reason).drop("text", "document", "is_record", "timestamp_text")
+    return with_fence(checked, "gpu_id", "timestamp", "data", "reason")
 
 
 def to_telemetry(validated: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:

@@ -23,7 +23,6 @@ from pulsegrid.functions import (
     json_number,
     parse_rfc3339,
     strict_json,
-    with_once,
 )
 from pulsegrid.operators import compaction, dedup, log, numbering, records, routing, telemetry, validate
 from pulsegrid.plans.ingest import collect_batch, publish_csv, publish_records
@@ -364,7 +363,7 @@ def faulty_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(fault == "purchase", text('{"gpu_id":"', gpu, '","timestamp":"","n":', number, "}"))
         .otherwise(text('{"timestamp":"', stamp, '","n":', number, ',"n":1,"gpu_id":"', gpu, '"}'))
     )
-    return with_once(rows, {"payload": payload}).select("arrival", "payload")
+    return rows.select("arrival", payload.alias("payload"))
 
 
 @query

@@ -23,7 +23,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pulsegrid.errors import InvalidArgument
-from pulsegrid.functions import with_once
 from pulsegrid.operators import compaction, log
 from pulsegrid.operators.numbering import append_offsets, apply_capacity
 from pulsegrid.operators.records import as_rejects
@@ -201,7 +200,7 @@ class MessageLog:
             .agg(F.max("next_offset").alias("tail_offset"))
         )
         numbered = append_offsets(counted.filter(F.col("reason").isNull()).drop("reason"), order_by, tails)
-        kept, refused = with_once(numbered.rows, {"payload": content}), None
+        kept, refused = numbered.rows.withColumn("payload", content), None
         kept = kept.select("topic", "partition", "offset", "key", "payload")
         if (spec.capacity or self.default_capacity) > 0:
             kept, refused = apply_capacity(kept, self.partitions(), self.bases())
