@@ -186,37 +186,40 @@ def consume_positions(
     )
 
 
-def consume_batch(
-    log: DataFrame,
-    commits: DataFrame,
-    extents: DataFrame,
-    topic: str,
-    group: str,
-    batch: int = DEFAULT_BATCH,
-    partition: int | None = None,
-) -> DataFrame:
-    """The next ``batch`` messages of every partition (or one), not acknowledged.
+def messages_at(log: DataFrame, positions: DataFrame) -> DataFrame:
+    """The messages between ``start_offset`` and ``next_offset`` of every position.
 
     Adds ``next_offset``, the offset to acknowledge. A topic of ordinary width
     is read by literal ranges that prune row groups; a very wide one by a join.
     """
-    positions = consume_positions(commits, extents, topic, group, batch, partition)
     beyond = F.col("start_offset") > F.col("end_offset")
-    head = positions.orderBy(beyond.desc(), "partition").limit(LITERAL_PARTITIONS + 1).collect()
-    if partition is not None and not head:
-        raise PartitionOutOfRange(f"{topic}-{partition}")
+    head = positions.orderBy(beyond.desc(), *KEYS).limit(LITERAL_PARTITIONS + 1).collect()
     if head and head[0]["start_offset"] > head[0]["end_offset"]:
-        raise OffsetOutOfRange(f"{topic}-{head[0]['partition']}: group {group} is past the tail")
+        first = head[0]
+        raise OffsetOutOfRange(f"{first['topic']}-{first['partition']}: group {first['group']} is past the tail")
     if len(head) > LITERAL_PARTITIONS:
-        joined = log.filter(F.col("topic") == topic).join(checked_broadcast(positions.drop("group", "end_offset")), KEYS)
+        joined = log.join(checked_broadcast(positions.select(*KEYS, "start_offset", "next_offset")), KEYS)
         inside = (F.col("offset") >= F.col("start_offset")) & (F.col("offset") < F.col("next_offset"))
         return joined.filter(inside).drop("start_offset").select(*log.columns, "next_offset")
     wanted, following = F.lit(False), F.lit(None).cast("bigint")
     for row in head:
-        here = F.col("partition") == row["partition"]
+        here = _in_partition(row["topic"], row["partition"])
         wanted |= here & (F.col("offset") >= row["start_offset"]) & (F.col("offset") < row["next_offset"])
         following = F.when(here, F.lit(row["next_offset"]).cast("bigint")).otherwise(following)
-    return log.filter((F.col("topic") == topic) & wanted).withColumn("next_offset", following)
+    return log.filter(wanted).withColumn("next_offset", following)
+
+
+def consume_batch(
+    log: DataFrame,
+    commits: DataFrame,
+    extents: DataFrame,
+    topic: str,
+    group: str,
+    batch: int = DEFAULT_BATCH,
+    partition: int | None = None,
+) -> DataFrame:
+    """The next ``batch`` messages of every partition (or one), not acknowledged."""
+    return messages_at(log, consume_positions(commits, extents, topic, group, batch, partition))
 
 
 # -- watermarks, lag, statistics -----------------------------------------------

@@ -9,11 +9,10 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pulsegrid.operators import log
 from pulsegrid.operators.records import KEY_COLUMN, record_json, restamp
 from pulsegrid.operators.routing import Router
 from pulsegrid.operators.validate import rejects, to_telemetry, validate_messages
-from pulsegrid.session import BATCH_STORAGE, pin_small
+from pulsegrid.session import BATCH_STORAGE
 from pulsegrid.sources.csv_records import ARRIVAL, read_csv_records
 from pulsegrid.sources.message_log import MessageLog, Published
 from pulsegrid.sources.telemetry_table import TelemetryTable
@@ -121,9 +120,9 @@ def collect_batch(
     """
     if batch_id is None:
         batch_id = sink.next_batch_id() if isinstance(sink, TelemetryTable) else 0
-    # Fixed before the poll: one row per partition of the topic.
-    reached = pin_small(log.consume_positions(log_store.commits(), log_store.extents(), topic, group, batch))
-    done = ingest_messages(log_store.consume(topic, group, batch), sink, batch_id, rejects_folder)
+    # Read and acknowledged positions are the same whatever happens meanwhile.
+    reached = log_store.positions(topic, group, batch)
+    done = ingest_messages(log_store.messages_at(reached, topic), sink, batch_id, rejects_folder)
     log_store.acknowledge(
         reached.filter(F.col("next_offset") > F.col("start_offset")).select(
             "topic", "partition", "group", F.col("next_offset").alias("offset")

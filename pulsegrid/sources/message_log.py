@@ -242,20 +242,28 @@ class MessageLog:
 
     # -- consume -----------------------------------------------------------
 
-    def consume(
+    def positions(
         self, topic: str, group: str, batch: int = log.DEFAULT_BATCH, partition: int | None = None
     ) -> DataFrame:
-        """Next messages of a group from every partition, or from one."""
+        """Where the next poll of a group starts and ends, fixed at the time of the call."""
         spec = find_topic(self.topics, topic)
         if partition is not None:
             log.check_partition([spec], topic, partition)
-        extents, commits = pin_small(self.extents()), self.commits()
-        positions = log.consume_positions(commits, extents, topic, group, batch, partition)
-        overlap = (F.col("next_offset") > F.col("start_offset")) & (F.col("first_offset") < F.col("stop_offset"))
+        return pin_small(log.consume_positions(self.commits(), self.extents(), topic, group, batch, partition))
+
+    def consume(
+        self, topic: str, group: str, batch: int = log.DEFAULT_BATCH, partition: int | None = None
+    ) -> DataFrame:
+        """Next messages of a group from every partition, or from one."""
+        return self.messages_at(self.positions(topic, group, batch, partition), topic)
+
+    def messages_at(self, positions: DataFrame, topic: str) -> DataFrame:
+        """Messages of fixed positions; only publish batches that overlap them are opened."""
+        stop = F.col("next_offset").alias("stop_offset")
         wanted = (
             self.published()
-            .join(positions.select(*log.KEYS, "start_offset", F.col("next_offset").alias("stop_offset")), log.KEYS)
-            .filter(overlap)
+            .join(positions.select(*log.KEYS, "start_offset", stop), log.KEYS)
+            .filter((F.col("next_offset") > F.col("start_offset")) & (F.col("first_offset") < F.col("stop_offset")))
             .select("batch_id")
             .distinct()
             .take(LISTED_BATCHES + 1)
@@ -264,7 +272,7 @@ class MessageLog:
             source = self.stored_messages()
         else:
             source = self.batch_messages([r[0] for r in wanted], topic, live=False)
-        return log.consume_batch(source, commits, extents, topic, group, batch, partition)
+        return log.messages_at(source, positions)
 
     def next_commit_seq(self) -> int:
         last = self.commits().agg(F.max("commit_seq")).first()[0]
