@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+import sys
+
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pulsegrid.session import local_rows, remove_folder, shared_root, work_folder
 
+# Python workers need not have this package installed: its functions travel with the job.
+cloudpickle.register_pickle_by_value(sys.modules["pulsegrid.llm"])
+
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 # What separates words: space and the control characters 0x09 to 0x0D.
 WORD_GAP = r"[\x20\x09-\x0D]+"
@@ -50,9 +56,13 @@ def drop_staged(df: DataFrame) -> None:
         remove_folder(df.sparkSession, path)
 
 
-def with_row_id(df: DataFrame) -> DataFrame:
-    """A number per row. It is stable only once the result is staged."""
-    return df.withColumn(ROW, F.monotonically_increasing_id())
+def with_row_id(df: DataFrame, *columns: str | Column) -> DataFrame:
+    """``columns`` and a number per row, which is stable only once the result is staged.
+
+    A table that was numbered before (a stage of a pipeline) keeps its numbers.
+    """
+    number = F.col(ROW) if ROW in df.columns else F.monotonically_increasing_id().alias(ROW)
+    return df.select(*columns, number)
 
 
 def in_order(df: DataFrame, order: list[str], totals: dict[str, Column], purpose: str) -> DataFrame:

@@ -64,7 +64,7 @@ def exact_dedup(docs: DataFrame, index: DigestIndex | None = None, text: str = "
     spark = docs.sparkSession
     own = index is None
     index = index or DigestIndex(spark, f"{checkpoint_root(spark)}/pulsegrid/digests-{uuid.uuid4().hex}")
-    rows = staged(with_row_id(docs.select(F.col("doc_id").cast("long"), text_digest(text).alias("digest"))), "digests")
+    rows = staged(with_row_id(docs, F.col("doc_id").cast("long"), text_digest(text).alias("digest")), "digests")
     if own:
         middle = rows.approxQuantile("doc_id", [0.5], 0.05)
         upper = F.col("doc_id") >= F.lit(int(middle[0]) if middle else 0)
@@ -81,6 +81,7 @@ def exact_dedup(docs: DataFrame, index: DigestIndex | None = None, text: str = "
         "group_size",
         (F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col(ROW) == F.col("keep_row"))).alias("kept"),
         F.col("digest").alias("text_sha256"),
+        *([ROW] if ROW in docs.columns else []),
     )
 
 

@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 from pulsegrid.llm.exact_dedup import OP9_SQL, op9_exact_dedup
+from pulsegrid.llm.mixing import op8_mixing
 from pulsegrid.llm.sharding import op6_sharding
+from pulsegrid.llm.urls import op10_url_filters
 
 QUERIES = {
     "op6_sharding": op6_sharding,
+    "op8_mixing": op8_mixing,
     "op9_exact_dedup": op9_exact_dedup,
+    "op10_url_filters": op10_url_filters,
 }
 
 ORACLES = {
