@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from pulsegrid.llm.exact_dedup import OP9_SQL, op9_exact_dedup
 from pulsegrid.llm.mixing import op8_mixing
+from pulsegrid.llm.packing import op2_packing
 from pulsegrid.llm.sharding import op6_sharding
 from pulsegrid.llm.urls import op10_url_filters
 
 QUERIES = {
+    "op2_packing": op2_packing,
     "op6_sharding": op6_sharding,
     "op8_mixing": op8_mixing,
     "op9_exact_dedup": op9_exact_dedup,
