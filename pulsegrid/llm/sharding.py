@@ -40,13 +40,13 @@ class GroupEnds:
         widths = [1 if self.count[i] <= share else -(-(b - a + 1) // share) for i, (a, b) in zip(ids, spans)]
         if self.count[ids].sum() <= self.ranges:
             widths = [1] * len(ids)
-        spark = self.ends.sparkSession
-        fields = [T.StructField(n, T.LongType()) for n in ("lo", "hi", "width")]
-        spans_df = local_rows(spark, [(a, b, w) for (a, b), w in zip(spans, widths)], T.StructType(fields))
+        # The spans as literals: a few hundred at most, as each is where a cut may lie.
+        low, high, wide = (F.array(*(F.lit(v) for v in c)) for c in ([a for a, _ in spans], [b for _, b in spans], widths))
         near = self.ends.filter(F.col("end").between(spans[0][0], spans[-1][1]))
+        near = near.withColumn("span", F.size(F.filter(low, lambda v: v <= F.col("end"))))
         found = (
-            near.join(F.broadcast(spans_df), F.col("end").between(F.col("lo"), F.col("hi")))
-            .groupBy("lo", F.floor((F.col("end") - F.col("lo")) / F.col("width")).alias("bin"))
+            near.filter(F.col("end") <= F.element_at(high, F.col("span")))
+            .groupBy("span", F.floor((F.col("end") - F.element_at(low, F.col("span"))) / F.element_at(wide, F.col("span"))).alias("bin"))
             .agg(F.min("end").alias("first"), F.max("end").alias("final"), F.count(F.lit(1)).alias("n"))
             .select("first", "final", "n")
             .collect()
