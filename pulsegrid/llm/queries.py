@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pulsegrid.llm.exact_dedup import OP9_SQL, op9_exact_dedup
+from pulsegrid.llm.minhash import OP4_SQL, op4_minhash
 from pulsegrid.llm.mixing import op8_mixing
 from pulsegrid.llm.packing import op2_packing
 from pulsegrid.llm.sharding import op6_sharding
@@ -10,6 +11,7 @@ from pulsegrid.llm.urls import op10_url_filters
 
 QUERIES = {
     "op2_packing": op2_packing,
+    "op4_minhash": op4_minhash,
     "op6_sharding": op6_sharding,
     "op8_mixing": op8_mixing,
     "op9_exact_dedup": op9_exact_dedup,
@@ -17,5 +19,6 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op4_minhash": OP4_SQL,
     "op9_exact_dedup": OP9_SQL,
 }
