@@ -6,12 +6,14 @@ from pulsegrid.llm.exact_dedup import OP9_SQL, op9_exact_dedup
 from pulsegrid.llm.minhash import OP4_SQL, op4_minhash
 from pulsegrid.llm.mixing import op8_mixing
 from pulsegrid.llm.packing import op2_packing
+from pulsegrid.llm.quality import op5_quality
 from pulsegrid.llm.sharding import op6_sharding
 from pulsegrid.llm.urls import op10_url_filters
 
 QUERIES = {
     "op2_packing": op2_packing,
     "op4_minhash": op4_minhash,
+    "op5_quality": op5_quality,
     "op6_sharding": op6_sharding,
     "op8_mixing": op8_mixing,
     "op9_exact_dedup": op9_exact_dedup,
