@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pulsegrid.llm.exact_dedup import OP9_SQL, op9_exact_dedup
+from pulsegrid.llm.lines import OP3_SQL, op3_lines
 from pulsegrid.llm.minhash import OP4_SQL, op4_minhash
 from pulsegrid.llm.mixing import op8_mixing
 from pulsegrid.llm.packing import op2_packing
@@ -12,6 +13,7 @@ from pulsegrid.llm.urls import op10_url_filters
 
 QUERIES = {
     "op2_packing": op2_packing,
+    "op3_lines": op3_lines,
     "op4_minhash": op4_minhash,
     "op5_quality": op5_quality,
     "op6_sharding": op6_sharding,
@@ -21,6 +23,7 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op3_lines": OP3_SQL,
     "op4_minhash": OP4_SQL,
     "op9_exact_dedup": OP9_SQL,
 }
