@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pulsegrid.llm.exact_dedup import OP9_SQL, op9_exact_dedup
+from pulsegrid.llm.fingerprints import op7_fingerprints
 from pulsegrid.llm.lines import OP3_SQL, op3_lines
 from pulsegrid.llm.minhash import OP4_SQL, op4_minhash
 from pulsegrid.llm.mixing import op8_mixing
@@ -17,6 +18,7 @@ QUERIES = {
     "op4_minhash": op4_minhash,
     "op5_quality": op5_quality,
     "op6_sharding": op6_sharding,
+    "op7_fingerprints": op7_fingerprints,
     "op8_mixing": op8_mixing,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_url_filters": op10_url_filters,
