@@ -5,6 +5,7 @@ from __future__ import annotations
 from pulsegrid.llm.exact_dedup import OP9_SQL, op9_exact_dedup
 from pulsegrid.llm.fingerprints import op7_fingerprints
 from pulsegrid.llm.lines import OP3_SQL, op3_lines
+from pulsegrid.llm.maxent import op1_maxent
 from pulsegrid.llm.minhash import OP4_SQL, op4_minhash
 from pulsegrid.llm.mixing import op8_mixing
 from pulsegrid.llm.packing import op2_packing
@@ -13,6 +14,7 @@ from pulsegrid.llm.sharding import op6_sharding
 from pulsegrid.llm.urls import op10_url_filters
 
 QUERIES = {
+    "op1_maxent": op1_maxent,
     "op2_packing": op2_packing,
     "op3_lines": op3_lines,
     "op4_minhash": op4_minhash,

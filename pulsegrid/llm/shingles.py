@@ -40,25 +40,35 @@ def text_slices(batch: pa.RecordBatch, column: str = "text") -> Iterator[pa.Reco
         at = stop
 
 
-def hash_words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of the words of all texts (A-Z in lower case), and where each text's words begin.
-
-    The second array has one more entry: the number of words.
-    """
+def _word_bounds(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """All bytes, A-Z in lower case, the start and stop of every word, and where each text's words begin."""
     data = LOWER[np.frombuffer(b" ".join([*texts, b""]) if texts else b"", dtype=np.uint8)]
     firsts = np.cumsum([0] + [len(t) + 1 for t in texts])
     gap = IS_GAP[data]
     before = np.concatenate(([True], gap[:-1])) if len(gap) else gap
     start = np.flatnonzero(before & ~gap)
-    bounds = np.searchsorted(start, firsts)
+    return data, start, np.flatnonzero(gap & ~before), np.searchsorted(start, firsts)
+
+
+def word_endings(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The last two bytes of every word as a number (one-byte words: the byte)."""
+    data, start, stop, bounds = _word_bounds(texts)
+    last = data[stop - 1].astype(np.int64)
+    return last + 256 * np.where(stop - start > 1, data[stop - 2], 0).astype(np.int64), bounds
+
+
+def hash_words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the words of all texts (A-Z in lower case), and where each text's words begin.
+
+    The second array has one more entry: the number of words.
+    """
+    data, start, stop, bounds = _word_bounds(texts)
     if not len(start):
         return np.zeros(0, np.uint64), bounds
-    stop = np.flatnonzero(gap & ~before)
     length = stop - start
     power = np.cumprod(np.full(int(length.max()), STEP, dtype=np.uint64))
-    inside = ~gap
     place = np.arange(int(length.sum())) - np.repeat(np.cumsum(length) - length, length)
-    value = BYTE_HASH[data[inside]] * power[place]
+    value = BYTE_HASH[data[~IS_GAP[data]]] * power[place]
     return mix64(np.add.reduceat(value, np.cumsum(length) - length) + length.astype(np.uint64)), bounds
 
 
