@@ -19,7 +19,7 @@ UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 WORD_GAP = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
 # One name for the position of a row in its staged input; no input column should clash with it.
-ROW = "__row"
+ROW = "__pulsegrid_row"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
