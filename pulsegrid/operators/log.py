@@ -170,17 +170,21 @@ def consume_positions(
     extents: DataFrame,
     topic: str,
     group: str,
-    batch: int = DEFAULT_BATCH,
+    batch: int | None = DEFAULT_BATCH,
     partition: int | None = None,
 ) -> DataFrame:
-    """Where one poll of every partition starts and where the next one would."""
-    if batch <= 0:
+    """Where one poll of every partition starts and where the next one would.
+
+    Without ``batch`` the poll reaches to the tail.
+    """
+    if batch is not None and batch <= 0:
         raise InvalidArgument("batch must be > 0")
     mine = extents.filter(F.col("topic") == topic)
     if partition is not None:
         mine = mine.filter(F.col("partition") == partition)
     at = committed_offsets(commits, mine, group)
-    stop = F.greatest(F.least(F.col("offset") + batch, F.col("end_offset")), F.col("offset"))
+    end = F.col("end_offset")
+    stop = F.greatest(end if batch is None else F.least(F.col("offset") + batch, end), F.col("offset"))
     return at.select(
         *KEYS, "group", F.col("offset").alias("start_offset"), stop.alias("next_offset"), "end_offset"
     )

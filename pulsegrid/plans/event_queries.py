@@ -682,10 +682,10 @@ def publish_log(spark, sf_dir):
 
 @query
 def collect_from_log(spark, sf_dir):
-    """One poll larger than the log, then the same messages once more."""
+    """One poll to the tail, then the same messages once more."""
     store, table = filled_log(spark, sf_dir), TelemetryTable(spark, work_folder(spark, "table"))
-    collect_batch(store, table, "telemetry", "db", batch=1_000_000_000)
-    collect_batch(store, table, "alerts", "db", batch=1_000_000_000)
+    collect_batch(store, table, "telemetry", "db", batch=None)
+    collect_batch(store, table, "alerts", "db", batch=None)
     return table.read().select("gpu_id", "timestamp", "data", "batch_id")
 
 

@@ -47,6 +47,7 @@ def publish_records(
     restamped: bool = True,
     router: Router | None = None,
     batch_id: int | None = None,
+    source: str = "",
 ) -> Published:
     """Restamp records, turn them into messages and append them to the log.
 
@@ -63,7 +64,7 @@ def publish_records(
         F.struct(*[F.col(f"`{c}`") for c in body]).alias("record"),
         *[column.alias(name) for name, column in order.items()],
     )
-    return log_store.publish(rows, topic, list(order), router, batch_id, payload=record_json(body, "record"))
+    return log_store.publish(rows, topic, list(order), router, batch_id, record_json(body, "record"), source)
 
 
 def publish_csv(
@@ -81,6 +82,7 @@ def ingest_messages(
     rejects_folder: str | None = None,
     encoding: str = "text",
     clustered: bool = True,
+    source: str = "",
 ) -> Collected:
     """Decode, validate and insert one batch of log messages.
 
@@ -91,14 +93,15 @@ def ingest_messages(
     try:
         polled, rejected = kept.agg(F.count(F.lit(1)), F.count("reason")).first()
         if rejects_folder is not None and rejected:
-            rejects(kept).withColumn("batch_id", F.lit(batch_id).cast("bigint")).write.mode("overwrite").option(
+            batch = {"source": F.lit(source), "batch_id": F.lit(batch_id).cast("bigint")}
+            rejects(kept).withColumns(batch).write.mode("overwrite").option(
                 "partitionOverwriteMode", "dynamic"
-            ).partitionBy("batch_id").parquet(rejects_folder)
+            ).partitionBy(*batch).parquet(rejects_folder)
         rows = to_telemetry(kept, keep=LOG_ORDER)
         if not isinstance(sink, TelemetryTable):
             sink(rows, batch_id)
             return Collected(batch_id, polled, rejected, None, None)
-        inserted = sink.insert(rows, LOG_ORDER, batch_id, clustered=clustered).count()
+        inserted = sink.insert(rows, LOG_ORDER, batch_id, clustered=clustered, source=source).count()
         return Collected(batch_id, polled, rejected, inserted, polled - rejected - inserted)
     finally:
         kept.unpersist()
@@ -109,12 +112,13 @@ def collect_batch(
     sink: TelemetryTable | Sink,
     topic: str,
     group: str,
-    batch: int = POLL_BATCH,
+    batch: int | None = POLL_BATCH,
     batch_id: int | None = None,
     rejects_folder: str | None = None,
 ) -> Collected:
     """One poll of every partition: read, validate, insert, then acknowledge.
 
+    ``batch`` messages of each partition are polled, or with None all to the tail.
     Bad messages are acknowledged with the rest. If the call fails before the
     acknowledgement the same messages come again, and the insert ignores them.
     """

@@ -60,6 +60,14 @@ PUBLISHED = _struct(
     ("first_offset", T.LongType()),
     ("next_offset", T.LongType()),
     ("batch_id", T.LongType()),
+    ("source", T.StringType()),
+    ("source_batch", T.LongType()),
+)
+
+INSERTED = _struct(
+    ("batch_id", T.LongType()),
+    ("source", T.StringType()),
+    ("source_batch", T.LongType()),
 )
 
 COMMIT = _struct(
@@ -93,6 +101,7 @@ SNAPSHOT = _struct(
 # One row per micro-batch.
 INGEST_METRICS = _struct(
     ("query", T.StringType()),
+    ("topic", T.StringType()),
     ("batch_id", T.LongType()),
     ("polled", T.LongType()),
     ("rejected", T.LongType()),

@@ -9,6 +9,10 @@
 ``rejects``      messages a publish refused, with the reason
 ``snapshots``    tails and watermarks over time, for monitoring
 
+A batch is known by its topic, its source and its number there: several
+producers, streams and topics share a log, and a batch that is published again
+is found in the index and left as it is.
+
 One writer per log at a time. Extents, lag, watermarks and compaction work on
 the three small tables and never open a message file.
 """
@@ -170,18 +174,26 @@ class MessageLog:
         router: Router | None = None,
         batch_id: int | None = None,
         payload: str | Column = "payload",
+        source: str = "",
     ) -> Published:
         """Route, number and store ``key, payload`` rows in ``order_by`` order.
 
         ``payload`` may be an expression over the other columns. It is evaluated
         once, after the rows have been numbered.
 
-        Publishing the same ``batch_id`` again replaces that batch, so a retried
-        micro-batch takes the same offsets. Rows without a key, outside the
-        topic or beyond its capacity are set aside with a reason.
+        ``batch_id`` is the number of the batch at its ``source``. A batch that
+        was published completely is not published again, so a retried
+        micro-batch keeps its offsets; one that broke off was never visible and
+        starts over. Rows without a key, outside the topic or beyond its
+        capacity are set aside with a reason.
         """
         spec = find_topic(self.topics, topic)
-        batch_id = self.next_batch_id() if batch_id is None else batch_id
+        done = self._find_batch(topic, source, batch_id)
+        if done is not None:
+            return self._published_batch(topic, done)
+        source_batch, batch_id = batch_id, self.next_batch_id()
+        if source_batch is not None and not source:
+            batch_id = max(batch_id, source_batch)
         content = (F.col(payload) if isinstance(payload, str) else payload).cast("string")
         chosen = router or route_modulo(spec.partitions)
         routed = route_messages(
@@ -195,10 +207,11 @@ class MessageLog:
         counted = routed.withColumn("reason", reason).observe(seen, F.count("reason").alias("refused"))
         tails = (
             self.published()
-            .filter(F.col("batch_id") < batch_id)
+            .filter(F.col("topic") == topic)
             .groupBy(*log.KEYS)
             .agg(F.max("next_offset").alias("tail_offset"))
         )
+        remove_folder(self.spark, self._batch_folder(topic, batch_id))
         numbered = append_offsets(counted.filter(F.col("reason").isNull()).drop("reason"), order_by, tails)
         kept, refused = numbered.rows.withColumn("payload", content), None
         kept = kept.select("topic", "partition", "offset", "key", "payload")
@@ -217,33 +230,49 @@ class MessageLog:
         ).sortWithinPartitions(*placed).write.mode("overwrite").option(
             "partitionOverwriteMode", "dynamic"
         ).partitionBy(*BATCH_KEYS).parquet(self.folder("messages"))
-        stored = self._table("messages", MESSAGE).filter(
-            (F.col("topic") == topic) & (F.col("batch_id") == batch_id)
-        )
+        stored = self.batch_messages([batch_id], topic, live=False)
         # Refused rows cost a second pass over the input only if there are any.
         if seen.get["refused"] > 0:
             marked = routed.withColumn("reason", reason).filter(F.col("reason").isNotNull())
             early = as_rejects(marked.select("reason", content.alias("raw"), "topic"))
             refused = early if refused is None else refused.union(early)
         if refused is not None:
-            self._write_batch(refused, "rejects", batch_id)
+            self._write_batch(refused, "rejects", topic, batch_id)
         taken = stored.groupBy(*log.KEYS).agg(
             F.min("offset").alias("first_offset"), (F.max("offset") + 1).alias("next_offset")
         )
-        self._write_batch(taken.coalesce(1), "published", batch_id)
+        taken = pin_small(taken)
+        if taken.isEmpty():
+            # The batch exists, and takes no offsets.
+            tail = tails.filter("partition = 0").first()
+            at = tail["tail_offset"] if tail else 0
+            taken = local_rows(self.spark, [(topic, 0, at, at)], T.StructType(PUBLISHED.fields[:4]))
+        identity = {"source": F.lit(source), "source_batch": F.lit(source_batch).cast("bigint")}
+        self._write_batch(taken.withColumns(identity).coalesce(1), "published", topic, batch_id)
         numbered.release()
-        return Published(batch_id, stored, self.rejects().filter(F.col("batch_id") == batch_id))
+        return self._published_batch(topic, batch_id)
 
-    def _write_batch(self, rows: DataFrame, name: str, batch_id: int) -> None:
-        """Store rows under the batch, replacing what an earlier attempt left."""
-        rows.withColumn("batch_id", F.lit(batch_id).cast("bigint")).write.mode("overwrite").option(
-            "partitionOverwriteMode", "dynamic"
-        ).partitionBy("batch_id").parquet(self.folder(name))
+    def _find_batch(self, topic: str, source: str, source_batch: int | None) -> int | None:
+        """The batch that a source has published under a number."""
+        if source_batch is None:
+            return None
+        same = (F.col("topic") == topic) & (F.col("source") == source) & (F.col("source_batch") == source_batch)
+        return self.published().filter(same).agg(F.min("batch_id")).first()[0]
+
+    def _published_batch(self, topic: str, batch_id: int) -> Published:
+        refused = self.rejects().filter((F.col("topic") == topic) & (F.col("batch_id") == batch_id))
+        return Published(batch_id, self.batch_messages([batch_id], topic, live=False), refused)
+
+    def _write_batch(self, rows: DataFrame, name: str, topic: str, batch_id: int) -> None:
+        """Store rows under the batch, replacing what an attempt that broke off left."""
+        rows.withColumns({"topic": F.lit(topic), "batch_id": F.lit(batch_id).cast("bigint")}).write.mode(
+            "overwrite"
+        ).option("partitionOverwriteMode", "dynamic").partitionBy(*BATCH_KEYS).parquet(self.folder(name))
 
     # -- consume -----------------------------------------------------------
 
     def positions(
-        self, topic: str, group: str, batch: int = log.DEFAULT_BATCH, partition: int | None = None
+        self, topic: str, group: str, batch: int | None = log.DEFAULT_BATCH, partition: int | None = None
     ) -> DataFrame:
         """Where the next poll of a group starts and ends, fixed at the time of the call."""
         spec = find_topic(self.topics, topic)

@@ -2,8 +2,9 @@
 
 Files are sorted by (gpu_id, timestamp), so a scan for one device reads few row
 groups; ``event_date`` folders answer time ranges. Every insert writes its own
-``batch_id`` folders and compares itself with smaller ids only, hence a retried
-insert replaces its first attempt and changes nothing else. One writer at a time.
+``batch_id`` folders and then a row of the index ``_inserts`` that says which
+batch of which source it was. A batch found there is not inserted again, so
+several collectors share a table and a retry writes no file. One writer at a time.
 """
 
 from __future__ import annotations
@@ -14,9 +15,10 @@ from datetime import date
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pulsegrid.errors import InvalidArgument
 from pulsegrid.functions import json_field
 from pulsegrid.operators.dedup import TELEMETRY_KEY, distinct_dates, insert_if_absent, prune_dates
-from pulsegrid.schema import TELEMETRY
+from pulsegrid.schema import INSERTED, TELEMETRY
 from pulsegrid.session import folder_exists, local_rows, split_by_range
 
 
@@ -65,13 +67,23 @@ class TelemetryTable:
                 return self.spark.read.schema(TELEMETRY).option("basePath", self.path).parquet(*present)
         return local_rows(self.spark, [], TELEMETRY)
 
+    def inserts(self) -> DataFrame:
+        """Batches inserted so far and where they came from: a row each."""
+        folder = f"{self.path}/_inserts"
+        if not folder_exists(self.spark, folder):
+            return local_rows(self.spark, [], INSERTED)
+        return self.spark.read.schema(INSERTED).parquet(folder)
+
     def next_batch_id(self) -> int:
-        """One more than the largest batch folder; a listing, no file is opened."""
-        jvm = self.spark.sparkContext._jvm
-        pattern = jvm.org.apache.hadoop.fs.Path(f"{self.path}/event_date=*/batch_id=*")
-        fs = pattern.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
-        ids = [int(s.getPath().getName().split("=")[1]) for s in fs.globStatus(pattern) or []]
-        return max(ids, default=-1) + 1
+        """One more than the largest batch; only the index is read."""
+        last = self.inserts().agg(F.max("batch_id")).first()[0]
+        return 0 if last is None else last + 1
+
+    def _find_batch(self, source: str, source_batch: int | None) -> int | None:
+        if source_batch is None:
+            return None
+        same = (F.col("source") == source) & (F.col("source_batch") == source_batch)
+        return self.inserts().filter(same).agg(F.min("batch_id")).first()[0]
 
     def insert(
         self,
@@ -80,17 +92,27 @@ class TelemetryTable:
         batch_id: int | None = None,
         key_cols: Sequence[str] = TELEMETRY_KEY,
         clustered: bool = True,
+        source: str = "",
     ) -> DataFrame:
         """Store the rows whose key is new and return them as stored.
 
         ``order_by`` says which of two rows with one key arrived first. It may
         name columns that are not stored, such as a log offset. ``key_cols`` may
-        add fields of ``data`` (``metric_name``) to the key.
+        add fields of ``data`` (``metric_name``) to the key. ``batch_id`` is the
+        number of the batch at its ``source``; a batch that was inserted before
+        is returned as it is. A row without a timestamp fails the call.
         """
-        batch_id = self.next_batch_id() if batch_id is None else batch_id
+        source_batch, done = batch_id, self._find_batch(source, batch_id)
         dated = with_key_fields(rows.withColumn("event_date", F.to_date("timestamp")), key_cols)
         dates = distinct_dates(dated)
-        stored = self.read(dates).filter(F.col("batch_id") < batch_id)
+        if done is not None:
+            return self.read(dates).filter(F.col("batch_id") == done)
+        if dates is not None and None in dates:
+            raise InvalidArgument("a row has no timestamp")
+        batch_id = self.next_batch_id()
+        if source_batch is not None and not source:
+            batch_id = max(batch_id, source_batch)
+        stored = self.read(dates).filter(F.col("batch_id") != batch_id)
         target = with_key_fields(stored, key_cols)
         if dates is None:
             target = prune_dates(target, dated)
@@ -104,4 +126,7 @@ class TelemetryTable:
         )
         write = (cluster(fresh) if clustered else fresh).write.mode("overwrite")
         write.option("partitionOverwriteMode", "dynamic").partitionBy("event_date", "batch_id").parquet(self.path)
+        local_rows(self.spark, [(batch_id, source, source_batch)], INSERTED).coalesce(1).write.mode("append").parquet(
+            f"{self.path}/_inserts"
+        )
         return self.read(dates).filter(F.col("batch_id") == batch_id)

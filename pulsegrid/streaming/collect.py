@@ -13,14 +13,17 @@ from pulsegrid.schema import INGEST_METRICS, PUBLISHED
 from pulsegrid.session import local_rows
 from pulsegrid.sources.message_log import MessageLog
 from pulsegrid.sources.telemetry_table import TelemetryTable
+from pulsegrid.streaming.publish import source_name
 
 
-def published_stream(log_store: MessageLog, max_batches: int | None = None) -> DataFrame:
+# Publish batches that one micro-batch takes at most; their numbers go to the driver.
+MAX_BATCHES = 256
+
+
+def published_stream(log_store: MessageLog, max_batches: int = MAX_BATCHES) -> DataFrame:
     """Publish batches as they become visible; ``max_batches`` bounds a micro-batch."""
-    reader = log_store.spark.readStream.schema(PUBLISHED)
-    if max_batches:
-        # A publish writes exactly one index file.
-        reader = reader.option("maxFilesPerTrigger", max_batches)
+    # A publish writes exactly one index file.
+    reader = log_store.spark.readStream.schema(PUBLISHED).option("maxFilesPerTrigger", max_batches)
     return reader.parquet(log_store.folder("published"))
 
 
@@ -30,17 +33,20 @@ def stream_collect(
     topic: str,
     group: str,
     checkpoint: str,
-    max_batches: int | None = None,
+    max_batches: int = MAX_BATCHES,
     rejects_folder: str | None = None,
     metrics_folder: str | None = None,
     trigger: dict | None = None,
+    source: str | None = None,
 ) -> StreamingQuery:
     """Continuously validate and insert what is published, then commit for ``group``.
 
     The stream follows the publish index, one small row per partition and batch,
     and reads the messages of those batches as an ordinary pruned scan. A batch
     is therefore seen whole and in order. Each group runs its own query with its
-    own checkpoint; the commits it leaves drive lag and compaction. The default
+    own checkpoint; the commits it leaves drive lag and compaction. ``source``, by
+    default the checkpoint, and the micro-batch id are the identity of an insert,
+    so several collectors may fill one table, one after the other. The default
     trigger drains what is there and stops; ``POLL_TRIGGER`` keeps polling.
     """
     if not group:
@@ -51,11 +57,11 @@ def stream_collect(
         batches = [r[0] for r in mine.select("batch_id").distinct().collect()]
         if not batches:
             return
-        done = ingest_messages(log_store.batch_messages(batches, topic), sink, batch_id, rejects_folder)
+        done = ingest_messages(log_store.batch_messages(batches, topic), sink, batch_id, rejects_folder, source=source or source_name(checkpoint))
         reached = mine.groupBy("topic", "partition").agg(F.max("next_offset").alias("offset"))
         log_store.acknowledge(reached.withColumn("group", F.lit(group)))
         if metrics_folder is not None:
-            record_metrics(log_store, group, done, metrics_folder)
+            record_metrics(log_store, group, topic, done, metrics_folder)
 
     return (
         published_stream(log_store, max_batches)
@@ -67,16 +73,16 @@ def stream_collect(
     )
 
 
-def record_metrics(log_store: MessageLog, query: str, done: Collected, folder: str) -> None:
+def record_metrics(log_store: MessageLog, query: str, topic: str, done: Collected, folder: str) -> None:
     """One row per micro-batch; a retry replaces its row."""
     row = local_rows(
         log_store.spark,
-        [(query, done.batch_id, done.polled, done.rejected, done.inserted, done.duplicates)],
+        [(query, topic, done.batch_id, done.polled, done.rejected, done.inserted, done.duplicates)],
         T.StructType(INGEST_METRICS.fields[:-1]),
     )
     row.withColumn("recorded_at", F.current_timestamp()).write.mode("overwrite").option(
         "partitionOverwriteMode", "dynamic"
-    ).partitionBy("query", "batch_id").parquet(folder)
+    ).partitionBy("query", "topic", "batch_id").parquet(folder)
 
 
 def ingest_metrics(log_store: MessageLog, folder: str) -> DataFrame:

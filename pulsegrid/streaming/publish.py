@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 from datetime import datetime
 
@@ -15,6 +16,11 @@ from pulsegrid.sources.csv_records import ARRIVAL, order_rows
 from pulsegrid.sources.message_log import MessageLog
 
 
+def source_name(checkpoint: str) -> str:
+    """The identity of a stream: its checkpoint, as a name that folders can have."""
+    return hashlib.sha256(checkpoint.rstrip("/").encode()).hexdigest()[:16]
+
+
 def stream_publish(
     records: DataFrame,
     log_store: MessageLog,
@@ -26,12 +32,15 @@ def stream_publish(
     router: Router | None = None,
     sink: Callable[[DataFrame, int], None] | None = None,
     trigger: dict | None = None,
+    source: str | None = None,
 ) -> StreamingQuery:
     """Continuously restamp, key, route and append records.
 
     One device always goes to one partition and batches are numbered one after
-    the other, so the order per device is kept. The micro-batch id is the
-    publish batch id: a retried micro-batch replaces itself. A column called
+    the other, so the order per device is kept. ``source``, by default the
+    checkpoint, and the micro-batch id are the identity of a batch: a retried
+    micro-batch is published once, and other streams may write to the same log,
+    one after the other. A column called
     ``arrival`` orders the batch, and rows it ties keep the order of their file.
     ``sink`` takes the place of the log.
     """
@@ -42,7 +51,7 @@ def stream_publish(
             return
         kept = order_rows(batch).persist(BATCH_STORAGE)
         try:
-            publish_records(log_store, kept, topic, order_by, stamp, restamped, router, batch_id)
+            publish_records(log_store, kept, topic, order_by, stamp, restamped, router, batch_id, source or source_name(checkpoint))
         finally:
             kept.unpersist()
 
