@@ -30,12 +30,13 @@ RUNTIME_CONF = {
     ),
 }
 
-# Target size of a range in a range shuffle, and the most ranges asked for.
+# Target size of a range in a range shuffle.
 RANGE_BYTES = 256 << 20
-MAX_RANGES = 100_000
 
-# A side is broadcast only when it has at most this many (narrow) rows.
+# A side of up to this many (narrow) rows is pinned as a local relation, and of
+# up to this many bytes broadcast.
 BROADCAST_ROWS = 50_000
+BROADCAST_BYTES = 256 << 20
 
 
 def build_session(app_name: str = "pulsegrid", master: str | None = None, **conf: str) -> SparkSession:
@@ -121,22 +122,36 @@ def pin_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
 
 
 def checked_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """A narrow join side, broadcast when proven small; else the join is left to AQE."""
+    """A narrow join side, broadcast when proven small; else the join is left to AQE.
+
+    Beyond ``rows`` the bound is in bytes, as for the shifts of a numbering: a
+    narrow row per range is some 20 MB for 100 TB.
+    """
     head = df.take(rows + 1)
-    return local_rows(df.sparkSession, head, df.schema).hint("broadcast") if len(head) <= rows else df
+    if len(head) <= rows:
+        return local_rows(df.sparkSession, head, df.schema).hint("broadcast")
+    most = BROADCAST_BYTES // row_bytes(df.schema)
+    return df.hint("broadcast") if df.limit(most + 1).count() <= most else df
+
+
+def row_bytes(schema: T.StructType) -> int:
+    """A broadcast row in memory: its header, a word per field and room for short strings."""
+    return 32 + sum(8 + (40 if isinstance(f.dataType, (T.StringType, T.BinaryType)) else 0) for f in schema.fields)
 
 
 def range_count(df: DataFrame) -> int | None:
-    """How many ranges a large input needs, from the plan's size estimate.
+    """How many ranges a large input needs, from the sizes of the tables it reads.
 
-    None leaves ``spark.sql.shuffle.partitions`` and AQE in charge: for inputs
-    they suffice for, and for sources of unknown size.
+    The estimate of a join would be the product of its sides. None leaves
+    ``spark.sql.shuffle.partitions`` and AQE in charge: for inputs they suffice
+    for, and for sources of unknown size.
     """
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    size = sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
     needed = -(-size // RANGE_BYTES)
     configured = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     unknown = size >= 1 << 60
-    return None if unknown or needed <= configured else min(needed, MAX_RANGES)
+    return None if unknown or needed <= configured else needed
 
 
 def split_by_range(df: DataFrame, *order: str | Column, ranges: int | None = None) -> DataFrame:
