@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from datetime import date
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pulsegrid.session import BROADCAST_ROWS, has_at_most
@@ -20,13 +20,12 @@ def dedup_first(
 ) -> DataFrame:
     """One row per key: the one that arrived first.
 
-    An aggregate combines before the shuffle, so a key that is repeated a
-    billion times crosses the network once per task.
+    Each task keeps the first row of every key before the shuffle (a group
+    limit), so a key that is repeated a billion times crosses the network once
+    per task.
     """
-    rest = [c for c in rows.columns if c not in key_cols]
-    order = F.struct(*[F.col(c) if isinstance(c, str) else c for c in order_by])
-    first = rows.groupBy(*key_cols).agg(F.min_by(F.struct(*rest), order).alias("_row"))
-    return first.select(*key_cols, *[F.col("_row")[c].alias(c) for c in rest]).select(*rows.columns)
+    place = F.row_number().over(Window.partitionBy(*key_cols).orderBy(*order_by))
+    return rows.withColumn("_place", place).filter("_place = 1").select(*rows.columns)
 
 
 def distinct_dates(batch: DataFrame, date_col: str = "event_date") -> list[date] | None:

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from pulsegrid.operators.routing import ring_points
-
 GPU = "gpu-0001"
 MICROS = "strftime(ts, '%Y-%m-%dT%H:%M:%S.%fZ')"
 
@@ -65,9 +63,12 @@ def with_log(sql: str) -> str:
     return f"WITH {LOG} {sql}"
 
 
-def ring_sql(topic: str, partitions: int) -> str:
-    points = ", ".join(f"({h}, {p})" for h, p in ring_points(topic, partitions))
-    return f"(VALUES {points}) ring(h, p)"
+def ring_sql(topic: str, partitions: int, replicas: int = 3) -> str:
+    """The points of the ring, hashed in SQL; on a collision the later partition wins."""
+    return f"""(SELECT h, max(p) AS p FROM (
+        SELECT p, list_reduce(list_transform(string_split('{topic}-' || p || '-' || r, ''), lambda x: ord(x)::BIGINT),
+                              lambda h, b: (xor(h, b) * 16777619) & 4294967295, 2166136261::BIGINT) AS h
+        FROM range({partitions}) x(p), range({replicas}) y(r)) GROUP BY h) ring"""
 
 
 HOURLY = T + """, hourly AS (
@@ -113,6 +114,39 @@ ORACLES = {
         f"""SELECT gpu_id, ts AS "timestamp", '{{"k":' || json_extract_string(data, '$.k') || '}}' AS data
             FROM t WHERE {RANGE}"""
     ),
+    "gpu_records": with_t(
+        f"""SELECT gpu_id, ts AS "timestamp", '{{"k":' || json_extract_string(data, '$.k') || '}}' AS data
+            FROM t WHERE gpu_id = '{GPU}' AND {RANGE}"""
+    ),
+    "gpu_fields": with_t(f"SELECT DISTINCT gpu_id, 'k' AS field FROM t WHERE gpu_id = '{GPU}' AND {RANGE}"),
+    "gpu_range": with_t(
+        f"""SELECT gpu_id, count(*) AS "count", TIMESTAMP '2024-01-10' AS start_time, TIMESTAMP '2024-01-20' AS end_time
+            FROM t WHERE gpu_id = '{GPU}' AND {RANGE} GROUP BY gpu_id"""
+    ),
+    "sample_rows": with_t("SELECT least(10, count(*)) AS sampled, 0::BIGINT AS foreign FROM t").replace(
+        "AS foreign", 'AS "foreign"'
+    ),
+    "two_topics_streamed": with_log('SELECT topic, "partition", "offset", "key" FROM log'),
+    "two_sources_one_topic": with_log(
+        """SELECT topic, "partition", row_number() OVER (PARTITION BY "partition" ORDER BY arrival % 2, arrival) - 1 AS "offset",
+                  "key", payload FROM log WHERE topic = 'telemetry'"""
+    ),
+    "two_collectors_one_table": f"""WITH {MESSAGES} SELECT "key" AS gpu_id, ts AS "timestamp", payload AS data FROM m""",
+    "stream_bounded": with_t(
+        """SELECT event_id % 2 AS batch_id, count(*) AS polled, 0::BIGINT AS rejected, count(*) AS inserted,
+                  0::BIGINT AS duplicates FROM t GROUP BY 1"""
+    ),
+    "publish_rejects": with_t(
+        """SELECT CASE metric_name WHEN 'purchase' THEN 'missing_key' WHEN 'error' THEN 'partition_range' ELSE 'kept' END AS reason,
+                  count(*) AS messages FROM t GROUP BY 1"""
+    ),
+    "own_publisher": with_t("SELECT event_id AS arrival, gpu_id, CAST(value AS VARCHAR) AS value FROM t"),
+    "own_sink": f"""WITH {MESSAGES} SELECT "key" AS gpu_id, ts AS "timestamp", payload AS data FROM m WHERE metric_name = 'error'""",
+    "multi_group_watermark": with_log(
+        """SELECT topic, "partition", CASE topic WHEN 'telemetry' THEN least(coalesce(n, 0), 100) ELSE 0 END AS watermark
+           FROM listed LEFT JOIN ends USING (topic, "partition")"""
+    ),
+    "group_offsets": with_log('SELECT topic, "partition", end_offset + 3 AS "offset" FROM extents'),
     "response_summary": with_t(
         """SELECT gpu_id, count(*) AS "count", min(ts) AS start_time, TIMESTAMP '2024-01-20' AS end_time
            FROM t WHERE ts <= TIMESTAMP '2024-01-20' GROUP BY gpu_id"""
@@ -292,7 +326,7 @@ ORACLES = {
     ),
     "publish_from_csv": with_log(
         """SELECT topic, "partition", count(*) AS messages, 0::BIGINT AS first_offset, count(*) - 1 AS last_offset,
-                  count(*) AS offsets, count(DISTINCT "key") AS gpus
+                  count(*) AS offsets, count(DISTINCT "key") AS gpus, 0::BIGINT AS out_of_order
            FROM log WHERE topic = 'telemetry' GROUP BY ALL"""
     ),
     "publish_log": with_log('SELECT topic, "partition", "offset", "key", payload FROM log'),
@@ -304,7 +338,8 @@ ORACLES = {
            WHERE topic NOT IN (SELECT topic FROM due) OR "offset" >= n * 3 // 10"""
     ),
     "stream_publish_csv": with_log(
-        """SELECT "key", "partition", count(*) AS messages FROM log WHERE topic = 'telemetry' GROUP BY ALL"""
+        """SELECT "key", "partition", count(*) AS messages, 0::BIGINT AS gaps, n AS offsets
+           FROM log JOIN ends USING (topic, "partition") WHERE topic = 'telemetry' GROUP BY ALL"""
     ),
     "stream_collected": f"""WITH {HOURLY} SELECT gpu_id, ts AS "timestamp",
         '{{"gpu_id":"' || gpu_id || '","k":"' || json_extract_string(data, '$.k') || '","timestamp":"'

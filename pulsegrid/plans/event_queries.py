@@ -26,7 +26,7 @@ from pulsegrid.functions import (
 )
 from pulsegrid.operators import compaction, dedup, log, numbering, records, routing, telemetry, validate
 from pulsegrid.plans.ingest import collect_batch, publish_csv, publish_records
-from pulsegrid.plans.response import telemetry_of_all
+from pulsegrid.plans.response import get_gpu_telemetry, telemetry_of_all
 from pulsegrid.schema import METRIC_COLUMNS, TopicSpec, topic_partitions
 from pulsegrid.session import local_rows, pin_small, prepare_session, work_folder
 from pulsegrid.sources.csv_records import read_csv_records, read_metric_rows, stream_csv_records
@@ -233,6 +233,26 @@ def response_records(spark, sf_dir):
     return telemetry_of_all(events_as_telemetry(spark, sf_dir), START, END).records
 
 
+def one_gpu(spark: SparkSession, sf_dir: str):
+    return get_gpu_telemetry(events_as_telemetry(spark, sf_dir), GPU, "2024-01-10T00:00:00Z", "2024-01-20T01:00:00+01:00")
+
+
+@query
+def gpu_records(spark, sf_dir):
+    """One device between two times given as text."""
+    return one_gpu(spark, sf_dir).records
+
+
+@query
+def gpu_fields(spark, sf_dir):
+    return one_gpu(spark, sf_dir).fields
+
+
+@query
+def gpu_range(spark, sf_dir):
+    return one_gpu(spark, sf_dir).summary
+
+
 @query
 def response_summary(spark, sf_dir):
     return telemetry_of_all(events_as_telemetry(spark, sf_dir), end=END).summary
@@ -256,7 +276,11 @@ def latest_ingested(spark, sf_dir):
 
 @query
 def sample_rows(spark, sf_dir):
-    return telemetry.sample_rows(events_as_telemetry(spark, sf_dir), 10)
+    """Any rows may be drawn: how many were, and how many of them the table does not have."""
+    rows = events_as_telemetry(spark, sf_dir)
+    drawn = telemetry.sample_rows(rows, 10).select("event_id", "gpu_id", F.lit(True).alias("drawn"))
+    found = drawn.join(rows.select("event_id", "gpu_id", F.lit(True).alias("known")), ["event_id", "gpu_id"], "left")
+    return found.agg(F.count("drawn").alias("sampled"), F.count(F.when(F.col("known").isNull(), True)).alias("foreign"))
 
 
 @query
@@ -313,6 +337,114 @@ def write_telemetry(spark, sf_dir):
     return table.read().select("gpu_id", "timestamp", "data", "batch_id")
 
 
+def events_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events as a stream of records."""
+    events = spark.readStream.schema(EVENTS).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    return events.select(
+        F.col("event_id").alias("arrival"),
+        gpu_name().alias("gpu_id"),
+        F.date_format(F.col("ts").cast("timestamp"), MICROS).alias("timestamp"),
+        F.col("event_type").alias("metric_name"),
+        F.col("value").cast("string").alias("value"),
+        F.col("props").alias("data"),
+    )
+
+
+@query
+def two_topics_streamed(spark, sf_dir):
+    """Two streams with checkpoints of their own into one log."""
+    store = MessageLog(spark, work_folder(spark, "log"), TOPICS)
+    rows = events_stream(spark, sf_dir)
+    for topic, mine in (("telemetry", rows), ("alerts", rows.filter(F.col("metric_name") == "error"))):
+        stream_publish(mine, store, topic, work_folder(spark, "checkpoint"), restamped=False).awaitTermination()
+    return store.messages().select("topic", "partition", "offset", "key")
+
+
+@query
+def two_sources_one_topic(spark, sf_dir):
+    """Even and odd events from two producers that number their batches alike; both are retried."""
+    store = MessageLog(spark, work_folder(spark, "log"), TOPICS)
+    rows = event_records(spark, sf_dir)
+    for name, rest in (("a", 0), ("b", 1), ("a", 0), ("b", 1)):
+        publish_records(store, rows.filter(F.col("arrival") % 2 == rest), "telemetry", restamped=False, batch_id=0, source=name)
+    return store.messages().select("topic", "partition", "offset", "key", "payload")
+
+
+def split_log(spark: SparkSession, sf_dir: str) -> MessageLog:
+    """Even events in one topic, odd ones in the other."""
+    store = MessageLog(spark, work_folder(spark, "log"), TOPICS)
+    rows = event_records(spark, sf_dir)
+    for topic, rest in (("telemetry", 0), ("alerts", 1)):
+        publish_records(store, rows.filter(F.col("arrival") % 2 == rest), topic, restamped=False)
+    return store
+
+
+@query
+def two_collectors_one_table(spark, sf_dir):
+    store, table = split_log(spark, sf_dir), TelemetryTable(spark, work_folder(spark, "table"))
+    for topic in ("telemetry", "alerts"):
+        stream_collect(store, table, topic, "db", work_folder(spark, "checkpoint")).awaitTermination()
+    return table.read().select("gpu_id", "timestamp", "data")
+
+
+@query
+def stream_bounded(spark, sf_dir):
+    """Two publish batches, one per micro-batch."""
+    store, metrics = MessageLog(spark, work_folder(spark, "log"), TOPICS), work_folder(spark, "metrics")
+    rows = event_records(spark, sf_dir)
+    for rest in (0, 1):
+        publish_records(store, rows.filter(F.col("arrival") % 2 == rest), "telemetry", restamped=False)
+    table = TelemetryTable(spark, work_folder(spark, "table"))
+    stream_collect(
+        store, table, "telemetry", "db", work_folder(spark, "checkpoint"), max_batches=1, metrics_folder=metrics
+    ).awaitTermination()
+    return ingest_metrics(store, metrics).select("batch_id", "polled", "rejected", "inserted", "duplicates")
+
+
+@query
+def publish_rejects(spark, sf_dir):
+    """What a publish sets aside: no key for purchases, a partition that is not there for errors."""
+    store = MessageLog(spark, work_folder(spark, "log"), TOPICS)
+    rows = event_records(spark, sf_dir).withColumn(
+        "gpu_id", F.when(F.col("metric_name") == "purchase", "").when(F.col("metric_name") == "error", "gpu-far").otherwise(F.col("gpu_id"))
+    )
+    done = publish_records(
+        store, rows, "telemetry", restamped=False, router=lambda key: F.when(key == "gpu-far", F.lit(7)).otherwise(F.lit(0))
+    )
+    kept = done.messages.groupBy().agg(F.lit("kept").alias("reason"), F.count(F.lit(1)).alias("messages"))
+    return kept.union(done.rejects.groupBy("reason").agg(F.count(F.lit(1)).alias("messages")))
+
+
+@query
+def own_publisher(spark, sf_dir):
+    """A stream of records into a sink of the caller's."""
+    folder = work_folder(spark, "own")
+    stream_publish(
+        events_stream(spark, sf_dir), None, "telemetry", work_folder(spark, "checkpoint"),
+        sink=lambda batch, batch_id: batch.write.parquet(f"{folder}/{batch_id}"),
+    ).awaitTermination()
+    return spark.read.parquet(f"{folder}/*").select("arrival", "gpu_id", "value")
+
+
+@query
+def own_sink(spark, sf_dir):
+    """Validated messages into a sink of the caller's."""
+    folder = work_folder(spark, "own")
+    collect_batch(
+        filled_log(spark, sf_dir), lambda rows, batch_id: rows.write.parquet(folder), "alerts", "db", batch=None
+    )
+    return spark.read.parquet(folder).select("gpu_id", "timestamp", "data")
+
+
+@query
+def multi_group_watermark(spark, sf_dir):
+    """Two groups on one topic; the slower one holds the watermark."""
+    store = filled_log(spark, sf_dir)
+    for group, batch in (("fast", None), ("slow", 100)):
+        collect_batch(store, lambda rows, batch_id: rows.count(), "telemetry", group, batch=batch)
+    return store.watermarks().select("topic", "partition", "watermark")
+
+
 @query
 def assign_row_id(spark, sf_dir):
     rows = events_as_telemetry(spark, sf_dir).select("event_id", "gpu_id", "timestamp")
@@ -520,6 +652,20 @@ def commit_validity(spark, sf_dir):
     return log.commit_errors(e.extents.select(*log.KEYS, F.inline(tries)), e.extents)
 
 
+@query
+def group_offsets(spark, sf_dir):
+    """Offsets a group keeps itself: beyond the tail is allowed, and the last one counts."""
+    e = EventLog(spark, sf_dir)
+    moves = F.array(
+        *[
+            F.struct(F.lit(g).alias("group"), at.cast("bigint").alias("offset"), F.lit(seq).cast("bigint").alias("commit_seq"))
+            for g, at, seq in (("own", F.col("end_offset") + 5, 1), ("own", F.col("end_offset") + 3, 2), ("", F.col("end_offset"), 3))
+        ]
+    )
+    commits = log.valid_commits(e.extents.select(*log.KEYS, F.inline(moves)), e.extents, validate=False)
+    return log.committed_offsets(commits, e.extents, "own").select(*log.KEYS, "offset")
+
+
 @query
 def committed_offsets(spark, sf_dir):
     return log.current_commits(EventLog(spark, sf_dir).commits)
@@ -653,17 +799,25 @@ def read_metrics(spark, sf_dir):
     return read_metric_rows(spark, csv_folder(spark, sf_dir, as_metrics=True))
 
 
+def in_key_order(messages: DataFrame) -> DataFrame:
+    """The arrival number in each message, and that of the message of its device before it."""
+    number = F.get_json_object("payload", "$.arrival_no").cast("bigint")
+    w = Window.partitionBy("key", "partition").orderBy("offset")
+    return messages.withColumn("number", number).withColumn("before", F.lag("number").over(w))
+
+
 @query
 def publish_from_csv(spark, sf_dir):
-    """CSV in, messages out; offsets depend on the file split, so only their density shows."""
+    """CSV in, messages out; offsets depend on the file split, so their density shows, and the order per device."""
     store = MessageLog(spark, work_folder(spark, "log"), TOPICS)
     publish_csv(store, csv_folder(spark, sf_dir), "telemetry", STAMP)
-    return store.messages().groupBy("topic", "partition").agg(
+    return in_key_order(store.messages()).groupBy("topic", "partition").agg(
         F.count(F.lit(1)).alias("messages"),
         F.min("offset").alias("first_offset"),
         F.max("offset").alias("last_offset"),
         F.countDistinct("offset").alias("offsets"),
         F.countDistinct("key").alias("gpus"),
+        F.count(F.when(F.col("number") < F.col("before"), True)).alias("out_of_order"),
     )
 
 
@@ -689,6 +843,114 @@ def collect_from_log(spark, sf_dir):
     return table.read().select("gpu_id", "timestamp", "data", "batch_id")
 
 
+def events_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events as a stream of records."""
+    events = spark.readStream.schema(EVENTS).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    return events.select(
+        F.col("event_id").alias("arrival"),
+        gpu_name().alias("gpu_id"),
+        F.date_format(F.col("ts").cast("timestamp"), MICROS).alias("timestamp"),
+        F.col("event_type").alias("metric_name"),
+        F.col("value").cast("string").alias("value"),
+        F.col("props").alias("data"),
+    )
+
+
+@query
+def two_topics_streamed(spark, sf_dir):
+    """Two streams with checkpoints of their own into one log."""
+    store = MessageLog(spark, work_folder(spark, "log"), TOPICS)
+    rows = events_stream(spark, sf_dir)
+    for topic, mine in (("telemetry", rows), ("alerts", rows.filter(F.col("metric_name") == "error"))):
+        stream_publish(mine, store, topic, work_folder(spark, "checkpoint"), restamped=False).awaitTermination()
+    return store.messages().select("topic", "partition", "offset", "key")
+
+
+@query
+def two_sources_one_topic(spark, sf_dir):
+    """Even and odd events from two producers that number their batches alike; both are retried."""
+    store = MessageLog(spark, work_folder(spark, "log"), TOPICS)
+    rows = event_records(spark, sf_dir)
+    for name, rest in (("a", 0), ("b", 1), ("a", 0), ("b", 1)):
+        publish_records(store, rows.filter(F.col("arrival") % 2 == rest), "telemetry", restamped=False, batch_id=0, source=name)
+    return store.messages().select("topic", "partition", "offset", "key", "payload")
+
+
+def split_log(spark: SparkSession, sf_dir: str) -> MessageLog:
+    """Even events in one topic, odd ones in the other."""
+    store = MessageLog(spark, work_folder(spark, "log"), TOPICS)
+    rows = event_records(spark, sf_dir)
+    for topic, rest in (("telemetry", 0), ("alerts", 1)):
+        publish_records(store, rows.filter(F.col("arrival") % 2 == rest), topic, restamped=False)
+    return store
+
+
+@query
+def two_collectors_one_table(spark, sf_dir):
+    store, table = split_log(spark, sf_dir), TelemetryTable(spark, work_folder(spark, "table"))
+    for topic in ("telemetry", "alerts"):
+        stream_collect(store, table, topic, "db", work_folder(spark, "checkpoint")).awaitTermination()
+    return table.read().select("gpu_id", "timestamp", "data")
+
+
+@query
+def stream_bounded(spark, sf_dir):
+    """Two publish batches, one per micro-batch."""
+    store, metrics = MessageLog(spark, work_folder(spark, "log"), TOPICS), work_folder(spark, "metrics")
+    rows = event_records(spark, sf_dir)
+    for rest in (0, 1):
+        publish_records(store, rows.filter(F.col("arrival") % 2 == rest), "telemetry", restamped=False)
+    table = TelemetryTable(spark, work_folder(spark, "table"))
+    stream_collect(
+        store, table, "telemetry", "db", work_folder(spark, "checkpoint"), max_batches=1, metrics_folder=metrics
+    ).awaitTermination()
+    return ingest_metrics(store, metrics).select("batch_id", "polled", "rejected", "inserted", "duplicates")
+
+
+@query
+def publish_rejects(spark, sf_dir):
+    """What a publish sets aside: no key for purchases, a partition that is not there for errors."""
+    store = MessageLog(spark, work_folder(spark, "log"), TOPICS)
+    rows = event_records(spark, sf_dir).withColumn(
+        "gpu_id", F.when(F.col("metric_name") == "purchase", "").when(F.col("metric_name") == "error", "gpu-far").otherwise(F.col("gpu_id"))
+    )
+    done = publish_records(
+        store, rows, "telemetry", restamped=False, router=lambda key: F.when(key == "gpu-far", F.lit(7)).otherwise(F.lit(0))
+    )
+    kept = done.messages.groupBy().agg(F.lit("kept").alias("reason"), F.count(F.lit(1)).alias("messages"))
+    return kept.union(done.rejects.groupBy("reason").agg(F.count(F.lit(1)).alias("messages")))
+
+
+@query
+def own_publisher(spark, sf_dir):
+    """A stream of records into a sink of the caller's."""
+    folder = work_folder(spark, "own")
+    stream_publish(
+        events_stream(spark, sf_dir), None, "telemetry", work_folder(spark, "checkpoint"),
+        sink=lambda batch, batch_id: batch.write.parquet(f"{folder}/{batch_id}"),
+    ).awaitTermination()
+    return spark.read.parquet(f"{folder}/*").select("arrival", "gpu_id", "value")
+
+
+@query
+def own_sink(spark, sf_dir):
+    """Validated messages into a sink of the caller's."""
+    folder = work_folder(spark, "own")
+    collect_batch(
+        filled_log(spark, sf_dir), lambda rows, batch_id: rows.write.parquet(folder), "alerts", "db", batch=None
+    )
+    return spark.read.parquet(folder).select("gpu_id", "timestamp", "data")
+
+
+@query
+def multi_group_watermark(spark, sf_dir):
+    """Two groups on one topic; the slower one holds the watermark."""
+    store = filled_log(spark, sf_dir)
+    for group, batch in (("fast", None), ("slow", 100)):
+        collect_batch(store, lambda rows, batch_id: rows.count(), "telemetry", group, batch=batch)
+    return store.watermarks().select("topic", "partition", "watermark")
+
+
 @query
 def stored_compaction(spark, sf_dir):
     """Publish, acknowledge, compact what is due, delete, read what is left."""
@@ -702,13 +964,16 @@ def stored_compaction(spark, sf_dir):
 
 @query
 def stream_publish_csv(spark, sf_dir):
-    """CSV files as a stream into the log; counts per key and partition."""
+    """CSV files as a stream into the log; counts and order per key and partition."""
     store = MessageLog(spark, work_folder(spark, "log"), TOPICS)
     columns = ["gpu_id", "timestamp", "metric_name", "value", "data", "arrival_no"]
     source = stream_csv_records(spark, csv_folder(spark, sf_dir), columns, max_files_per_trigger=4)
     running = stream_publish(source, store, "telemetry", work_folder(spark, "checkpoint"), restamped=False)
     running.awaitTermination()
-    return store.messages().groupBy("key", "partition").agg(F.count(F.lit(1)).alias("messages"))
+    top = F.max("offset") + 1 - F.count(F.lit(1))
+    dense = store.messages().groupBy("partition").agg(top.alias("gaps"), F.countDistinct("offset").alias("offsets"))
+    by_key = store.messages().groupBy("key", "partition").agg(F.count(F.lit(1)).alias("messages"))
+    return by_key.join(dense, "partition")
 
 
 def collected_stream(spark: SparkSession, sf_dir: str) -> tuple[TelemetryTable, DataFrame]:
@@ -743,8 +1008,10 @@ def stream_metrics(spark, sf_dir):
 def continuous_hourly(spark, sf_dir):
     """Q16 kept up to date over a stream of table files."""
     table = TelemetryTable(spark, work_folder(spark, "table"))
-    table.insert(events_as_telemetry(spark, sf_dir), ["event_id"])
-    averages = work_folder(spark, "averages")
-    source = telemetry_stream(spark, table.path, max_files=16)
-    continuous_average(source, "k", averages, work_folder(spark, "checkpoint")).awaitTermination()
+    averages, checkpoint = work_folder(spark, "averages"), work_folder(spark, "checkpoint")
+    # The insert is retried after its rows have been rolled up.
+    for _ in range(2):
+        table.insert(events_as_telemetry(spark, sf_dir), ["event_id"], batch_id=0)
+        source = telemetry_stream(spark, table.path, max_files=16)
+        continuous_average(source, "k", averages, checkpoint).awaitTermination()
     return latest_average(spark.read.parquet(averages))

@@ -22,6 +22,7 @@ from __future__ import annotations
 from collections.abc import Iterable, Sequence
 from dataclasses import dataclass
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -52,6 +53,14 @@ MISSING_KEY = "missing_key"
 PARTITION_RANGE = "partition_range"
 
 
+def _any_refused(seen: Observation) -> bool:
+    """Whether rows were set aside; likely, when the optimizer proved that nothing else is left."""
+    try:
+        return seen.get["refused"] > 0
+    except Py4JJavaError:
+        return True
+
+
 @dataclass(frozen=True)
 class Published:
     """What one publish stored and what it refused."""
@@ -232,7 +241,7 @@ class MessageLog:
         ).partitionBy(*BATCH_KEYS).parquet(self.folder("messages"))
         stored = self.batch_messages([batch_id], topic, live=False)
         # Refused rows cost a second pass over the input only if there are any.
-        if seen.get["refused"] > 0:
+        if _any_refused(seen):
             marked = routed.withColumn("reason", reason).filter(F.col("reason").isNotNull())
             early = as_rejects(marked.select("reason", content.alias("raw"), "topic"))
             refused = early if refused is None else refused.union(early)

@@ -90,6 +90,23 @@ def test_large_inputs_ask_for_more_ranges(spark, monkeypatch):
     assert session.split_by_range(df, "id").rdd.getNumPartitions() == 20
 
 
+def test_joins_do_not_multiply_ranges(spark):
+    from pulsegrid import session
+
+    left, right = spark.range(200_000), spark.range(200_000).selectExpr("id % 10 as id", "id as other")
+    assert session.range_count(left.join(right, "id")) is None
+
+
+def test_broadcasts_are_bounded_by_bytes(spark, monkeypatch):
+    from pulsegrid import session
+
+    df = spark.range(1000)
+    hinted = lambda x: "strategy=broadcast" in x._jdf.queryExecution().analyzed().toString()
+    assert hinted(session.checked_broadcast(df, rows=10))
+    monkeypatch.setattr(session, "BROADCAST_BYTES", 4000)
+    assert not hinted(session.checked_broadcast(df, rows=10))
+
+
 def test_row_ids(spark):
     ids = numbering.assign_row_ids(spark.range(1000).withColumnRenamed("id", "n"), [F.desc("n")], start=10).rows
     assert ids.filter(F.col("id") != 10 + 999 - F.col("n")).count() == 0

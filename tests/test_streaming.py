@@ -154,3 +154,80 @@ def test_bounded_average_closes_buckets(spark, folder):
         continuous_average(source, "k", folder + "/avg", folder + "/cp", lateness="1 hour").awaitTermination()
     closed = spark.read.parquet(folder + "/avg")
     assert {r["average"] for r in closed.collect()} == {0.0, 1.0}
+
+
+def streamed(spark, store, folder, name, topic, count):
+    """``count`` records of a stream of its own into ``topic``."""
+    inbox = Path(folder) / name
+    inbox.mkdir(exist_ok=True)
+    lines = [",".join(COLUMNS)] + [f"{name}-{i},2026-04-10T15:00:00Z,{i}" for i in range(count)]
+    (inbox / "0.csv").write_text("\n".join(lines) + "\n")
+    source = stream_csv_records(spark, str(inbox), COLUMNS)
+    stream_publish(source, store, topic, f"{folder}/cp-{name}", restamped=False).awaitTermination()
+
+
+def messages_of(spark, count):
+    return spark.range(count).selectExpr("id as n", "concat('b-', id) as key", "'{}' as payload")
+
+
+def test_two_topics_share_a_log(spark, folder):
+    store = MessageLog(spark, folder + "/log", [TopicSpec("t", 3), TopicSpec("u", 2)])
+    for name, topic, count in (("a", "t", 100), ("b", "u", 60), ("a", "t", 100)):
+        streamed(spark, store, folder, name, topic, count)
+    assert {tuple(r) for r in store.messages().groupBy("topic").count().collect()} == {("t", 100), ("u", 60)}
+
+
+def test_batch_and_stream_share_a_topic(spark, folder):
+    store = MessageLog(spark, folder + "/log", [TopicSpec("t", 3)])
+    store.publish(messages_of(spark, 100), "t", ["n"])
+    streamed(spark, store, folder, "a", "t", 60)
+    rows = store.messages().groupBy("partition").agg(F.count("*").alias("n"), F.max("offset").alias("top"), F.countDistinct("offset").alias("d"))
+    assert store.messages().count() == 160 and rows.filter("n != d or top != n - 1").count() == 0
+
+
+def test_two_collectors_share_a_table(spark, folder):
+    store = MessageLog(spark, folder + "/log", [TopicSpec("t", 3), TopicSpec("u", 2)])
+    table = TelemetryTable(spark, folder + "/table")
+    for name, topic, count in (("a", "t", 100), ("b", "u", 60)):
+        streamed(spark, store, folder, name, topic, count)
+        stream_collect(store, table, topic, "db", f"{folder}/cp-collect-{topic}").awaitTermination()
+    assert table.read().count() == 160
+
+
+def test_retries_change_nothing(spark, folder):
+    store = MessageLog(spark, folder + "/log", [TopicSpec("t", 1)])
+    table = TelemetryTable(spark, folder + "/table")
+    rows = spark.range(10).selectExpr("concat('g', id) as gpu_id", "timestamp'2026-01-01' as timestamp", "'{}' as data", "id as n")
+    for _ in range(2):
+        for source in ("a", "b"):
+            store.publish(messages_of(spark, 10), "t", ["n"], batch_id=0, source=source)
+            table.insert(rows.withColumn("gpu_id", F.concat("gpu_id", F.lit(source))), ["n"], batch_id=0, source=source)
+    assert (store.messages().count(), table.read().count()) == (20, 20)
+    assert store.published().count() == 2 and table.inserts().count() == 2
+    nothing = messages_of(spark, 3).withColumn("key", F.lit(""))
+    for _ in range(2):
+        done = store.publish(nothing, "t", ["n"], batch_id=1, source="a")
+        assert (done.messages.count(), done.rejects.count()) == (0, 3)
+    store.publish(messages_of(spark, 5), "t", ["n"])
+    assert store.messages().agg(F.max("offset")).first()[0] == 24 and store.rejects().count() == 3
+
+
+def test_average_after_a_retried_insert(spark, folder):
+    table = TelemetryTable(spark, folder + "/t")
+
+    def step(value, batch_id):
+        row = spark.sql(f"select 'g' as gpu_id, timestamp'2026-01-01 00:{value}:00' as timestamp, '{{\"k\":{value}}}' as data")
+        table.insert(row, batch_id=batch_id)
+        continuous_average(telemetry_stream(spark, table.path), "k", folder + "/avg", folder + "/cp").awaitTermination()
+
+    for value, batch_id in ((10, 0), (20, 1), (20, 1)):
+        step(value, batch_id)
+    assert latest_average(spark.read.parquet(folder + "/avg")).first()["average"] == 15.0
+
+
+def test_a_row_without_time_is_refused(spark, folder):
+    from pulsegrid.errors import InvalidArgument
+
+    rows = spark.sql("select 'g' as gpu_id, cast(null as timestamp) as timestamp, '{}' as data")
+    with pytest.raises(InvalidArgument):
+        TelemetryTable(spark, folder + "/t").insert(rows)
