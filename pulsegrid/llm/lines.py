@@ -16,15 +16,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pulsegrid.llm.common import ROW, WORD_GAP, lower_ascii, staged, table, text_or_empty, with_row_id
+from pulsegrid.llm.common import ROW, UPPER, staged, table, text_or_empty, with_row_id
 
 # Lines with fewer words are kept: they repeat in any text.
 LEAST_WORDS = 5
 NO_ID = (1 << 63) - 1
+SIEVE_BITS = 1 << 24
 
 
 def line_words(line: Column) -> Column:
-    return F.filter(F.split(lower_ascii(line), WORD_GAP), lambda w: w != "")
+    even = F.translate(line, UPPER + "\t\n\x0b\x0c\r", UPPER.lower() + " " * 5)
+    return F.filter(F.split(even, " "), lambda w: w != "")
 
 
 def _half_keys(words: Column) -> Column:
@@ -42,9 +44,28 @@ def _half_keys(words: Column) -> Column:
     return F.array(*keys)
 
 
-def _lines(docs: DataFrame, text: str) -> DataFrame:
-    exploded = docs.select("doc_id", ROW, F.posexplode(F.split(text_or_empty(text), "\n")).alias("line_no", "line"))
-    return exploded.withColumn("words", line_words(F.col("line")))
+def _lines(docs: DataFrame) -> DataFrame:
+    return docs.select("doc_id", ROW, F.posexplode(F.split(text_or_empty("text"), "\n")).alias("line_no", "line"))
+
+
+def _digest(words: Column) -> Column:
+    return F.unhex(F.md5(F.array_join(words, " ").cast("binary")))
+
+
+def _sieve(rows: DataFrame, keys: list[str], wanted: DataFrame) -> DataFrame:
+    """Rows that ``wanted`` may have, by a bitmap of hashed keys of fixed size.
+
+    It spares the shuffle most rows; which of the others pass does not matter,
+    as an exact join follows. The more keys are wanted, the less it spares.
+    """
+
+    def place(df: DataFrame) -> DataFrame:
+        h = F.pmod(F.xxhash64(*keys), F.lit(SIEVE_BITS))
+        return df.withColumns({"__word": F.floor(h / 64).cast("int"), "__bit": (h % 64).cast("int")})
+
+    bits = place(wanted.select(*keys)).groupBy("__word").agg(F.bit_or(F.expr("shiftleft(1L, __bit)")).alias("__bits"))
+    found = place(rows).join(F.broadcast(bits), "__word")  # at most SIEVE_BITS / 64 rows
+    return found.filter(F.expr("shiftrightunsigned(__bits, __bit) & 1L") == 1).drop("__word", "__bit", "__bits")
 
 
 def _near(x: Column, y: Column) -> Column:
@@ -76,9 +97,9 @@ def dedup_lines(docs: DataFrame, least_words: int = LEAST_WORDS, text: str = "te
     docs = with_row_id(docs, F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), F.col(text).alias("text"))
     words = F.col("words")
     rows = staged(
-        _lines(docs, "text").select(
+        _lines(docs).withColumn("words", line_words(F.col("line"))).select(
             "doc_id", ROW, "line_no", F.size(words).alias("n_words"),
-            F.when(F.size(words) >= least_words, F.unhex(F.md5(F.array_join(words, " ").cast("binary")))).alias("digest"),
+            F.when(F.size(words) >= least_words, _digest(words)).alias("digest"),
             F.when(F.size(words) >= least_words, _half_keys(words)).alias("halves"),
         ),
         "line-rows",
@@ -86,17 +107,17 @@ def dedup_lines(docs: DataFrame, least_words: int = LEAST_WORDS, text: str = "te
     place = F.struct("doc_id", ROW, "line_no")
     long_rows = rows.filter("digest IS NOT NULL")
     firsts = staged(long_rows.groupBy("digest").agg(F.min(place).alias("first")), "line-firsts")
-    own = rows.filter("digest IS NOT NULL").select("digest", "halves", place.alias("first"))
-    distinct = own.join(firsts, ["digest", "first"])  # one row per line text
 
-    halves = staged(distinct.select(F.explode("halves").alias("half"), F.xxhash64("digest").alias("id"), "digest", "first"), "line-halves")
+    # Lines that share a half with a different one, by a hash of their digest.
+    halves = long_rows.select(F.explode("halves").alias("half"), F.xxhash64("digest").alias("id"))
     shared = halves.groupBy("half").agg(F.min("id").alias("x"), F.max("id").alias("y")).filter("x <> y").select("half")
-    candidates = staged(halves.join(shared, "half", "left_semi").select("digest", "first").distinct(), "line-candidates")
+    ids = staged(halves.join(shared, "half", "left_semi").select("id").distinct(), "line-candidates")
+    candidates = firsts.withColumn("id", F.xxhash64("digest")).join(ids, "id", "left_semi")
+    where = staged(candidates.select("digest", "first", F.col("first.doc_id").alias("doc_id"), F.col("first.line_no").alias("line_no")), "line-candidates")
 
     # Words of the candidates, from one occurrence of each.
-    here = F.unhex(F.md5(F.array_join("words", " ").cast("binary")))
-    where = candidates.select("digest", "first", F.col("first.doc_id").alias("doc_id"), F.col("first.line_no").alias("line_no"))
-    spoken = _lines(docs, "text").filter(F.size("words") >= least_words).select("doc_id", "line_no", "words", here.alias("digest"))
+    spoken = _sieve(_lines(docs), ["doc_id", "line_no"], where).select("doc_id", "line_no", line_words(F.col("line")).alias("words"))
+    spoken = spoken.withColumn("digest", _digest(words))
     texts = staged(spoken.join(where, ["doc_id", "line_no", "digest"]).dropDuplicates(["digest"]).select("digest", "first", "words"), "line-texts")
 
     n = F.size("words")
