@@ -23,6 +23,8 @@ MOST_TIMES = 3
 SEED = 20240501
 # Totals of the sources go to the driver; a table with more sources than this is refused.
 MAX_SOURCES = 100_000
+# Sums that a knapsack over more than the last gap may reach.
+KNAPSACK_WORDS = 1 << 20
 
 
 def share_out(sizes: list[int], weights: list[float], most: int = MOST_TIMES) -> list[float]:
@@ -43,32 +45,14 @@ def share_out(sizes: list[int], weights: list[float], most: int = MOST_TIMES) ->
     return targets
 
 
-def fit_counts(lengths: np.ndarray, counts: np.ndarray, budget: int, seed: int = SEED) -> np.ndarray:
-    """How many documents of every length to take so that their words sum to ``budget``.
-
-    Starts with the same share of every length, rounded down, goes through the
-    lengths in seeded order adding one where it fits, and leaves the last few
-    longest lengths' worth to a bounded knapsack. Where no subset meets the
-    budget, the nearest sum that the knapsack reaches is taken.
-    """
-    total = int((lengths * counts).sum())
-    if budget >= total:
-        return counts.copy()
-    if 2 * budget > total:  # fewer documents are left out than taken
-        return counts - fit_counts(lengths, counts, total - budget, seed)
-    take = np.minimum(counts, (counts * (budget / total)).astype(np.int64)) if budget > 0 else np.zeros_like(counts)
-    rest = budget - int((lengths * take).sum())
-    order = np.random.default_rng(seed).permutation(len(lengths))
-    for _ in range(2):
-        for i in order:
-            if take[i] < counts[i] and rest - lengths[i] >= 2 * lengths[-1]:
-                take[i] += 1
-                rest -= int(lengths[i])
-    reach, mask = 1, (1 << (rest + int(lengths[-1]) + 1)) - 1  # bit s: some chosen subset sums to s
+def _close_gap(lengths: np.ndarray, counts: np.ndarray, take: np.ndarray, budget: int, order: np.ndarray) -> np.ndarray:
+    """Add documents to ``take`` by a bounded knapsack so that the words come nearest to ``budget``."""
+    take, rest, longest = take.copy(), budget - int((lengths * take).sum()), int(lengths[-1])
+    reach, mask = 1, (1 << (rest + longest + 1)) - 1  # bit s: some chosen subset sums to s
     steps: list[tuple[int, int, int]] = []
     for i in order:
         left, size = int(counts[i] - take[i]), 1
-        while left > 0 and not reach >> rest & 1 and size * int(lengths[i]) <= rest + int(lengths[-1]):
+        while left > 0 and not reach >> rest & 1 and size * int(lengths[i]) <= rest + longest:
             n = min(size, left)
             steps.append((int(i), n, reach))
             reach |= reach << (n * int(lengths[i])) & mask
@@ -86,6 +70,41 @@ def fit_counts(lengths: np.ndarray, counts: np.ndarray, budget: int, seed: int =
     return take
 
 
+def fit_counts(lengths: np.ndarray, counts: np.ndarray, budget: int, seed: int = SEED) -> np.ndarray:
+    """How many documents of every length to take so that their words sum to ``budget``.
+
+    Starts with the same share of every length, rounded down, goes through the
+    lengths in seeded order adding one where it fits, and leaves the last few
+    longest lengths' worth to a bounded knapsack. Where that misses the budget,
+    the knapsack gets half of the share to place, and then all of it, as long as
+    its sums stay within ``KNAPSACK_WORDS``; the nearest result counts.
+    """
+    total = int((lengths * counts).sum())
+    if budget >= total:
+        return counts.copy()
+    if 2 * budget > total:  # fewer documents are left out than taken
+        return counts - fit_counts(lengths, counts, total - budget, seed)
+    order = np.random.default_rng(seed).permutation(len(lengths))
+    share = np.minimum(counts, (counts * (budget / total)).astype(np.int64))
+    even, rest = share.copy(), budget - int((lengths * share).sum())
+    for _ in range(2):
+        for i in order:
+            if even[i] < counts[i] and rest - lengths[i] >= 2 * lengths[-1]:
+                even[i] += 1
+                rest -= int(lengths[i])
+    best = None
+    for begin in (even, share // 2, np.zeros_like(share)):
+        if begin is not even and budget - int((lengths * begin).sum()) > KNAPSACK_WORDS:
+            break
+        take = _close_gap(lengths, counts, begin, budget, order)
+        off = abs(int((lengths * take).sum()) - budget)
+        if best is None or off < best[0]:
+            best = off, take
+        if not off:
+            break
+    return best[1]
+
+
 def _fit_source(pdf: pd.DataFrame) -> pd.DataFrame:
     pdf = pdf.sort_values("size", ignore_index=True)
     take = fit_counts(pdf["size"].to_numpy(np.int64), pdf["n"].to_numpy(np.int64), int(pdf["budget"].iat[0]))

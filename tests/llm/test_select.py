@@ -136,7 +136,7 @@ def smallest(sizes, shards):
     return low
 
 
-@pytest.mark.parametrize("ranges", [sharding.RANGES, 16])
+@pytest.mark.parametrize("ranges", [sharding.RANGES, 64])
 def test_shards(docs_of, odd_rows, prose, monkeypatch, ranges):
     monkeypatch.setattr(sharding.GroupEnds.__init__, "__defaults__", (ranges,))
     rows = odd_rows + [(100 + i, prose(1 + i * i % 50, i)) for i in range(400)] + [(900 + i, "same text") for i in range(150)]
