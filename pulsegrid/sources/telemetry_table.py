@@ -27,14 +27,15 @@ def read_telemetry(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_telemetry_jdbc(
-    spark: SparkSession, url: str, table: str = "telemetry", partitions: int = 1, bounds: tuple[int, int] | None = None, **options: str
+    spark: SparkSession, url: str, bounds: tuple[int, int], partitions: int, table: str = "telemetry", **options: str
 ) -> DataFrame:
-    """An existing relational table, split over its ``id`` when bounds are given."""
+    """An existing relational table, read by ``partitions`` tasks split over its ``id``.
+
+    ``bounds`` (smallest and largest id) only place the splits; rows beyond them
+    are read too.
+    """
     reader = spark.read.format("jdbc").options(url=url, dbtable=table, **options)
-    if bounds is not None:
-        reader = reader.options(
-            partitionColumn="id", lowerBound=bounds[0], upperBound=bounds[1], numPartitions=partitions
-        )
+    reader = reader.options(partitionColumn="id", lowerBound=bounds[0], upperBound=bounds[1], numPartitions=partitions)
     return reader.load()
 
 
