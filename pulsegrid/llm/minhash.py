@@ -6,11 +6,13 @@ shifted circularly by k. Bands of coordinates propose pairs, and full shingle
 sets confirm them.
 
 Texts with equal shingle sets are one class from the start. In a band bucket the
-members are not paired with each other: all are compared with its first member,
-and only buckets that still hold several components go on, with the next
-members as hubs, 8 times as many in each round, until every pair of the bucket
-is linked, compared or joined through others. So no link is lost that a band
-proposes, and a large group of near copies costs one comparison per member.
+members are not paired with each other: each text is compared with the first
+member of its buckets, which settles a group of near copies with one comparison
+per member. Texts in buckets that still hold several components, as a passage
+shared by many documents makes them, get more and longer bands. In those buckets
+the first members are hubs, and then the next, 8 times as many in each round,
+until every pair of a bucket is linked, compared or joined through others. So no
+link is lost that the bands propose.
 """
 
 from __future__ import annotations
@@ -29,6 +31,8 @@ from pulsegrid.llm.shingles import SPREAD, hash_shingles, hash_words, mix64, tex
 SHINGLE = 4
 # A pair at similarity 0.8 is missed by all bands with probability (1 - 0.8**4)**32 = 5e-8.
 BANDS, BAND_ROWS = 32, 4
+# The longer bands: (1 - 0.8**8)**100 = 1e-8, and a pair at 0.4 is proposed in 6 of 100 cases.
+LONG_BANDS, LONG_ROWS = 100, 8
 PERCENT = 80
 NO_ID = (1 << 63) - 1
 
@@ -99,6 +103,26 @@ def _full_sets(shingle: int):
     return run
 
 
+def _long_bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for part in (batch.slice(i, 64) for i in range(0, batch.num_rows, 64)):
+            sets = [mix64(np.frombuffer(b, np.uint64) ^ SPREAD[4]) for b in part.column("shingles").to_pylist()]
+            keys = band_keys(signatures(sets, LONG_BANDS * LONG_ROWS), LONG_BANDS)
+            yield pa.RecordBatch.from_arrays(
+                [part.column("node"), pa.array([len(s) for s in sets], pa.int64())]
+                + [pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1) * LONG_BANDS, pa.int32()), pa.array(keys.ravel()))],
+                names=["node", "n", "bands"],
+            )
+
+
+def _several(buckets: DataFrame, joined: DataFrame) -> DataFrame:
+    """Rows of buckets that hold several components, with the component of each member."""
+    now = buckets.join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    now = staged(now, "near-open")
+    several = now.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count(F.lit(1)).alias("size"))
+    return now.join(several.filter("x < y").select("key", "size"), "key")
+
+
 def _confirm(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -177,24 +201,26 @@ def near_duplicates(
     pairs = buckets.filter("hub < node").groupBy(F.col("node").alias("a")).agg(F.min("hub").alias("b"))
     checked = _linked(pairs, sets, percent)
     joined = staged(components(checked.filter("linked").select("a", "b")), "near-components")
+    # Longer bands for the texts of buckets that hold several components.
+    unsure = _several(buckets.select("key", "node"), joined).select("node").distinct()
+    bands2 = sets.join(unsure, "node", "left_semi").mapInArrow(_long_bands, "node long, n long, bands array<long>")
+    keys = staged(bands2.select("node", "n", F.explode("bands").alias("key")), "near-bands")
+    shared = keys.groupBy("key").agg(F.count(F.lit(1)).alias("members")).filter("members > 1").select("key")
+    buckets = staged(keys.join(shared, "key"), "near-buckets")
     begin, width = 0, 1
     while True:
-        # Buckets that hold several components, and the place of each member in its bucket.
-        now = buckets.select("key", "node").join(joined, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
-        now = staged(now, "near-open")
-        several = now.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count(F.lit(1)).alias("size")).filter("x < y")
-        several = staged(several.filter(F.col("size") > begin + 1).select("key"), "near-open")
-        if several.isEmpty():
+        open_ = staged(_several(buckets, joined).filter(F.col("size") > begin + 1).drop("size"), "near-open")
+        if open_.isEmpty():
             break
-        members = in_order(now.join(several, "key"), ["key", "node"], {"place": F.lit(1)}, "near-order")
-        members = staged(members, "near-open")
+        # The place of each member in its bucket; places stay, as they follow the node.
+        members = staged(in_order(open_, ["key", "node"], {"place": F.lit(1)}, "near-order"), "near-open")
         starts = members.groupBy("key").agg(F.min("place").alias("start"))
-        members = members.join(starts, "key").select("key", "node", "component", (F.col("place") - F.col("start")).alias("place"))
+        members = members.join(starts, "key").withColumn("place", F.col("place") - F.col("start"))
         hubs = members.filter((F.col("place") >= begin) & (F.col("place") < begin + width))
-        hubs = hubs.select("key", F.col("node").alias("b"), F.col("component").alias("of"))
-        fresh = members.join(hubs, "key").filter((F.col("b") < F.col("node")) & (F.col("of") != F.col("component")))
+        hubs = hubs.select("key", F.col("node").alias("b"), F.col("component").alias("of"), F.col("n").alias("m"))
+        sized = 100 * F.least("n", "m") >= percent * F.greatest("n", "m")
+        fresh = members.join(hubs, "key").filter((F.col("b") < F.col("node")) & (F.col("of") != F.col("component")) & sized)
         fresh = fresh.select(F.col("node").alias("a"), "b").distinct().join(checked, ["a", "b"], "left_anti")
-        # The components change, so the members of the open buckets are taken again; places stay, as they are by node.
         more = _linked(fresh, sets, percent)
         checked = staged(checked.unionByName(more), "near-links")
         links = joined.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more.filter("linked").select("a", "b"))
