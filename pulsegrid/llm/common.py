@@ -35,6 +35,12 @@ def lower_ascii(column: Column) -> Column:
     return F.translate(column, UPPER, UPPER.lower())
 
 
+def input_bytes(df: DataFrame) -> int:
+    """Size of the tables a plan reads, as estimated."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    return sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
+
+
 def staged(df: DataFrame, purpose: str) -> DataFrame:
     """``df`` written to the shared folder and read again.
 

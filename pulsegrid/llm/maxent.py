@@ -23,15 +23,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pulsegrid.llm.common import ROW, staged, table, text_or_empty, with_row_id
-from pulsegrid.llm.shingles import SPREAD, hash_words, mix64, text_slices, word_endings
+from pulsegrid.llm.common import ROW, input_bytes, staged, table, text_or_empty, with_row_id
+from pulsegrid.llm.shingles import SPREAD, hash_words_and_endings, mix64, text_slices
 
 HEAD_CLASSES, TAIL_CLASSES, MEMBERS = 48, 16, 64
 CLASSES = HEAD_CLASSES + TAIL_CLASSES
 # Rows of hashed weights: per history feature of the classes, and of all places together.
 CLASS_ROWS, PLACE_ROWS = 4096, 8192
 ROUNDS = 3
-MINIBATCH = 8192
+MINIBATCH = 2048
 RATE = 0.1
 # Counts of this many words go to the tasks; those of all others are joined.
 COMMON_WORDS = 200_000
@@ -40,14 +40,15 @@ START, END = (int(mix64(np.array([s], dtype=np.uint64))[0]) for s in (0x57A7, 0x
 # Weights of one row of the table in which tasks hand in their changes.
 BLOCK = 16_384
 SALTS = 256
+# Input of a training task, at least: every task hands in the changes of all weights.
+TASK_BYTES = 32 << 20
 
 
 class Tokens:
     """Token stream of some texts: word hashes with an end per text, and what precedes each."""
 
     def __init__(self, texts: list[bytes]):
-        words, bounds = hash_words(texts)
-        endings, _ = word_endings(texts)
+        words, bounds, endings = hash_words_and_endings(texts)
         n = np.diff(bounds)
         self.sizes = n + 1
         last = np.cumsum(self.sizes) - 1
@@ -60,6 +61,13 @@ class Tokens:
         self.tail[~is_end] = (mix64(endings.astype(np.uint64)) % np.uint64(TAIL_CLASSES)).astype(np.int64)
         self.text = np.repeat(np.arange(len(texts)), self.sizes)
         self.starts = last - n
+        self._distinct = None
+
+    def distinct(self) -> tuple[np.ndarray, np.ndarray]:
+        """The different words, and which of them every token is."""
+        if self._distinct is None:
+            self._distinct = np.unique(self.words, return_inverse=True)
+        return self._distinct
 
     def before(self, values: np.ndarray, back: int) -> np.ndarray:
         """The value ``back`` tokens earlier in the same text, else the start's."""
@@ -101,7 +109,7 @@ class Model:
 
     def targets(self, tokens: Tokens) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Class and place of every token (place -1 in tail classes), and its history's hashed rows."""
-        distinct, at = np.unique(tokens.words, return_inverse=True)
+        distinct, at = tokens.distinct()
         slot = np.full(len(distinct), -1, dtype=np.int64)
         if len(self.words):
             near = np.minimum(np.searchsorted(self.words, distinct), len(self.words) - 1)
@@ -110,25 +118,48 @@ class Model:
         cls = np.where(slot >= 0, slot // MEMBERS, HEAD_CLASSES + tokens.tail)
         one, two = tokens.before(tokens.words, 1), tokens.before(tokens.words, 2)
         both = mix64(one * SPREAD[0] + two * SPREAD[1])
-        rows = np.stack([mix64(f * SPREAD[2 + i]) % np.uint64(CLASS_ROWS) + np.uint64(i * CLASS_ROWS) for i, f in enumerate((one, two, both))], axis=1)
+        rows = np.stack([mix64(f * SPREAD[2 + i]) % np.uint64(CLASS_ROWS) + np.uint64(i * CLASS_ROWS) for i, f in enumerate((one, two, both))])
         own = cls.astype(np.uint64) * SPREAD[5]
-        places = np.stack([mix64(f * SPREAD[6 + i] + own) % np.uint64(PLACE_ROWS) for i, f in enumerate((one, two))], axis=1)
+        places = np.stack([mix64(f * SPREAD[6 + i] + own) % np.uint64(PLACE_ROWS) for i, f in enumerate((one, two))])
         return cls, np.where(slot >= 0, slot % MEMBERS, -1), rows.astype(np.int64), places.astype(np.int64)
 
 
-def _softmax(bias: np.ndarray, table_: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Exponentials of the logits of every token, scaled, and their sums."""
-    logits = bias + table_[rows[:, 0]]
-    for i in range(1, rows.shape[1]):
-        logits += table_[rows[:, i]]
-    logits -= logits.max(axis=1, keepdims=True)
-    np.exp(logits, out=logits)
-    return logits, logits.sum(axis=1)
+# Logits beyond this are cut, in training and scoring alike.
+STEEPEST = np.float32(60.0)
+
+
+class _Softmax:
+    """Softmax of minibatches in memory that is used again and again."""
+
+    def __init__(self, width: int):
+        self.sum, self.part = (np.empty((MINIBATCH, width), dtype=np.float32) for _ in range(2))
+
+    def gather(self, table_: np.ndarray, rows: np.ndarray) -> np.ndarray:
+        return np.take(table_, rows, axis=0, out=self.part[: len(rows)], mode="clip")
+
+    def shares(self, bias: np.ndarray, table_: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Exponentials of the logits of every token, and their sums."""
+        out = np.take(table_, rows[0], axis=0, out=self.sum[: rows.shape[1]], mode="clip")
+        for feature in rows[1:]:
+            out += self.gather(table_, feature)
+        out += bias
+        np.minimum(out, STEEPEST, out=out)
+        np.exp(out, out=out)
+        return out, out.sum(axis=1)
 
+    def log_share(self, bias: np.ndarray, table_: np.ndarray, rows: np.ndarray, target: np.ndarray) -> np.ndarray:
+        p, total = self.shares(bias, table_, rows)
+        return np.log(np.maximum(p[np.arange(len(p)), target] / total, 1e-30))
 
-def _log_share(bias: np.ndarray, table_: np.ndarray, rows: np.ndarray, target: np.ndarray) -> np.ndarray:
-    p, total = _softmax(bias, table_, rows)
-    return np.log(np.maximum(p[np.arange(len(p)), target] / total, 1e-30))
+    def step(self, grad: "_AdaGrad", bias: np.ndarray, table_: np.ndarray, rows: np.ndarray, target: np.ndarray) -> None:
+        p, total = self.shares(bias, table_, rows)
+        p /= total[:, None]
+        p[np.arange(len(p)), target] -= 1
+        for feature in rows:
+            order = np.argsort(feature.astype(np.uint16), kind="stable")
+            ordered = feature[order]
+            first = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1])))
+            grad.step(table_, ordered[first], np.add.reduceat(self.gather(p, order), first, axis=0))
 
 
 class _AdaGrad:
@@ -137,39 +168,25 @@ class _AdaGrad:
     def __init__(self, rows: int):
         self.seen = np.full(rows, 1.0, dtype=np.float32)
 
-    def step(self, table_: np.ndarray, rows: np.ndarray, gradient: np.ndarray) -> None:
-        order = np.argsort(rows.astype(np.uint16), kind="stable")
-        ordered = rows[order]
-        first = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1])))
-        total = np.add.reduceat(gradient[order], first, axis=0)
-        hit = ordered[first]
-        self.seen[hit] += (total**2).mean(axis=1)
-        table_[hit] -= (RATE / np.sqrt(self.seen[hit]))[:, None] * total
+    def step(self, table_: np.ndarray, rows: np.ndarray, total: np.ndarray) -> None:
+        self.seen[rows] += (total**2).mean(axis=1)
+        table_[rows] -= (RATE / np.sqrt(self.seen[rows]))[:, None] * total
 
 
 def _gradients(model: Model, texts: Iterator[list[bytes]]) -> tuple[np.ndarray, int]:
     """Minibatch updates over some texts: the change of all weights and the tokens seen."""
     began, seen = model.weights(), 0
     by_class, by_place = _AdaGrad(3 * CLASS_ROWS), _AdaGrad(PLACE_ROWS)
+    classes, members = _Softmax(CLASSES), _Softmax(MEMBERS)
     for part in texts:
-        tokens = Tokens(part)
-        cls, place, rows, places = model.targets(tokens)
+        cls, place, rows, places = model.targets(Tokens(part))
         seen += len(cls)
         for a in range(0, len(cls), MINIBATCH):
-            y, r = cls[a : a + MINIBATCH], rows[a : a + MINIBATCH]
-            p, total = _softmax(model.class_bias, model.by_class, r)
-            p /= total[:, None]
-            p[np.arange(len(y)), y] -= 1
-            for i in range(r.shape[1]):
-                by_class.step(model.by_class, r[:, i], p)
-            head = np.flatnonzero(place[a : a + MINIBATCH] >= 0)
-            y, r, z = y[head], places[a : a + MINIBATCH][head], place[a : a + MINIBATCH][head]
-            if len(y):
-                p, total = _softmax(model.place_bias[y], model.by_place, r)
-                p /= total[:, None]
-                p[np.arange(len(z)), z] -= 1
-                for i in range(r.shape[1]):
-                    by_place.step(model.by_place, r[:, i], p)
+            y, z = cls[a : a + MINIBATCH], place[a : a + MINIBATCH]
+            classes.step(by_class, model.class_bias, model.by_class, rows[:, a : a + MINIBATCH], y)
+            head = np.flatnonzero(z >= 0)
+            if len(head):
+                members.step(by_place, model.place_bias[y[head]], model.by_place, places[:, a + head], z[head])
     return model.weights() - began, seen
 
 
@@ -228,6 +245,7 @@ def _scorer(model: Model, common: tuple[np.ndarray, np.ndarray], total: int, kin
     tail_of = np.log10(tail_sizes + SMOOTHING * (tail_kinds + 1))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        classes, members = _Softmax(CLASSES), _Softmax(MEMBERS)
         for batch in batches:
             for part in text_slices(batch):
                 tokens = Tokens([t.encode() for t in part.column("text").to_pylist()])
@@ -235,12 +253,12 @@ def _scorer(model: Model, common: tuple[np.ndarray, np.ndarray], total: int, kin
                 logs = np.empty(len(cls))
                 for a in range(0, len(cls), MINIBATCH):
                     y, z = cls[a : a + MINIBATCH], place[a : a + MINIBATCH]
-                    logs[a : a + MINIBATCH] = _log_share(model.class_bias, model.by_class, rows[a : a + MINIBATCH], y)
+                    logs[a : a + MINIBATCH] = classes.log_share(model.class_bias, model.by_class, rows[:, a : a + MINIBATCH], y)
                     head = np.flatnonzero(z >= 0)
                     if len(head):
-                        logs[a + head] += _log_share(model.place_bias[y[head]], model.by_place, places[a : a + MINIBATCH][head], z[head])
+                        logs[a + head] += members.log_share(model.place_bias[y[head]], model.by_place, places[:, a + head], z[head])
                 logs /= np.log(10)
-                distinct, at = np.unique(tokens.words, return_inverse=True)
+                distinct, at = tokens.distinct()
                 known = np.zeros(len(distinct), dtype=np.int64)
                 if len(words):
                     near = np.minimum(np.searchsorted(words, distinct), len(words) - 1)
@@ -298,11 +316,12 @@ def score_documents(docs: DataFrame, rounds: int = ROUNDS, common_words: int = C
     np.subtract.at(sizes[0], short["tail"].to_numpy(np.int64), short["c"].to_numpy(np.float64))
     np.subtract.at(sizes[1], short["tail"].to_numpy(np.int64), 1.0)
 
+    tasks = max(1, min(-(-input_bytes(docs) // TASK_BYTES), 1 << 30))  # more than there are changes nothing
     model = Model(listed.view(np.uint64), short["c"].to_numpy(np.float64), sizes[0])
     schema = "block int, salt int, seen double, change binary"
     for i in range(rounds if total else 0):
         turn = train.filter(F.pmod(F.xxhash64("doc_id"), F.lit(rounds)) == i)
-        change = turn.select("text").mapInArrow(_train(model), schema)
+        change = turn.select("text").coalesce(tasks).mapInArrow(_train(model), schema)
         change = change.groupBy("block", "salt").applyInPandas(_mean_change("<f2"), schema)
         parts = change.groupBy("block").applyInPandas(_mean_change("<f4"), schema).orderBy("block").collect()
         if parts:

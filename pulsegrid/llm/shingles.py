@@ -50,26 +50,27 @@ def _word_bounds(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray
     return data, start, np.flatnonzero(gap & ~before), np.searchsorted(start, firsts)
 
 
-def word_endings(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """The last two bytes of every word as a number (one-byte words: the byte)."""
-    data, start, stop, bounds = _word_bounds(texts)
-    last = data[stop - 1].astype(np.int64)
-    return last + 256 * np.where(stop - start > 1, data[stop - 2], 0).astype(np.int64), bounds
-
-
 def hash_words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of the words of all texts (A-Z in lower case), and where each text's words begin.
 
     The second array has one more entry: the number of words.
     """
+    words, bounds, _ = hash_words_and_endings(texts)
+    return words, bounds
+
+
+def hash_words_and_endings(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The same, and the last two bytes of every word as a number (one-byte words: the byte)."""
     data, start, stop, bounds = _word_bounds(texts)
     if not len(start):
-        return np.zeros(0, np.uint64), bounds
+        return np.zeros(0, np.uint64), bounds, np.zeros(0, np.int64)
     length = stop - start
     power = np.cumprod(np.full(int(length.max()), STEP, dtype=np.uint64))
-    place = np.arange(int(length.sum())) - np.repeat(np.cumsum(length) - length, length)
+    ends = np.cumsum(length)
+    place = np.arange(int(ends[-1])) - np.repeat(ends - length, length)
     value = BYTE_HASH[data[~IS_GAP[data]]] * power[place]
-    return mix64(np.add.reduceat(value, np.cumsum(length) - length) + length.astype(np.uint64)), bounds
+    last = data[stop - 1].astype(np.int64) + 256 * np.where(length > 1, data[stop - 2], 0).astype(np.int64)
+    return mix64(np.add.reduceat(value, ends - length) + length.astype(np.uint64)), bounds, last
 
 
 def hash_shingles(words: np.ndarray, size: int) -> np.ndarray:
