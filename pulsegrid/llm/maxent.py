@@ -9,7 +9,9 @@ every text has a probability.
 
 Weights are trained by rounds of distributed gradient updates: each task runs
 AdaGrad minibatches over its part of the round's documents from the common
-weights, and the changes are averaged by tokens. Counts cover all training text.
+weights and AdaGrad state. A row's change is averaged over the tasks that met the
+row, by how often each did, so a history that one task met keeps its whole change.
+The rounds grow with the training text. Counts cover all training text.
 """
 
 from __future__ import annotations
@@ -25,20 +27,23 @@ from pyspark.sql import functions as F
 
 from pulsegrid.llm.common import ROW, input_bytes, staged, table, text_or_empty, with_row_id
 from pulsegrid.llm.shingles import SPREAD, hash_words_and_endings, mix64, text_slices
+from pulsegrid.session import work_folder
 
 HEAD_CLASSES, TAIL_CLASSES, MEMBERS = 48, 16, 64
 CLASSES = HEAD_CLASSES + TAIL_CLASSES
 # Rows of hashed weights: per history feature of the classes, and of all places together.
 CLASS_ROWS, PLACE_ROWS = 4096, 8192
+# Rounds at least; the square root of the training tokens over ROUND_TOKENS where that is more.
 ROUNDS = 3
+ROUND_TOKENS = 1 << 23
 MINIBATCH = 2048
 RATE = 0.1
 # Counts of this many words go to the tasks; those of all others are joined.
 COMMON_WORDS = 200_000
 SMOOTHING = 0.1
 START, END = (int(mix64(np.array([s], dtype=np.uint64))[0]) for s in (0x57A7, 0xE9D0))
-# Weights of one row of the table in which tasks hand in their changes.
-BLOCK = 16_384
+# Rows of weights in one row of the table in which tasks hand in their changes.
+BLOCK_ROWS = 256
 SALTS = 256
 # Input of a training task, at least: every task hands in the changes of all weights.
 TASK_BYTES = 32 << 20
@@ -97,15 +102,16 @@ class Model:
             self.place_bias = np.maximum(np.log(place / np.maximum(place.sum(1, keepdims=True), 1)), closed).astype(np.float32)
         self.by_class = np.zeros((3 * CLASS_ROWS, CLASSES), dtype=np.float32)
         self.by_place = np.zeros((PLACE_ROWS, MEMBERS), dtype=np.float32)
+        # What AdaGrad has seen of every row in the rounds before.
+        self.seen = np.full(3 * CLASS_ROWS + PLACE_ROWS, 1.0, dtype=np.float32)
 
     def weights(self) -> np.ndarray:
-        return np.concatenate([w.ravel() for w in (self.class_bias, self.place_bias, self.by_class, self.by_place)])
+        return np.concatenate((self.by_class, self.by_place))
 
-    def add(self, change: np.ndarray) -> None:
-        at = 0
-        for w in (self.class_bias, self.place_bias, self.by_class, self.by_place):
-            w += change[at : at + w.size].reshape(w.shape)
-            at += w.size
+    def add(self, change: np.ndarray, grown: np.ndarray) -> None:
+        self.by_class += change[: len(self.by_class)]
+        self.by_place += change[len(self.by_class) :]
+        self.seen += grown
 
     def targets(self, tokens: Tokens) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Class and place of every token (place -1 in tail classes), and its history's hashed rows."""
@@ -159,35 +165,36 @@ class _Softmax:
             order = np.argsort(feature.astype(np.uint16), kind="stable")
             ordered = feature[order]
             first = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1])))
-            grad.step(table_, ordered[first], np.add.reduceat(self.gather(p, order), first, axis=0))
+            times = np.diff(np.append(first, len(ordered)))
+            grad.step(table_, ordered[first], np.add.reduceat(self.gather(p, order), first, axis=0), times)
 
 
 class _AdaGrad:
     """Steps whose size shrinks with the gradients a row has seen."""
 
-    def __init__(self, rows: int):
-        self.seen = np.full(rows, 1.0, dtype=np.float32)
+    def __init__(self, seen: np.ndarray):
+        self.seen, self.met = seen, np.zeros(len(seen), dtype=np.float32)
 
-    def step(self, table_: np.ndarray, rows: np.ndarray, total: np.ndarray) -> None:
+    def step(self, table_: np.ndarray, rows: np.ndarray, total: np.ndarray, times: np.ndarray) -> None:
+        self.met[rows] += times
         self.seen[rows] += (total**2).mean(axis=1)
         table_[rows] -= (RATE / np.sqrt(self.seen[rows]))[:, None] * total
 
 
-def _gradients(model: Model, texts: Iterator[list[bytes]]) -> tuple[np.ndarray, int]:
-    """Minibatch updates over some texts: the change of all weights and the tokens seen."""
-    began, seen = model.weights(), 0
-    by_class, by_place = _AdaGrad(3 * CLASS_ROWS), _AdaGrad(PLACE_ROWS)
+def _gradients(model: Model, texts: Iterator[list[bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Minibatch updates over some texts: by row, the change, what AdaGrad saw and how often the row was met."""
+    began, before = model.weights(), model.seen.copy()
+    by_class, by_place = _AdaGrad(model.seen[: 3 * CLASS_ROWS]), _AdaGrad(model.seen[3 * CLASS_ROWS :])
     classes, members = _Softmax(CLASSES), _Softmax(MEMBERS)
     for part in texts:
         cls, place, rows, places = model.targets(Tokens(part))
-        seen += len(cls)
         for a in range(0, len(cls), MINIBATCH):
             y, z = cls[a : a + MINIBATCH], place[a : a + MINIBATCH]
             classes.step(by_class, model.class_bias, model.by_class, rows[:, a : a + MINIBATCH], y)
             head = np.flatnonzero(z >= 0)
             if len(head):
                 members.step(by_place, model.place_bias[y[head]], model.by_place, places[:, a + head], z[head])
-    return model.weights() - began, seen
+    return model.weights() - began, model.seen - before, np.concatenate((by_class.met, by_place.met))
 
 
 def _copy(model: Model) -> Model:
@@ -199,29 +206,41 @@ def _copy(model: Model) -> Model:
 def _train(model: Model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         texts = ([t.encode() for t in part.column("text").to_pylist()] for batch in batches for part in text_slices(batch))
-        change, seen = _gradients(_copy(model), texts)
-        if not seen:
-            return
-        blocks = [change[i : i + BLOCK].astype(np.float16).tobytes() for i in range(0, len(change), BLOCK)]
+        change, grown, met = _gradients(_copy(model), texts)
+        blocks = [i for i in range(0, len(met), BLOCK_ROWS) if met[i : i + BLOCK_ROWS].any()]
         salt = TaskContext.get().partitionId() % SALTS
+        cut = lambda v, width: pa.array([v[i : i + BLOCK_ROWS].astype(width).tobytes() for i in blocks], pa.binary())
         yield pa.RecordBatch.from_arrays(
-            [pa.array(np.arange(len(blocks)), pa.int32()), pa.array(np.full(len(blocks), salt), pa.int32())]
-            + [pa.array(np.full(len(blocks), float(seen))), pa.array(blocks, pa.binary())],
-            names=["block", "salt", "seen", "change"],
+            [pa.array(np.array(blocks, dtype=np.int64) // BLOCK_ROWS, pa.int32()), pa.array(np.full(len(blocks), salt), pa.int32())]
+            + [cut(met, "<f8"), cut(grown, "<f4"), cut(change, "<f2")],
+            names=["block", "salt", "met", "grown", "change"],
         )
 
     return run
 
 
 def _mean_change(width: str):
+    """Means of the tasks' changes, of every row over the tasks that met it."""
+
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        seen = pdf["seen"].to_numpy()
-        total = sum(w * np.frombuffer(c, dtype=width).astype(np.float32) for w, c in zip(seen / seen.sum(), pdf["change"]))
-        return pd.DataFrame({"block": [pdf["block"].iat[0]], "salt": [pdf["salt"].iat[0]], "seen": [seen.sum()], "change": [total.astype(np.float32).tobytes()]})
+        met, grown, change = np.zeros(BLOCK_ROWS), np.zeros(BLOCK_ROWS), np.zeros((BLOCK_ROWS, MEMBERS))
+        for m, g, c in zip(pdf["met"], pdf["grown"], pdf["change"]):
+            times = np.frombuffer(m, dtype="<f8")
+            met += times
+            grown += times * np.frombuffer(g, dtype="<f4")
+            change += times[:, None] * np.frombuffer(c, dtype=width).reshape(change.shape)
+        often = np.maximum(met, 1)
+        cells = {"met": met, "grown": (grown / often).astype("<f4"), "change": (change / often[:, None]).astype("<f4")}
+        return pd.DataFrame({"block": [pdf["block"].iat[0]], "salt": [pdf["salt"].iat[0]]} | {k: [v.tobytes()] for k, v in cells.items()})
 
     return run
 
 
+def rounds_for(tokens: int, least: int = ROUNDS) -> int:
+    """Rounds of training: as many more as tasks of a round when the text grows."""
+    return max(least, int(np.ceil(np.sqrt(tokens / ROUND_TOKENS))))
+
+
 def _counter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Counts of the tokens of a batch by word and language."""
     for batch in batches:
@@ -316,16 +335,27 @@ def score_documents(docs: DataFrame, rounds: int = ROUNDS, common_words: int = C
     np.subtract.at(sizes[0], short["tail"].to_numpy(np.int64), short["c"].to_numpy(np.float64))
     np.subtract.at(sizes[1], short["tail"].to_numpy(np.int64), 1.0)
 
-    tasks = max(1, min(-(-input_bytes(docs) // TASK_BYTES), 1 << 30))  # more than there are changes nothing
+    turns = rounds_for(total, rounds) if rounds and total else 0
+    # More tasks than there are partitions change nothing.
+    tasks = max(1, min(-(-input_bytes(docs) * rounds // (TASK_BYTES * max(turns, 1))), 1 << 30))
     model = Model(listed.view(np.uint64), short["c"].to_numpy(np.float64), sizes[0])
-    schema = "block int, salt int, seen double, change binary"
-    for i in range(rounds if total else 0):
-        turn = train.filter(F.pmod(F.xxhash64("doc_id"), F.lit(rounds)) == i)
-        change = turn.select("text").coalesce(tasks).mapInArrow(_train(model), schema)
+    schema = "block int, salt int, met binary, grown binary, change binary"
+    if turns:
+        # Dealt out once, so that a round reads its own documents only.
+        path = work_folder(spark := docs.sparkSession, "train-turns")
+        turn = F.pmod(F.xxhash64("doc_id"), F.lit(turns)).cast("int")
+        train.select("text", turn.alias("turn")).write.partitionBy("turn").parquet(path)
+        dealt = spark.read.schema("text string, turn int").parquet(path)
+    for i in range(turns):
+        change = dealt.filter(F.col("turn") == i).select("text").coalesce(tasks).mapInArrow(_train(model), schema)
         change = change.groupBy("block", "salt").applyInPandas(_mean_change("<f2"), schema)
-        parts = change.groupBy("block").applyInPandas(_mean_change("<f4"), schema).orderBy("block").collect()
-        if parts:
-            model.add(np.concatenate([np.frombuffer(r["change"], dtype="<f4") for r in parts]))
+        parts = change.groupBy("block").applyInPandas(_mean_change("<f4"), schema).collect()
+        change, grown = np.zeros_like(model.weights()), np.zeros_like(model.seen)
+        for r in parts:
+            at = slice(r["block"] * BLOCK_ROWS, (r["block"] + 1) * BLOCK_ROWS)
+            change[at] = np.frombuffer(r["change"], dtype="<f4").reshape(BLOCK_ROWS, MEMBERS)
+            grown[at] = np.frombuffer(r["grown"], dtype="<f4")
+        model.add(change, grown)
 
     scorer = _scorer(model, (common["word"].to_numpy(np.int64).view(np.uint64), common["c"].to_numpy(np.int64)), total, kinds, sizes[0], sizes[1])
     fields = f"{ROW} long, doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double, words array<long>, tails array<int>"

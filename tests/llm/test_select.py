@@ -282,6 +282,26 @@ def test_scores_without_training(docs_of):
     assert score_documents(docs_of()).collect() == []
 
 
+def test_a_task_keeps_what_it_alone_met(docs_of, monkeypatch):
+    from pulsegrid.llm import maxent
+
+    monkeypatch.setattr(maxent, "TASK_BYTES", 1)
+    held = next(i for i in range(10_000, 10_100) if zlib.crc32(str(i).encode()) % 10 == 0)
+    rows = [(i, " ".join(["ping pong"] * 300 if i < 100 else [f"w{i % 7} v{i % 5}"] * 300)) for i in range(800)] + [(held, "ping pong " * 50)]
+    gain = []
+    for parts in (1, 8):
+        docs = docs_of(*rows).repartitionByRange(parts, "doc_id")
+        r = next(r for r in score_documents(docs).collect() if r["doc_id"] == held)
+        gain.append(r["score"] - r["base_score"])
+    assert gain[1] > 0.8 * gain[0] > 0
+
+
+def test_rounds_grow_with_the_text():
+    from pulsegrid.llm.maxent import ROUND_TOKENS, rounds_for
+
+    assert rounds_for(1) == rounds_for(9 * ROUND_TOKENS) == 3 and rounds_for(900 * ROUND_TOKENS) == 30
+
+
 # -- pipeline ----------------------------------------------------------------------------------
 
 
