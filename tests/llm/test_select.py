@@ -209,6 +209,26 @@ def test_templates_follow_labels(spark):
     assert got[1000]["template"] == "/bad/*/x"
 
 
+def test_undecided_urls_follow_their_ancestors(spark, folder):
+    from pulsegrid.llm.urls import op10_url_filters
+
+    rows = [(i, f"http://a.example.com/de/{i}") for i in range(100)] + [(200 + i, f"http://b.org/fr/x{i}") for i in range(100)]
+    rows += [(500, "http://a.example.com/news/x"), (501, "http://b.org/news/x"), (502, "http://c.example.com/news/x")]
+    pages(spark, *rows).write.parquet(folder + "/pages.parquet")
+    got = {r["page_id"]: r["verdict"] for r in op10_url_filters(spark, folder).collect()}
+    assert [got[i] for i in (0, 200, 500, 501, 502)] == ["block", "allow", "block", "allow", "allow"]
+
+
+def test_many_children_and_deep_paths_stay_apart(spark):
+    deep = "/".join("abcdefghijkl")
+    rows = [(i, f"http://h.org/{'bad' if i % 2 else 'good'}/{i}/x") for i in range(200)] + [(i, f"http://h.org/k{i}/x") for i in range(1000, 1150)]
+    rows += [(i, f"http://h.org/{deep}/{'spam' if i % 2 else 'fine'}/y{i}") for i in range(300, 500)]
+    rows += [(2000, "http://h.org/bad/7777/x"), (2001, "http://h.org/good/7777/x"), (2002, f"http://h.org/{deep}/spam/z"), (2003, f"http://h.org/{deep}/fine/z")]
+    labels = spark.createDataFrame([(i, bool(i % 2)) for i in [*range(200), *range(300, 500)]], "page_id long, blocked boolean")
+    got = {r["page_id"]: r["verdict"] for r in filter_urls(pages(spark, *rows), labels).collect()}
+    assert [got[i] for i in range(2000, 2004)] == ["block", "allow", "block", "allow"]
+
+
 # -- quality -----------------------------------------------------------------------------------
 
 
