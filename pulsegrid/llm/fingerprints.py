@@ -1,5 +1,8 @@
 """Document fingerprints: invertible Bloom lookup sketches of paragraph digests.
 
+Paragraphs are lines; long lines are cut into chunks of some words at places that
+follow from the words there, so an edit changes the chunks it touches only.
+
 Every paragraph digest falls into one cell of each of three subtables; a cell
 has the number of digests, their xor and the xor of their checks. Subtracting
 the cells of two texts leaves the digests they do not share. A cell left with a
@@ -26,6 +29,11 @@ SUBTABLES = 3
 BASE_CELLS = 4
 # Rounds of peeling before a pair counts as stuck; each goes through one subtable.
 ROUNDS = 9
+# Lines of more code points are cut, between two tokens in MEAN_CHUNK.
+WHOLE_LINE = 128
+MEAN_CHUNK = 8
+# A word; of more than 33 code points without white space, each but the last ones.
+TOKEN = r"\S(?=\S{32})|\S+?(?=\s|$|\S{33})"
 # Larger sketches tried before the digests themselves are compared.
 RETRIES = 4
 # Blocks of consecutive ids that the documents are dealt into, at most.
@@ -35,9 +43,26 @@ LEAST_ID = -(1 << 63)
 
 
 def paragraph_digests(text: Column) -> Column:
-    """Distinct 64-bit digests of the lines of a text that are not blank."""
+    """Distinct 64-bit digests of the lines of a text that are not blank, long ones by chunk."""
     lines = F.filter(F.split(text, "\n"), lambda p: F.trim(p) != "")
-    return F.array_distinct(F.transform(lines, lambda p: F.xxhash64(p)))
+    units = F.transform(lines, lambda p: F.when(F.length(p) > WHOLE_LINE, _chunks(p)).otherwise(F.array(F.xxhash64(p))))
+    return F.array_distinct(F.flatten(units))
+
+
+def _chunks(line: Column) -> Column:
+    """Digests of the chunks of a line, cut where the hash of two neighbouring tokens says so."""
+
+    def once(value: Column, use) -> Column:
+        # A lambda's argument is worked out once, an expression inside it for every element.
+        return F.get(F.transform(F.array(value), use), F.lit(0))
+
+    def cut(tokens: Column) -> Column:
+        n = F.size(tokens)
+        starts_here = lambda i: (i == 1) | (F.pmod(F.xxhash64(F.get(tokens, i - 2), F.get(tokens, i - 1)), F.lit(MEAN_CHUNK)) == 0)
+        starts = F.filter(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), starts_here)
+        return once(starts, lambda at: F.transform(at, lambda s, i: F.xxhash64(F.slice(tokens, s, F.coalesce(F.get(at, i + 1), n + 1) - s))))
+
+    return once(F.regexp_extract_all(line, F.lit(TOKEN), F.lit(0)), cut)
 
 
 def _check(digest: Column) -> Column:
@@ -165,8 +190,9 @@ def fingerprint_documents(docs: DataFrame, text: str = "text") -> DataFrame:
     as many first code points of the next document, or all of it where that is
     shorter. Next is by descending doc_id, a null doc_id last; rows that repeat a
     doc_id follow each other by text; after the last document comes the first,
-    so a table of one document is its own next. Paragraphs are lines; blank ones
-    and repetitions do not count. A null text counts as empty, and two texts
+    so a table of one document is its own next. Paragraphs are lines, those of more
+    than WHOLE_LINE code points chunks of some words; blank ones and repetitions
+    do not count. A null text counts as empty, and two texts
     without paragraphs are alike (1). Other columns are ignored. An empty table
     gives no rows.
     """

@@ -168,6 +168,15 @@ def test_fingerprints(docs_of, prose):
     assert got[7]["fingerprint"] == got[44]["fingerprint"] != got[8]["fingerprint"]
 
 
+def test_an_edited_paragraph_stays_near(docs_of, prose):
+    import random
+
+    r = random.Random(5)
+    cjk = "".join(chr(0x4E00 + r.randrange(2000)) for _ in range(900))
+    got = {r["doc_id"]: r for r in fingerprint_documents(docs_of((1, prose(300, 1)), (2, prose(300, 2)), (3, cjk))).collect()}
+    assert all(0.15 < r["near_edited"] < 0.8 and r["near_next"] < 0.1 for r in got.values()), [(d, r["near_edited"], r["near_next"]) for d, r in got.items()]
+
+
 def test_fingerprints_of_few_and_odd_rows(docs_of, odd_rows):
     assert fingerprint_documents(docs_of()).collect() == []
     one = fingerprint_documents(docs_of((3, "abc\nd"))).first()
