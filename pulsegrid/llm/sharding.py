@@ -34,8 +34,9 @@ class GroupEnds:
 
     def refine(self, wanted: set[int]) -> None:
         """Split ranges; one whose groups all fit the summary is read group by group."""
-        ids = sorted(wanted)
-        share = max(1, self.ranges // len(ids))
+        # At least two bins a span, or nothing is split; what is too many for that waits for the next turn.
+        ids = sorted(wanted)[: max(1, self.ranges // 2)]
+        share = max(2, self.ranges // len(ids))
         spans = [(int(self.first[i]), int(self.final[i])) for i in ids]
         widths = [1 if self.count[i] <= share else -(-(b - a + 1) // share) for i, (a, b) in zip(ids, spans)]
         if self.count[ids].sum() <= self.ranges:

@@ -162,6 +162,22 @@ def test_shards(docs_of, odd_rows, prose, monkeypatch, ranges):
     assert max(loads.values()) == smallest([sizes[k] for k in sorted(sizes)], 7)
 
 
+@pytest.mark.parametrize("ranges", [16])
+def test_shards_with_few_ranges(docs_of, prose, monkeypatch, ranges):
+    monkeypatch.setattr(sharding.GroupEnds.__init__, "__defaults__", (ranges,))
+    turns, refine = [], sharding.GroupEnds.refine
+    monkeypatch.setattr(sharding.GroupEnds, "refine", lambda self, wanted: (turns.append(1), len(turns) > 60 and pytest.fail("no end"), refine(self, wanted)))
+    rows = [(i, prose(1 + i * i % 50, i)) for i in range(40 if ranges < 16 else 400)]
+    loads, sizes = Counter(), Counter()
+    import hashlib
+
+    for r in minimax_shards(docs_of(*rows), shards=3 if ranges < 16 else 7).collect():
+        loads[r["shard"]] += r["size"]
+    for _, t in rows:
+        sizes[hashlib.md5(t.encode()).hexdigest()] += len(t.encode()) + 16
+    assert max(loads.values()) == smallest([sizes[k] for k in sorted(sizes)], 3 if ranges < 16 else 7)
+
+
 def test_few_shards(docs_of):
     assert minimax_shards(docs_of()).collect() == []
     got = minimax_shards(docs_of((1, "a"), (2, "b"), (3, "a")), shards=5).collect()
