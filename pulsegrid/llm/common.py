@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 import sys
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pulsegrid.session import local_rows, remove_folder, shared_root, work_folder
+from pulsegrid.session import local_rows, remove_folder, shared_root, split_by_range, work_folder
 
 # Python workers need not have this package installed: its functions travel with the job.
 cloudpickle.register_pickle_by_value(sys.modules["pulsegrid.llm"])
@@ -18,8 +21,10 @@ UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 # What separates words: space and the control characters 0x09 to 0x0D.
 WORD_GAP = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
-# One name for the position of a row in its staged input; no input column should clash with it.
+# The number of a row inside an operator. It never comes from a column of this name in the input.
 ROW = "__pulsegrid_row"
+# Folders that were staged since the innermost ``work_dropped`` began.
+_WORK: ContextVar[list[str] | None] = ContextVar("work", default=None)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -48,10 +53,37 @@ def staged(df: DataFrame, purpose: str) -> DataFrame:
     costs only the tasks it had.
     """
     path = work_folder(df.sparkSession, purpose)
+    note_work(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def note_work(path: str) -> None:
+    """Remember a work folder, for the ``work_dropped`` that surrounds the call to delete."""
+    work = _WORK.get()
+    if work is not None:
+        work.append(path)
+
+
+@contextmanager
+def work_dropped(spark: SparkSession) -> Iterator[Callable[[DataFrame, str], DataFrame]]:
+    """Delete at the end what was staged inside, except by the function this gives."""
+    work: list[str] = []
+    token = _WORK.set(work)
+
+    def kept(df: DataFrame, purpose: str) -> DataFrame:
+        out = staged(df, purpose)
+        work.pop()
+        return out
+
+    try:
+        yield kept
+    finally:
+        _WORK.reset(token)
+        for path in work:
+            remove_folder(spark, path)
+
+
 def checkpoint_root(spark: SparkSession) -> str:
     return shared_root(spark)
 
@@ -62,13 +94,44 @@ def drop_staged(df: DataFrame) -> None:
         remove_folder(df.sparkSession, path)
 
 
-def with_row_id(df: DataFrame, *columns: str | Column) -> DataFrame:
+def with_row_id(df: DataFrame, *columns: str | Column, row_id: str | None = None) -> DataFrame:
     """``columns`` and a number per row, which is stable only once the result is staged.
 
-    A table that was numbered before (a stage of a pipeline) keeps its numbers.
+    ``row_id`` names a column that numbers the rows already.
     """
-    number = F.col(ROW) if ROW in df.columns else F.monotonically_increasing_id().alias(ROW)
-    return df.select(*columns, number)
+    number = F.monotonically_increasing_id() if row_id is None else F.col(row_id)
+    return df.select(*columns, number.alias(ROW))
+
+
+def row_column(row_id: str | None) -> list[Column]:
+    """The number of a row under the name its caller gave it, if any."""
+    return [] if row_id is None else [F.col(ROW).alias(row_id)]
+
+
+def unused_name(df: DataFrame, name: str) -> str:
+    """``name``, lengthened until no column begins like it."""
+    while any(c.lower().startswith(name) for c in df.columns):
+        name += "_"
+    return name
+
+
+def numbered_rows(df: DataFrame, row_id: str) -> DataFrame:
+    """``df`` with a number per row that every later read repeats.
+
+    Rows of a frame that is just read from Parquet are numbered by file and place
+    in the file, without a copy; any other frame is staged. There is one number
+    per file on the driver.
+    """
+    spark = df.sparkSession
+    if df._jdf.queryExecution().analyzed().getClass().getSimpleName() != "LogicalRelation":
+        return staged(df.withColumn(row_id, F.monotonically_increasing_id()), "stage-rows")
+    place = df.metadataColumn("_metadata")
+    placed = df.withColumns({f"{row_id}_file": place["file_path"], f"{row_id}_at": place["row_index"]})
+    files = sorted(r[0] for r in placed.select(f"{row_id}_file").distinct().collect())
+    fields = T.StructType([T.StructField(f"{row_id}_file", T.StringType()), T.StructField(f"{row_id}_no", T.LongType())])
+    side = F.broadcast(local_rows(spark, [(f, i << 33) for i, f in enumerate(files)], fields))
+    number = (F.col(f"{row_id}_no") + F.col(f"{row_id}_at")).alias(row_id)
+    return placed.join(side, f"{row_id}_file").select(*df.columns, number)
 
 
 def in_order(df: DataFrame, order: list[str], totals: dict[str, Column], purpose: str) -> DataFrame:
@@ -81,7 +144,7 @@ def in_order(df: DataFrame, order: list[str], totals: dict[str, Column], purpose
     """
     spark = df.sparkSession
     part = staged(
-        df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__part", F.spark_partition_id()),
+        split_by_range(df, *order).withColumn("__part", F.spark_partition_id()),
         purpose,
     )
     sums = part.groupBy("__part").agg(*(F.sum(c).cast("long").alias(n) for n, c in totals.items())).orderBy("__part").collect()

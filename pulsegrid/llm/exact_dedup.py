@@ -13,7 +13,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pulsegrid.llm.common import ROW, checkpoint_root, lower_ascii, staged, table, text_or_empty, with_row_id
+from pulsegrid.llm.common import ROW, checkpoint_root, lower_ascii, note_work, row_column, staged, table, text_or_empty, with_row_id
 
 BUCKETS = 64
 
@@ -50,7 +50,7 @@ class DigestIndex:
         self.spark.catalog.refreshTable(self.name)
 
 
-def exact_dedup(docs: DataFrame, index: DigestIndex | None = None, text: str = "text") -> DataFrame:
+def exact_dedup(docs: DataFrame, index: DigestIndex | None = None, text: str = "text", row_id: str | None = None) -> DataFrame:
     """One row per document: ``doc_id, keep_id, group_size, kept, text_sha256``.
 
     Texts are equal when identical after lower-casing A-Z; null equals empty. Of
@@ -59,12 +59,15 @@ def exact_dedup(docs: DataFrame, index: DigestIndex | None = None, text: str = "
     index the upper half of the ids is indexed first and the lower half then
     meets it as new data, which gives the same answer as one batch. With a
     filled index (of an earlier run) digests it holds drop every row of ``docs``.
-    Other columns are ignored. An empty table gives no rows.
+    ``row_id`` names a column that numbers the rows, which is returned too. Other
+    columns are ignored. An empty table gives no rows.
     """
     spark = docs.sparkSession
     own = index is None
-    index = index or DigestIndex(spark, f"{checkpoint_root(spark)}/pulsegrid/digests-{uuid.uuid4().hex}")
-    rows = staged(with_row_id(docs, F.col("doc_id").cast("long"), text_digest(text).alias("digest")), "digests")
+    if index is None:
+        index = DigestIndex(spark, f"{checkpoint_root(spark)}/pulsegrid/digests-{uuid.uuid4().hex}")
+        note_work(index.path)
+    rows = staged(with_row_id(docs, F.col("doc_id").cast("long"), text_digest(text).alias("digest"), row_id=row_id), "digests")
     if own:
         middle = rows.approxQuantile("doc_id", [0.5], 0.05)
         upper = F.col("doc_id") >= F.lit(int(middle[0]) if middle else 0)
@@ -81,7 +84,7 @@ def exact_dedup(docs: DataFrame, index: DigestIndex | None = None, text: str = "
         "group_size",
         (F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col(ROW) == F.col("keep_row"))).alias("kept"),
         F.col("digest").alias("text_sha256"),
-        *([ROW] if ROW in docs.columns else []),
+        *row_column(row_id),
     )
 
 

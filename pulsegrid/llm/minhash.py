@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pulsegrid.llm.common import ROW, in_order, staged, table, text_or_empty, with_row_id
+from pulsegrid.llm.common import ROW, in_order, row_column, staged, table, text_or_empty, with_row_id
 from pulsegrid.llm.components import components
 from pulsegrid.llm.shingles import SPREAD, hash_shingles, hash_words, mix64, text_slices
 
@@ -152,6 +152,7 @@ def near_duplicates(
     bands: int = BANDS,
     band_rows: int = BAND_ROWS,
     text: str = "text",
+    row_id: str | None = None,
 ) -> DataFrame:
     """One row per document: ``doc_id, n_shingles, component_id, kept``.
 
@@ -162,15 +163,16 @@ def near_duplicates(
     or blank text is linked with nothing and kept. Rows that repeat a doc_id are
     linked by their texts; all rows with the component's doc_id count as kept
     except repeated rows of one class, of which one is. A null doc_id yields to
-    any other. Other columns are ignored. An empty table gives no rows.
+    any other. ``row_id`` names a column that numbers the rows, which is returned
+    too. Other columns are ignored. An empty table gives no rows.
     """
     source = docs.select(
         F.col("doc_id").cast("long"), text_or_empty(text).alias("text"), F.md5(text_or_empty(text).cast("binary")).alias("text_key"),
-        *([ROW] if ROW in docs.columns else []),
+        *([] if row_id is None else [F.col(row_id).alias(ROW)]),
     )
     profile = f"{ROW} long, doc_id long, text_key string, n long, k1 long, k2 long, bands array<long>"
     rows = staged(
-        with_row_id(source, "doc_id", "text", "text_key").select(ROW, "doc_id", "text", "text_key").mapInArrow(_profile(shingle, bands, band_rows), profile),
+        with_row_id(source, "doc_id", "text", "text_key", row_id=None if row_id is None else ROW).select(ROW, "doc_id", "text", "text_key").mapInArrow(_profile(shingle, bands, band_rows), profile),
         "near-rows",
     )
     spoken = rows.filter("n > 0")
@@ -237,7 +239,7 @@ def near_duplicates(
         (F.col(ROW) == F.col("least.node")).alias("kept"),
     )
     silent = rows.filter("n = 0").select(ROW, "doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(True).alias("kept"))
-    return known.unionByName(silent).select("doc_id", "n_shingles", "component_id", "kept", *([ROW] if ROW in docs.columns else []))
+    return known.unionByName(silent).select("doc_id", "n_shingles", "component_id", "kept", *row_column(row_id))
 
 
 def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:

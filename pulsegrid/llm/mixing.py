@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pulsegrid.llm.common import ROW, WORD, in_order, staged, table, text_or_empty, with_row_id
+from pulsegrid.llm.common import ROW, WORD, in_order, row_column, staged, table, text_or_empty, with_row_id
 from pulsegrid.session import local_rows
 
 WEIGHTS = (5, 2, 1)
@@ -116,6 +116,7 @@ def mix_sources(
     weights: tuple[float, ...] = WEIGHTS,
     most: int = MOST_TIMES,
     seed: int = SEED,
+    row_id: str | None = None,
 ) -> DataFrame:
     """One row per document: ``doc_id, size, source_size, target, taken``.
 
@@ -124,7 +125,8 @@ def mix_sources(
     how often the document is taken, up to ``most`` times. A document without
     words is taken no words. Equal lengths are told apart by a seeded hash of
     the doc_id, then doc_id, then position, so reruns agree; rows that repeat a
-    doc_id count each. Other columns are ignored. An empty table gives no rows.
+    doc_id count each. ``row_id`` names a column that numbers the rows, which is
+    returned too. Other columns are ignored. An empty table gives no rows.
     """
     spark = docs.sparkSession
     rows = staged(
@@ -134,6 +136,7 @@ def mix_sources(
             F.col("source").cast("string"),
             F.regexp_count(text_or_empty(), F.lit(WORD)).cast("long").alias("size"),
             F.xxhash64(F.lit(seed), F.col("doc_id").cast("string")).alias("draw"),
+            row_id=row_id,
         ),
         "mix-rows",
     )
@@ -176,7 +179,7 @@ def mix_sources(
         "source_size",
         "target",
         (F.col("size") * (F.col("passes") + F.coalesce(F.col("more"), F.lit(0)))).alias("taken"),
-        *([ROW] if ROW in docs.columns else []),
+        *row_column(row_id),
     )
 
 

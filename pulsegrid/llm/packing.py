@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pulsegrid.llm.common import ROW, in_order, staged, table, text_or_empty, with_row_id
+from pulsegrid.llm.shingles import text_slices
 
 LENGTH = 1024
 END_ID = 0
@@ -63,7 +64,10 @@ class TextTokenizer:
         """Ids as little-endian unsigned 16-bit numbers."""
         if self.fast and _is_latin(text):
             return self.fast.encode_to_numpy(text, disallowed_special=()).astype("<u2").tobytes()
-        return np.array(self.model.encode(text, add_special_tokens=False).ids, dtype="<u2").tobytes()
+        ids = np.array(self.model.encode(text, add_special_tokens=False).ids, dtype="<u4")
+        if len(ids) and ids.max() > 0xFFFF:
+            raise ValueError("ids must fit 16 bits")
+        return ids.astype("<u2").tobytes()
 
 
 def _is_latin(text: str) -> bool:
@@ -136,7 +140,7 @@ def _tokenised(tokenizer: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, plane = TextTokenizer(tokenizer), projection()
         for batch in batches:
-            for part in (batch.slice(i, 256) for i in range(0, batch.num_rows, 256)):
+            for part in text_slices(batch):
                 texts = part.column("text").to_pylist()
                 ids = [model.encode(t) for t in texts]
                 place = word_vectors([t.encode() for t in texts]) @ plane

@@ -11,7 +11,7 @@ DOCS = T.StructType(
     ]
 )
 # Names that the operators use inside; a table may have them too.
-CLASHES = {"digest": "'x'", "size": "'y'", "n": "-1", "rank": "'z'", "key": "0", "words": "1", "kept": "'no'", "block": "2", "cells": "3"}
+CLASHES = {"digest": "'x'", "size": "'y'", "n": "-1", "rank": "'z'", "key": "0", "words": "1", "kept": "'no'", "block": "2", "cells": "3", "__pulsegrid_row": "0", "__stage_row": "0"}
 
 
 @pytest.fixture
