@@ -68,7 +68,7 @@ def publish_records(
 
 
 def publish_csv(
-    log_store: MessageLog, path: str, topic: str, stamp: datetime | None = None, multi_line: bool = True
+    log_store: MessageLog, path: str, topic: str, stamp: datetime | None = None, multi_line: bool = False
 ) -> Published:
     """A CSV file or folder into the log, in file order."""
     records = read_csv_records(log_store.spark, path, multi_line=multi_line, arrival=True)

@@ -1,6 +1,7 @@
 """CSV files as records of strings, in batch and as a stream.
 
-Any path Hadoop can resolve works: local, shared or object storage.
+Any path Hadoop can resolve works: local, shared or object storage. A batch read
+splits large files, also where cells hold line breaks.
 """
 
 from __future__ import annotations
@@ -13,6 +14,8 @@ from pyspark.sql.readwriter import DataFrameReader
 
 from pulsegrid.errors import InvalidArgument
 from pulsegrid.schema import METRIC_COLUMNS
+from pulsegrid.session import local_rows
+from pulsegrid.sources.csv_splits import split_records
 
 ARRIVAL = "arrival"
 
@@ -41,13 +44,28 @@ def _text_cells(df: DataFrame, names: list[str]) -> DataFrame:
     )
 
 
-def csv_header(spark: SparkSession, path: str, multi_line: bool = True) -> list[str]:
+def csv_header(spark: SparkSession, path: str | list[str], multi_line: bool = True) -> list[str]:
     """The cells of the first row; an empty list for an empty file."""
     raw = spark.read.option("header", False).option("multiLine", multi_line).option("escape", '"').csv(path)
     first = raw.first() if raw.columns else None
     return [] if first is None else ["" if cell is None else cell for cell in first]
 
 
+def _parsed(spark: SparkSession, path: str | list[str], header: list[str], stored: list[str], arrival: bool) -> DataFrame:
+    """Cells of the records that many tasks cut out of the files; each file's header must be ``header``."""
+    options = {"escape": '"', "mode": "FAILFAST", "columnPruning": "false"}
+    records = split_records(spark, path)
+    cells = F.from_csv("record", _strings([f"_{i}" for i in range(len(stored))]).simpleString(), options)
+    rows = records.select("number", "header", cells.alias("cells"))
+    same = F.array(*(F.coalesce(F.col(f"cells._{i}"), F.lit("")) for i in range(len(stored)))) == F.array(*map(F.lit, header))
+    wrong = F.raise_error(F.lit("the header of a file differs from the first")).cast("boolean")
+    # Reading every cell makes a ragged row fail whatever the query needs.
+    whole = F.coalesce(*(F.col(f"cells._{i}") for i in range(len(stored))), F.lit("")).isNotNull()
+    rows = rows.filter(F.when(~F.col("header"), whole).when(same, F.lit(False)).otherwise(wrong))
+    named = [F.col(f"cells._{i}").alias(name) for i, name in enumerate(stored)]
+    return rows.select(*named, *([F.struct("number").alias(ARRIVAL)] if arrival else []))
+
+
 def _with_place(df: DataFrame) -> DataFrame:
     """Which file, and which split of it, a row comes from."""
     return df.withColumn(
@@ -67,16 +85,17 @@ def order_rows(df: DataFrame) -> DataFrame:
 
 
 def read_csv_records(
-    spark: SparkSession, path: str, multi_line: bool = True, arrival: bool = False
+    spark: SparkSession, path: str | list[str], multi_line: bool = False, arrival: bool = False
 ) -> DataFrame:
     """Records of a CSV file or folder; the first row names the columns.
 
     Every cell is a string. A repeated column name keeps its last column. A
-    ragged row fails the read, and so does a file whose header differs.
-    ``multi_line=False`` lets Spark split large files; it is only right when no
-    cell contains a line break. ``arrival=True`` adds the file order.
+    ragged row fails the read, and so does a file whose header differs. Large
+    files are split, line breaks in cells or not; ``multi_line=True`` reads a
+    file in one task instead, as files need whose lines end with CR alone.
+    ``arrival=True`` adds the order: by file, then by place in it.
     """
-    header = csv_header(spark, path, multi_line)
+    header = csv_header(spark, path)
     if not header:
         return spark.range(0).select()
     named = [name or f"_c{i}" for i, name in enumerate(header)]
@@ -89,6 +108,8 @@ def read_csv_records(
                 )
     last = {name: i for i, name in enumerate(named)}
     stored = [name if last[name] == i else f"{name}#{i}" for i, name in enumerate(named)]
+    if not multi_line:
+        return _text_cells(_parsed(spark, path, header, stored, arrival), [name for i, name in enumerate(named) if last[name] == i])
     reader = _options(spark.read.schema(_strings(stored)), multi_line)
     # Spark compares each file's header with the schema unless names were made up.
     df = reader.option("enforceSchema", stored != header).csv(path)
@@ -121,8 +142,7 @@ def metric_rows(records: DataFrame) -> DataFrame:
     )
 
 
-def read_metric_rows(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+def read_metric_rows(spark: SparkSession, path: str | list[str], multi_line: bool = False) -> DataFrame:
     """The documented twelve-column metric file."""
-    schema = _strings(list(METRIC_COLUMNS))
-    raw = _options(spark.read.schema(schema), multi_line).option("enforceSchema", False).csv(path)
-    return metric_rows(_text_cells(raw, list(METRIC_COLUMNS)))
+    records = read_csv_records(spark, path, multi_line)
+    return metric_rows(records if records.columns else local_rows(spark, [], _strings(list(METRIC_COLUMNS))))

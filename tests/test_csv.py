@@ -94,3 +94,83 @@ def test_metric_rows(spark, folder):
 def test_order_rows_without_source(spark):
     df = order_rows(spark.range(100).coalesce(1))
     assert [r["id"] for r in df.orderBy("arrival").collect()] == list(range(100))
+
+
+ODD = [
+    'gpu_id,description,n\n',
+    'a,"two\nlines",1\n', 'b,"three\n\nlines ""x"", y",2\n', 'd,"",4\n', '\n', '\n', 'e,"q""",""""\n', 'f,,\n',
+    '"g","a,b\n\n\nc","7"\n', 'h,"""\n""",8\n', 'i,é ü 日本,"9\n"\n', '"j\n",x,10\n', 'k,"long\n' + "line, \"\"of\"\" text\n" * 40 + 'end",11\n',
+]
+
+
+@pytest.fixture
+def small_splits(spark):
+    """Files cut every ``size`` bytes."""
+    keys = ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")
+    before = {k: spark.conf.get(k) for k in keys}
+
+    def cut(size):
+        for k in keys:
+            spark.conf.set(k, str(size))
+
+    yield cut
+    for k, v in before.items():
+        spark.conf.set(k, v)
+
+
+@pytest.mark.parametrize("size", [30, 400])
+def test_split_files_read_the_same(spark, folder, small_splits, size):
+    import random
+
+    names = []
+    for f in range(3):
+        body = ODD[1:] * 2
+        random.Random(f).shuffle(body)
+        text = ODD[0] + "".join(body) + ("z,last,0" if f else "")
+        names.append(write(folder, text.replace("\n", "\r\n") if f == 1 else text, f"part-{f}.csv"))
+    whole = sorted(map(tuple, read_csv_records(spark, folder, multi_line=True).collect()))
+    small_splits(size)
+    df = read_csv_records(spark, folder, arrival=True)
+    got = df.orderBy("arrival").collect()
+    assert sorted(tuple(r)[:3] for r in got) == whole and len({r["arrival"] for r in got}) == len(got)
+    in_order = [tuple(r) for name in names for r in read_csv_records(spark, name, multi_line=True).collect()]
+    assert [tuple(r)[:3] for r in got] == in_order
+    if size < 1000:
+        assert df.rdd.getNumPartitions() > 3
+
+
+def test_one_large_file_gives_several_tasks(spark, folder, small_splits):
+    small_splits(20_000)
+    text = "gpu_id,note\n" + "".join(f'gpu-{i},"line {i}\nnext ""{i}"""\n' for i in range(5000))
+    df = read_csv_records(spark, write(folder, text), arrival=True)
+    rows_ = df.orderBy("arrival").collect()
+    assert [r["gpu_id"] for r in rows_] == [f"gpu-{i}" for i in range(5000)] and rows_[77]["note"] == 'line 77\nnext "77"'
+    assert df.select("gpu_id").rdd.getNumPartitions() >= 5
+
+
+@pytest.mark.parametrize("batch", [1, 2, 3])
+def test_records_cross_batches(spark, folder, small_splits, batch):
+    path = write(folder, "".join(ODD))
+    whole = [tuple(r) for r in read_csv_records(spark, path, multi_line=True).collect()]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(batch))
+    try:
+        for size in (50, 1 << 20):
+            small_splits(size)
+            got = read_csv_records(spark, path, arrival=True).orderBy("arrival").collect()
+            assert [tuple(r)[:3] for r in got] == whole
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_a_quote_left_open_ends_with_its_file(spark, folder):
+    write(folder, 'a,b\n1,"open\nto the end', "1.csv")
+    write(folder, "a,b\n2,x\n", "2.csv")
+    assert sorted(map(tuple, read_csv_records(spark, folder).collect())) == [("1", "open\nto the end"), ("2", "x")]
+
+
+def test_bare_quotes_open_no_cell(spark, folder, small_splits):
+    path = write(folder, 'a,b\n5" disk,1\nx"y"z,"2\n3"\n"p"q,4\n6,7"\n')
+    want = [('5" disk', "1"), ('x"y"z', "2\n3"), ('"p"q', "4"), ("6", '7"')]
+    for size in (5, 1 << 20):
+        small_splits(size)
+        assert [tuple(r)[:2] for r in read_csv_records(spark, path, arrival=True).orderBy("arrival").collect()] == want
