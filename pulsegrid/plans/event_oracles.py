@@ -136,6 +136,10 @@ ORACLES = {
         """SELECT event_id % 2 AS batch_id, count(*) AS polled, 0::BIGINT AS rejected, count(*) AS inserted,
                   0::BIGINT AS duplicates FROM t GROUP BY 1"""
     ),
+    "stream_bounded_messages": with_t(
+        """SELECT 10::BIGINT AS turns, count(*) AS polled, 0::BIGINT AS rejected, count(*) AS inserted,
+                  0::BIGINT AS duplicates, count(*) AS stored FROM t"""
+    ),
     "publish_rejects": with_t(
         """SELECT CASE metric_name WHEN 'purchase' THEN 'missing_key' WHEN 'error' THEN 'partition_range' ELSE 'kept' END AS reason,
                   count(*) AS messages FROM t GROUP BY 1"""

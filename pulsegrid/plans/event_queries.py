@@ -401,6 +401,22 @@ def stream_bounded(spark, sf_dir):
     return ingest_metrics(store, metrics).select("batch_id", "polled", "rejected", "inserted", "duplicates")
 
 
+@query
+def stream_bounded_messages(spark, sf_dir):
+    """One publish batch, taken by a stream in turns of a tenth of the largest partition at most."""
+    store, metrics = MessageLog(spark, work_folder(spark, "log"), TOPICS), work_folder(spark, "metrics")
+    publish_records(store, event_records(spark, sf_dir), "telemetry", restamped=False)
+    largest = store.extents().filter("topic = 'telemetry'").agg(F.max("end_offset")).first()[0]
+    table = TelemetryTable(spark, work_folder(spark, "table"))
+    stream_collect(
+        store, table, "telemetry", "db", work_folder(spark, "checkpoint"), metrics_folder=metrics, max_messages=-(-largest // 10)
+    ).awaitTermination()
+    turns = ingest_metrics(store, metrics).agg(
+        F.count(F.lit(1)).alias("turns"), *(F.sum(c).alias(c) for c in ("polled", "rejected", "inserted", "duplicates"))
+    )
+    return turns.join(table.read().agg(F.count(F.lit(1)).alias("stored")))
+
+
 @query
 def publish_rejects(spark, sf_dir):
     """What a publish sets aside: no key for purchases, a partition that is not there for errors."""
@@ -843,115 +859,6 @@ def collect_from_log(spark, sf_dir):
     return table.read().select("gpu_id", "timestamp", "data", "batch_id")
 
 
-def events_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The events as a stream of records."""
-    events = spark.readStream.schema(EVENTS).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
-    return events.select(
-        F.col("event_id").alias("arrival"),
-        gpu_name().alias("gpu_id"),
-        F.date_format(F.col("ts").cast("timestamp"), MICROS).alias("timestamp"),
-        F.col("event_type").alias("metric_name"),
-        F.col("value").cast("string").alias("value"),
-        F.col("props").alias("data"),
-    )
-
-
-@query
-def two_topics_streamed(spark, sf_dir):
-    """Two streams with checkpoints of their own into one log."""
-    store = MessageLog(spark, work_folder(spark, "log"), TOPICS)
-    rows = events_stream(spark, sf_dir)
-    for topic, mine in (("telemetry", rows), ("alerts", rows.filter(F.col("metric_name") == "error"))):
-        stream_publish(mine, store, topic, work_folder(spark, "checkpoint"), restamped=False).awaitTermination()
-    return store.messages().select("topic", "partition", "offset", "key")
-
-
-@query
-def two_sources_one_topic(spark, sf_dir):
-    """Even and odd events from two producers that number their batches alike; both are retried."""
-    store = MessageLog(spark, work_folder(spark, "log"), TOPICS)
-    rows = event_records(spark, sf_dir)
-    for name, rest in (("a", 0), ("b", 1), ("a", 0), ("b", 1)):
-        publish_records(store, rows.filter(F.col("arrival") % 2 == rest), "telemetry", restamped=False, batch_id=0, source=name)
-    return store.messages().select("topic", "partition", "offset", "key", "payload")
-
-
-def split_log(spark: SparkSession, sf_dir: str) -> MessageLog:
-    """Even events in one topic, odd ones in the other."""
-    store = MessageLog(spark, work_folder(spark, "log"), TOPICS)
-    rows = event_records(spark, sf_dir)
-    for topic, rest in (("telemetry", 0), ("alerts", 1)):
-        publish_records(store, rows.filter(F.col("arrival") % 2 == rest), topic, restamped=False)
-    return store
-
-
-@query
-def two_collectors_one_table(spark, sf_dir):
-    store, table = split_log(spark, sf_dir), TelemetryTable(spark, work_folder(spark, "table"))
-    for topic in ("telemetry", "alerts"):
-        stream_collect(store, table, topic, "db", work_folder(spark, "checkpoint")).awaitTermination()
-    return table.read().select("gpu_id", "timestamp", "data")
-
-
-@query
-def stream_bounded(spark, sf_dir):
-    """Two publish batches, one per micro-batch."""
-    store, metrics = MessageLog(spark, work_folder(spark, "log"), TOPICS), work_folder(spark, "metrics")
-    rows = event_records(spark, sf_dir)
-    for rest in (0, 1):
-        publish_records(store, rows.filter(F.col("arrival") % 2 == rest), "telemetry", restamped=False)
-    table = TelemetryTable(spark, work_folder(spark, "table"))
-    stream_collect(
-        store, table, "telemetry", "db", work_folder(spark, "checkpoint"), max_batches=1, metrics_folder=metrics
-    ).awaitTermination()
-    return ingest_metrics(store, metrics).select("batch_id", "polled", "rejected", "inserted", "duplicates")
-
-
-@query
-def publish_rejects(spark, sf_dir):
-    """What a publish sets aside: no key for purchases, a partition that is not there for errors."""
-    store = MessageLog(spark, work_folder(spark, "log"), TOPICS)
-    rows = event_records(spark, sf_dir).withColumn(
-        "gpu_id", F.when(F.col("metric_name") == "purchase", "").when(F.col("metric_name") == "error", "gpu-far").otherwise(F.col("gpu_id"))
-    )
-    done = publish_records(
-        store, rows, "telemetry", restamped=False, router=lambda key: F.when(key == "gpu-far", F.lit(7)).otherwise(F.lit(0))
-    )
-    kept = done.messages.groupBy().agg(F.lit("kept").alias("reason"), F.count(F.lit(1)).alias("messages"))
-    return kept.union(done.rejects.groupBy("reason").agg(F.count(F.lit(1)).alias("messages")))
-
-
-@query
-def own_publisher(spark, sf_dir):
-    """A stream of records into a sink of the caller's."""
-    folder = work_folder(spark, "own")
-    stream_publish(
-        events_stream(spark, sf_dir), None, "telemetry", work_folder(spark, "checkpoint"),
-        sink=lambda batch, batch_id: batch.write.parquet(f"{folder}/{batch_id}"),
-    ).awaitTermination()
-    return spark.read.parquet(f"{folder}/*").select("arrival", "gpu_id", "value")
-
-
-@query
-def own_sink(spark, sf_dir):
-    """Validated messages into a sink of the caller's."""
-    folder = work_folder(spark, "own")
-    collect_batch(
-        filled_log(spark, sf_dir), lambda rows, batch_id: rows.write.parquet(folder), "alerts", "db", batch=None
-    )
-    return spark.read.parquet(folder).select("gpu_id", "timestamp", "data")
-
-
-@query
-def multi_group_watermark(spark, sf_dir):
-    """Two groups on one topic; the slower one holds the watermark."""
-    store = filled_log(spark, sf_dir)
-    for group, batch in (("fast", None), ("slow", 100)):
-        collect_batch(store, lambda rows, batch_id: rows.count(), "telemetry", group, batch=batch)
-    return store.watermarks().select("topic", "partition", "watermark")
-
-
-@query
 def stored_compaction(spark, sf_dir):
     """Publish, acknowledge, compact what is due, delete, read what is left."""
     store = filled_log(spark, sf_dir)

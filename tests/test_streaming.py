@@ -231,3 +231,51 @@ def test_a_row_without_time_is_refused(spark, folder):
     rows = spark.sql("select 'g' as gpu_id, cast(null as timestamp) as timestamp, '{}' as data")
     with pytest.raises(InvalidArgument):
         TelemetryTable(spark, folder + "/t").insert(rows)
+
+
+def big_publish(spark, store, count, start=0):
+    rows = [(i, f"g{i % 5}", f'{{"gpu_id":"g{i % 5}","timestamp":"{(T0 + timedelta(seconds=i)).isoformat()}"}}') for i in range(start, start + count)]
+    store.publish(spark.createDataFrame(rows, "n int, key string, payload string"), "t", ["n"])
+
+
+def test_one_large_publish_is_taken_in_turns(spark, folder, flow):
+    store, table, publish, _ = flow
+    big_publish(spark, store, 500)
+    seen, broken = [], []
+
+    def collect(most, sink=table):
+        return stream_collect(store, sink, "t", "db", folder + "/cp-turns", metrics_folder=folder + "/metrics", max_messages=most)
+
+    class Broken(Exception):
+        pass
+
+    def breaks(rows, number):
+        seen.append(rows.groupBy("partition").count().agg(F.max("count")).first()[0])
+        if len(seen) == 3:
+            raise Broken("stop here")
+        table.insert(rows.drop("partition", "offset"), ["timestamp"], number, source="own")
+
+    with pytest.raises(Exception, match="stop here"):
+        collect(60, breaks).awaitTermination()
+    done = {r["partition"]: r["offset"] for r in store.commits().groupBy("partition").agg(F.max("offset").alias("offset")).collect()}
+    assert max(seen) <= 60 and max(done.values()) == 120 and table.read().count() > 0
+    collect(60).awaitTermination()
+    assert table.read().count() == 500 and {r["lag"] for r in store.lag().collect()} == {0}
+    turns = ingest_metrics(store, folder + "/metrics")
+    assert turns.count() > 1 and turns.agg(F.sum("duplicates")).first()[0] == 0
+    # Another bound, and what arrives later.
+    big_publish(spark, store, 100, 500)
+    collect(7).awaitTermination()
+    assert table.read().count() == 600 and {r["lag"] for r in store.lag().collect()} == {0}
+
+
+def test_turns_cover_every_offset_once():
+    from pulsegrid.streaming.collect import offset_turns
+
+    ends = {0: (5, 25), 1: (0, 3), 2: (7, 7)}
+    for committed in ({}, {0: 9}, {0: 25, 1: 3}, {0: 2, 1: 9}):
+        turns = list(offset_turns(ends, committed, 4))
+        got = [(p, o) for _, turn in turns for p, (a, b) in turn.items() for o in range(a, b)]
+        assert got == [(p, o) for p, o in got if o < ends[p][1]] and len(set(got)) == len(got)
+        assert set(got) == {(p, o) for p, (a, b) in ends.items() for o in range(max(a, committed.get(p, a)), b)}
+        assert len({before for before, _ in turns}) == len(turns) and all(b - a <= 4 for _, turn in turns for a, b in turn.values())
