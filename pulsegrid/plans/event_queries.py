@@ -134,7 +134,7 @@ def routed_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def event_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The payload is put together after the offsets are known, and only where it is read."""
-    numbered = numbering.append_offsets(routed_records(spark, sf_dir), ["arrival"]).rows
+    numbered = numbering.append_offsets(routed_records(spark, sf_dir), ["arrival"])
     columns = ["gpu_id", "timestamp", "metric_name", "value", "data"]
     return numbered.select(
         "topic", "partition", "offset", "key", records.record_json(columns).alias("payload"), "arrival"
@@ -464,7 +464,7 @@ def multi_group_watermark(spark, sf_dir):
 @query
 def assign_row_id(spark, sf_dir):
     rows = events_as_telemetry(spark, sf_dir).select("event_id", "gpu_id", "timestamp")
-    return numbering.assign_row_ids(rows, ["timestamp", "event_id"]).rows
+    return numbering.assign_row_ids(rows, ["timestamp", "event_id"])
 
 
 # -- records, messages, validation ----------------------------------------------------
@@ -596,7 +596,7 @@ def append_after_tail(spark, sf_dir):
     """A second append continues where the first ended."""
     ends = log.partition_ends(event_log(spark, sf_dir)).withColumnRenamed("end_offset", "tail_offset")
     again = numbering.append_offsets(routed_records(spark, sf_dir), ["arrival"], tails=ends)
-    return again.rows.select("topic", "partition", "offset", "arrival")
+    return again.select("topic", "partition", "offset", "arrival")
 
 
 def limited(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -859,6 +859,7 @@ def collect_from_log(spark, sf_dir):
     return table.read().select("gpu_id", "timestamp", "data", "batch_id")
 
 
+@query
 def stored_compaction(spark, sf_dir):
     """Publish, acknowledge, compact what is due, delete, read what is left."""
     store = filled_log(spark, sf_dir)

@@ -139,6 +139,13 @@ def row_bytes(schema: T.StructType) -> int:
     return 32 + sum(8 + (40 if isinstance(f.dataType, (T.StringType, T.BinaryType)) else 0) for f in schema.fields)
 
 
+def input_size(df: DataFrame) -> int | None:
+    """Bytes of the tables a plan reads, as estimated; None for sources of unknown size."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    size = sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
+    return None if size >= 1 << 60 else size
+
+
 def range_count(df: DataFrame) -> int | None:
     """How many ranges a large input needs, from the sizes of the tables it reads.
 
@@ -146,12 +153,9 @@ def range_count(df: DataFrame) -> int | None:
     ``spark.sql.shuffle.partitions`` and AQE in charge: for inputs they suffice
     for, and for sources of unknown size.
     """
-    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
-    size = sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
-    needed = -(-size // RANGE_BYTES)
-    configured = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    unknown = size >= 1 << 60
-    return None if unknown or needed <= configured else needed
+    size = input_size(df)
+    needed = 0 if size is None else -(-size // RANGE_BYTES)
+    return needed if needed > int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) else None
 
 
 def split_by_range(df: DataFrame, *order: str | Column, ranges: int | None = None) -> DataFrame:

@@ -213,7 +213,9 @@ class MessageLog:
             F.col("partition").isNull(), PARTITION_RANGE
         )
         seen = Observation()
-        counted = routed.withColumn("reason", reason).observe(seen, F.count("reason").alias("refused"))
+        marked = routed.withColumn("reason", reason)
+        counted = marked.observe(seen, F.count("reason").alias("refused"))
+        accepted, source_rows = (df.filter(F.col("reason").isNull()).drop("reason") for df in (marked, counted))
         tails = (
             self.published()
             .filter(F.col("topic") == topic)
@@ -221,8 +223,8 @@ class MessageLog:
             .agg(F.max("next_offset").alias("tail_offset"))
         )
         remove_folder(self.spark, self._batch_folder(topic, batch_id))
-        numbered = append_offsets(counted.filter(F.col("reason").isNull()).drop("reason"), order_by, tails)
-        kept, refused = numbered.rows.withColumn("payload", content), None
+        numbered = append_offsets(accepted, order_by, tails, source=source_rows)
+        kept, refused = numbered.withColumn("payload", content), None
         kept = kept.select("topic", "partition", "offset", "key", "payload")
         if (spec.capacity or self.default_capacity) > 0:
             kept, refused = apply_capacity(kept, self.partitions(), self.bases())
@@ -242,15 +244,18 @@ class MessageLog:
         stored = self.batch_messages([batch_id], topic, live=False)
         # Refused rows cost a second pass over the input only if there are any.
         if _any_refused(seen):
-            marked = routed.withColumn("reason", reason).filter(F.col("reason").isNotNull())
-            early = as_rejects(marked.select("reason", content.alias("raw"), "topic"))
+            early = as_rejects(marked.filter(F.col("reason").isNotNull()).select("reason", content.alias("raw"), "topic"))
             refused = early if refused is None else refused.union(early)
         if refused is not None:
             self._write_batch(refused, "rejects", topic, batch_id)
         taken = stored.groupBy(*log.KEYS).agg(
-            F.min("offset").alias("first_offset"), (F.max("offset") + 1).alias("next_offset")
+            F.min("offset").alias("first_offset"), (F.max("offset") + 1).alias("next_offset"), F.count(F.lit(1)).alias("stored")
         )
         taken = pin_small(taken)
+        # Nothing is visible yet: rows that changed between two evaluations leave no gap behind.
+        if not taken.filter(F.col("next_offset") - F.col("first_offset") != F.col("stored")).isEmpty():
+            raise InvalidArgument("the rows to publish differ from one evaluation to the next; persist them")
+        taken = taken.drop("stored")
         if taken.isEmpty():
             # The batch exists, and takes no offsets.
             tail = tails.filter("partition = 0").first()
@@ -258,7 +263,6 @@ class MessageLog:
             taken = local_rows(self.spark, [(topic, 0, at, at)], T.StructType(PUBLISHED.fields[:4]))
         identity = {"source": F.lit(source), "source_batch": F.lit(source_batch).cast("bigint")}
         self._write_batch(taken.withColumns(identity).coalesce(1), "published", topic, batch_id)
-        numbered.release()
         return self._published_batch(topic, batch_id)
 
     def _find_batch(self, topic: str, source: str, source_batch: int | None) -> int | None:

@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -62,7 +64,7 @@ def test_offsets_equal_row_number(spark):
     df = spark.range(5000).select(
         F.lit("t").alias("topic"), (F.col("id") % 3 % 2).cast("int").alias("partition"), F.col("id").alias("n")
     )
-    got = numbering.append_offsets(df.orderBy(F.rand(1)), ["n"]).rows
+    got = numbering.append_offsets(df.orderBy(F.rand(1)), ["n"])
     want = df.selectExpr("*", "row_number() over (partition by topic, partition order by n) - 1L as offset")
     assert got.exceptAll(want).count() == 0 and got.count() == 5000
 
@@ -73,10 +75,63 @@ def test_offsets_with_one_hot_partition(spark):
         F.lit("t").alias("topic"), (F.col("id") % 100 == 0).cast("int").alias("partition"), F.col("id").alias("n")
     )
     numbered = numbering.append_offsets(df, ["n"], ranges=8)
-    files = spark.read.parquet(numbered.folder).filter("partition = 0").select("_range").distinct().count()
-    assert files >= 6
+    # AQE would put ranges as small as these into one task.
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        sizes = [len(part) for part in numbered.rdd.glom().collect()]
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert max(sizes) < 8000 and sum(n > 1000 for n in sizes) >= 4
     wrong = F.col("offset") != F.expr("if(partition = 1, n div 100, n - n div 100 - 1)")
-    assert numbered.rows.count() == 20000 and numbered.rows.filter(wrong).count() == 0
+    assert numbered.count() == 20000 and numbered.filter(wrong).count() == 0
+
+
+@pytest.mark.parametrize("ranges", [1, 2, 7, 50])
+def test_ranges_of_any_order(spark, ranges):
+    """Instants, nulls, ties in the first columns and structs give the same places however many ranges."""
+    df = spark.range(3000).select(
+        F.lit("t").alias("topic"), (F.col("id") % 3).cast("int").alias("partition"),
+        F.when(F.col("id") % 11 != 0, F.timestamp_seconds(F.col("id") % 40)).alias("at"),
+        F.when(F.col("id") % 5 != 0, F.struct((F.col("id") % 7).cast("string").alias("file"), F.col("id").alias("row"))).alias("place"),
+        F.col("id"),
+    )
+    got = numbering.append_offsets(df, ["at", "place", "id"], ranges=ranges)
+    want = df.selectExpr("*", "row_number() over (partition by topic, partition order by at, place, id) - 1L as offset")
+    assert got.count() == 3000 and got.exceptAll(want).count() == 0
+    again = numbering.append_offsets(df, ["at", "place", "id"], ranges=ranges)
+    assert got.exceptAll(again).count() == 0
+
+
+def test_row_ids_of_large_inputs(spark):
+    ids = numbering.assign_row_ids(spark.range(5000).withColumnRenamed("id", "n"), [-F.col("n")], ranges=6)
+    assert ids.filter(F.col("id") != 5000 - F.col("n")).count() == 0
+    with pytest.raises(InvalidArgument):
+        numbering.assign_row_ids(spark.range(10), [F.desc("id")], ranges=3)
+
+
+def test_publish_in_ranges(spark, folder, monkeypatch):
+    monkeypatch.setattr(numbering, "SINGLE_BYTES", 0)
+    monkeypatch.setattr(numbering, "SINGLE_ROWS", 0)
+    store = MessageLog(spark, folder, [TopicSpec("t", 3)])
+    rows = spark.range(4000).select("id", F.when(F.col("id") % 10 != 0, F.col("id").cast("string")).alias("key"), F.lit("x").alias("payload"))
+    done = store.publish(rows, "t", ["id"])
+    assert done.messages.count() == 3600 and done.rejects.count() == 400
+    gaps = store.messages().groupBy("partition").agg((F.max("offset") + 1 - F.countDistinct("offset")).alias("gaps"))
+    assert {r["gaps"] for r in gaps.collect()} == {0}
+    in_order = store.messages().withColumn("n", F.col("key").cast("long"))
+    late = in_order.alias("a").join(in_order.alias("b"), F.expr("a.partition = b.partition AND a.offset = b.offset - 1 AND a.n > b.n"))
+    assert late.count() == 0
+
+
+def test_rows_that_change_are_refused(spark, folder, monkeypatch):
+    monkeypatch.setattr(numbering, "SINGLE_BYTES", 0)
+    monkeypatch.setattr(numbering, "SINGLE_ROWS", 0)
+    store = MessageLog(spark, folder, [TopicSpec("t", 1)])
+    rows = spark.range(4000).select("id", F.lit("k").alias("key"), F.lit("x").alias("payload"))
+    changing = F.udf(lambda: random.random(), "double").asNondeterministic()
+    with pytest.raises(InvalidArgument):
+        store.publish(rows.withColumn("r", changing()).filter("r < 0.5"), "t", ["id"])
+    assert store.published().count() == 0
 
 
 def test_large_inputs_ask_for_more_ranges(spark, monkeypatch):
@@ -108,7 +163,7 @@ def test_broadcasts_are_bounded_by_bytes(spark, monkeypatch):
 
 
 def test_row_ids(spark):
-    ids = numbering.assign_row_ids(spark.range(1000).withColumnRenamed("id", "n"), [F.desc("n")], start=10).rows
+    ids = numbering.assign_row_ids(spark.range(1000).withColumnRenamed("id", "n"), [F.desc("n")], start=10)
     assert ids.filter(F.col("id") != 10 + 999 - F.col("n")).count() == 0
 
 
