@@ -47,6 +47,17 @@ def live_messages(log: DataFrame, bases: DataFrame | None = None) -> DataFrame:
     return with_base(log, bases).filter(F.col("offset") >= F.col("base_offset")).select(*log.columns)
 
 
+def at_or_above(places: Iterable[tuple[str, int]], bases: dict[tuple[str, int], int]) -> Column:
+    """Whether a message of one of these partitions lies at or above the partition's base.
+
+    Every alternative names the offset, so that the scan can use its part of them.
+    """
+    wanted = F.lit(False)
+    for topic, partition in places:
+        wanted |= _in_partition(topic, partition) & (F.col("offset") >= bases.get((topic, partition), 0))
+    return wanted
+
+
 def partition_ends(log: DataFrame) -> DataFrame:
     """Absolute end offset of every partition that holds messages."""
     return log.groupBy(*KEYS).agg((F.max("offset") + 1).alias("end_offset"))

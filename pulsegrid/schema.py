@@ -88,6 +88,9 @@ COMPACTION = _struct(
     ("compaction_id", T.LongType()),
 )
 
+# One row per topic and reclaiming pass that deleted something.
+RECLAIM = _struct(("topic", T.StringType()), ("up_to", T.LongType()))
+
 # One row per partition and monitoring pass; ids are consecutive.
 SNAPSHOT = _struct(
     ("topic", T.StringType()),

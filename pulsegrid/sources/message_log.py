@@ -6,6 +6,7 @@
                  messages, so a batch is visible as a whole or not at all
 ``commits``      consumer commits, appended
 ``compactions``  how far each partition was compacted, and what that removed
+``reclaims``     up to which batch a topic's folders have been deleted
 ``rejects``      messages a publish refused, with the reason
 ``snapshots``    tails and watermarks over time, for monitoring
 
@@ -37,6 +38,7 @@ from pulsegrid.schema import (
     COMPACTION,
     MESSAGE,
     PUBLISHED,
+    RECLAIM,
     SNAPSHOT,
     STORED_REJECT,
     TopicSpec,
@@ -101,6 +103,9 @@ class MessageLog:
     def rejects(self) -> DataFrame:
         return self._table("rejects", STORED_REJECT)
 
+    def reclaims(self) -> DataFrame:
+        return self._table("reclaims", RECLAIM)
+
     def partitions(self) -> DataFrame:
         return topic_partitions(self.spark, self.topics, self.default_capacity)
 
@@ -116,7 +121,18 @@ class MessageLog:
 
     def messages(self) -> DataFrame:
         """Live messages, absolute offsets."""
-        return log.live_messages(self.stored_messages(), self.bases())
+        return self._live(self.stored_messages(), self.topics)
+
+    def _live(self, messages: DataFrame, topics: Sequence[TopicSpec]) -> DataFrame:
+        """Messages at or above their base; bases of a log of ordinary width are literals that prune row groups."""
+        known = self.bases().take(log.LITERAL_PARTITIONS + 1)
+        if not known:
+            return messages
+        places = [(spec.name, p) for spec in topics for p in range(spec.partitions)]
+        bases = {(r["topic"], r["partition"]): r["base_offset"] for r in known}
+        if len(known) > log.LITERAL_PARTITIONS or len(places) > log.LITERAL_PARTITIONS:
+            return log.live_messages(messages, self.bases())
+        return messages.filter(log.at_or_above(places, bases))
 
     def _batch_folder(self, topic: str, batch_id: int) -> str:
         return f"{self.folder('messages')}/{partition_folder(self.spark, 'topic', topic)}/batch_id={int(batch_id)}"
@@ -130,7 +146,7 @@ class MessageLog:
             return local_rows(self.spark, [], MESSAGE)
         rows = self.spark.read.schema(MESSAGE).option("basePath", root).parquet(*present)
         rows = rows.select(*MESSAGE.fieldNames())
-        return log.live_messages(rows, self.bases()) if live else rows
+        return self._live(rows, [find_topic(self.topics, topic)]) if live else rows
 
     def extents(self) -> DataFrame:
         ends = self.published().groupBy(*log.KEYS).agg(F.max("next_offset").alias("end_offset"))
@@ -361,18 +377,31 @@ class MessageLog:
         return self.compactions().filter(F.col("compaction_id") == number)
 
     def reclaim(self) -> int:
-        """Delete message folders whose messages are all below their base."""
+        """Delete message folders whose messages are all below their base.
+
+        Batches up to a topic's frontier are gone already; a pass leaves out their
+        rows of the index and never asks for their folders. The frontier moves after the
+        deletions, so a pass that breaks off is repeated.
+        """
+        reached = self.reclaims().groupBy("topic").agg(F.max("up_to").alias("up_to"))
         below = F.col("next_offset") <= F.coalesce("base_offset", F.lit(0))
-        dead = (
+        batches = (
             self.published()
-            .join(self.bases(), log.KEYS, "left")
+            .join(checked_broadcast(reached), "topic", "left")
+            .filter(F.col("batch_id") > F.coalesce("up_to", F.lit(-1)))
+            .join(checked_broadcast(self.bases()), log.KEYS, "left")
             .groupBy(*BATCH_KEYS)
             .agg(F.bool_and(below).alias("dead"))
-            .filter("dead")
         )
         removed = 0
-        for row in dead.toLocalIterator():
+        for row in batches.filter("dead").toLocalIterator():
             path = self._batch_folder(row["topic"], row["batch_id"])
             if folder_exists(self.spark, path):
                 removed += remove_folder(self.spark, path)
+        ends = batches.groupBy("topic").agg(
+            F.coalesce(F.min(F.when(~F.col("dead"), F.col("batch_id"))) - 1, F.max("batch_id")).alias("up_to"), F.bool_or("dead").alias("moved")
+        )
+        moved = [(r["topic"], r["up_to"]) for r in ends.filter("moved").collect()]
+        if moved:
+            local_rows(self.spark, moved, RECLAIM).coalesce(1).write.mode("append").parquet(self.folder("reclaims"))
         return removed

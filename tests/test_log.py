@@ -478,3 +478,46 @@ def test_retained_bytes(spark, folder):
     store.ack("t", "g", 0, 6)
     row = log.retained_bytes(store.messages(), store.watermarks()).first()
     assert (row["retained_bytes"], row["bound_bytes"]) == (16, 16.0)
+
+
+def test_bases_are_pushed_into_the_scan(spark, folder):
+    store = store_of(spark, folder, 20, 20, 20)
+    assert "base_offset" not in store.messages()._jdf.queryExecution().optimizedPlan().toString()
+    for p in (0, 1):
+        store.ack("t", "g", p, 5 + p)
+    store.compact()
+    spark.conf.set("spark.sql.maxMetadataStringLength", "4000")
+    live = store.messages()
+    pushed = next(line for line in live._jdf.queryExecution().executedPlan().toString().split("\n") if "PushedFilters" in line)
+    spark.conf.unset("spark.sql.maxMetadataStringLength")
+    assert "GreaterThanOrEqual(offset,5)" in pushed and "GreaterThanOrEqual(offset,6)" in pushed
+    kept = live.groupBy("partition").agg(F.min("offset").alias("low"), F.count("*").alias("n")).collect()
+    assert {tuple(r) for r in kept} == {(0, 5, 15), (1, 6, 14), (2, 0, 20)}
+
+
+def test_reclaim_does_not_look_back(spark, folder, monkeypatch):
+    from pulsegrid.sources import message_log
+
+    store = MessageLog(spark, folder, [TopicSpec("t", 1)])
+
+    def publish(n):
+        for i in range(n):
+            store.publish(spark.createDataFrame([(0, "k", "x")], "n int, key string, payload string"), "t", ["n"])
+
+    asked = []
+    monkeypatch.setattr(message_log, "folder_exists", lambda spark, path: "batch_id=" in path and asked.append(path) or exists(spark, path))
+    from pulsegrid.session import folder_exists as exists
+
+    publish(6)
+    store.ack("t", "g", 0, 4)
+    store.compact()
+    asked.clear()
+    assert store.reclaim() == 4 and len(asked) == 4
+    asked.clear()
+    assert store.reclaim() == 0 and asked == []
+    publish(1)
+    store.ack("t", "g", 0, 6)
+    store.compact()
+    asked.clear()
+    assert store.reclaim() == 2 and len(asked) == 2
+    assert [r["offset"] for r in store.messages().collect()] == [6]
