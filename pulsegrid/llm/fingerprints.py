@@ -7,41 +7,48 @@ Every paragraph digest falls into one cell of each of three subtables; a cell
 has the number of digests, their xor and the xor of their checks. Subtracting
 the cells of two texts leaves the digests they do not share. A cell left with a
 single digest gives it away, and taking it out of its other cells may free more.
-When peeling gets stuck, the pair is tried again with larger sketches.
 
-Sketches of all pairs are rows (pair, cell), so building and subtracting is one
-aggregate, and each round of peeling another; a pair's rows stay in its task.
+The fingerprint is a sketch of fixed size. Where the difference of two
+fingerprints does not peel, the digests are dealt into buckets by their leading
+bits, and a larger sketch per bucket is subtracted and peeled; a bucket that gets
+stuck is tried again with more cells. All of it happens inside a row: only the
+texts are shuffled, once, to meet the next document.
 """
 
 from __future__ import annotations
 
-from functools import reduce
+import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pulsegrid.llm.common import ROW, staged, table, text_or_empty
+from pulsegrid.llm.common import table, text_or_empty
 from pulsegrid.session import local_rows
 
 SUBTABLES = 3
 # Cells per subtable of the fingerprint itself.
 BASE_CELLS = 4
-# Rounds of peeling before a pair counts as stuck; each goes through one subtable.
-ROUNDS = 9
+# Digests of both texts in a bucket of the larger sketches, about.
+BUCKET = 16
+# Cells per subtable of a bucket, in the order they are tried. All fail with probability below 1e-20.
+BUCKET_CELLS = (8, 16, 64, 256, 1024)
 # Lines of more code points are cut, between two tokens in MEAN_CHUNK.
 WHOLE_LINE = 128
 MEAN_CHUNK = 8
 # A word; of more than 33 code points without white space, each but the last ones.
 TOKEN = r"\S(?=\S{32})|\S+?(?=\s|$|\S{33})"
-# Larger sketches tried before the digests themselves are compared.
-RETRIES = 4
-# Blocks of consecutive ids that the documents are dealt into, at most.
-MOST_BLOCKS = 10_000
+# Bytes of a block of consecutive ids, about.
 BLOCK_BYTES = 64 << 20
 LEAST_ID = -(1 << 63)
 
 
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)``; a lambda's argument is worked out once, an expression inside it for every element."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def paragraph_digests(text: Column) -> Column:
     """Distinct 64-bit digests of the lines of a text that are not blank, long ones by chunk."""
     lines = F.filter(F.split(text, "\n"), lambda p: F.trim(p) != "")
@@ -52,99 +59,133 @@ def paragraph_digests(text: Column) -> Column:
 def _chunks(line: Column) -> Column:
     """Digests of the chunks of a line, cut where the hash of two neighbouring tokens says so."""
 
-    def once(value: Column, use) -> Column:
-        # A lambda's argument is worked out once, an expression inside it for every element.
-        return F.get(F.transform(F.array(value), use), F.lit(0))
-
     def cut(tokens: Column) -> Column:
         n = F.size(tokens)
         starts_here = lambda i: (i == 1) | (F.pmod(F.xxhash64(F.get(tokens, i - 2), F.get(tokens, i - 1)), F.lit(MEAN_CHUNK)) == 0)
         starts = F.filter(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), starts_here)
-        return once(starts, lambda at: F.transform(at, lambda s, i: F.xxhash64(F.slice(tokens, s, F.coalesce(F.get(at, i + 1), n + 1) - s))))
+        return _once(starts, lambda at: F.transform(at, lambda s, i: F.xxhash64(F.slice(tokens, s, F.coalesce(F.get(at, i + 1), n + 1) - s))))
 
-    return once(F.regexp_extract_all(line, F.lit(TOKEN), F.lit(0)), cut)
+    return _once(F.regexp_extract_all(line, F.lit(TOKEN), F.lit(0)), cut)
 
 
 def _check(digest: Column) -> Column:
     return F.xxhash64(digest, F.lit("check"))
 
 
-def _cell(digest: Column, subtable: Column | int, cells: Column | int) -> Column:
+def _cell(digest: Column, subtable: int, cells: int) -> Column:
     """Cell of a digest in a subtable, counted through all subtables."""
-    cells = F.lit(cells) if isinstance(cells, int) else cells
-    at = F.lit(subtable) if isinstance(subtable, int) else subtable
-    return (at * cells + F.pmod(F.xxhash64(digest, at.cast("int")), cells)).cast("int")
+    return (F.pmod(F.xxhash64(digest, F.lit(subtable), F.lit(cells)), F.lit(cells)) + subtable * cells).cast("int")
+
+
+def _entry(digest: Column, cells: int) -> Column:
+    """A digest with its check and its cells."""
+    return F.struct(digest.alias("k"), _check(digest).alias("h"), *(_cell(digest, j, cells).alias(f"c{j}") for j in range(SUBTABLES)))
+
+
+def sketch(digests: Column, cells: int = BASE_CELLS) -> Column:
+    """The cells of all subtables: number of digests, xor, xor of checks."""
+
+    def subtable(entries: Column, j: int) -> Column:
+        def cell(own: Column) -> Column:
+            xor = lambda name: F.aggregate(own, F.lit(0).cast("long"), lambda a, e: a.bitwiseXOR(e[name]))
+            return F.struct(F.size(own).alias("n"), xor("k").alias("k"), xor("h").alias("h"))
 
+        at = F.sequence(F.lit(j * cells), F.lit((j + 1) * cells - 1))
+        return F.transform(at, lambda i: _once(F.filter(entries, lambda e: e[f"c{j}"] == i), cell))
 
-def fingerprint(digests: Column, cells: int = BASE_CELLS) -> Column:
-    """The sketch as text: number of digests, then count, xor and check of every cell in hexadecimal."""
+    return _once(F.transform(digests, lambda d: _entry(d, cells)), lambda e: F.concat(*(subtable(e, j) for j in range(SUBTABLES))))
 
-    def shown(i: Column) -> Column:
-        own = F.filter(digests, lambda d: _cell(d, F.floor(i / cells).cast("int"), cells) == i)
-        key = F.aggregate(own, F.lit(0).cast("long"), lambda a, d: a.bitwiseXOR(d))
-        check = F.aggregate(own, F.lit(0).cast("long"), lambda a, d: a.bitwiseXOR(_check(d)))
-        return F.concat_ws(".", F.hex(F.size(own)), F.hex(key), F.hex(check))
 
-    return F.concat_ws("-", F.hex(F.size(digests)), F.array_join(F.transform(F.sequence(F.lit(0), F.lit(SUBTABLES * cells - 1)), shown), "-"))
+def fingerprint(n_digests: Column, cells: Column) -> Column:
+    """A sketch as text: number of digests, then count, xor and check of every cell in hexadecimal."""
+    shown = F.transform(cells, lambda c: F.concat_ws(".", F.hex(c["n"]), F.hex(c["k"]), F.hex(c["h"])))
+    return F.concat_ws("-", F.hex(n_digests), F.array_join(shown, "-"))
 
 
-def _peel(pairs: DataFrame) -> DataFrame:
-    """``pair, found``: how many digests differ, null where peeling got stuck.
+def peel(ours: Column, theirs: Column, cells: int) -> Column:
+    """How many digests the difference of two sketches holds, null where peeling gets stuck.
 
-    ``pairs`` has pair, cells, ours, theirs (digest arrays).
+    Every digest that is found has been alone in a cell which is empty from then on,
+    so there are at most as many steps as cells.
     """
-    own = pairs.select("pair", "cells", F.explode("ours").alias("d"), F.lit(1).alias("n"))
-    other = pairs.select("pair", "cells", F.explode("theirs").alias("d"), F.lit(-1).alias("n"))
-    where = F.array(*(_cell(F.col("d"), j, F.col("cells")) for j in range(SUBTABLES)))
-    rows = own.union(other).select("pair", "cells", F.explode(where).alias("cell"), "n", F.col("d").alias("k"), _check(F.col("d")).alias("h"))
-
-    def summed(df: DataFrame) -> DataFrame:
-        out = df.groupBy("pair", "cells", "cell").agg(F.sum("n").cast("int").alias("n"), F.bit_xor("k").alias("k"), F.bit_xor("h").alias("h"))
-        return out.filter("n <> 0 OR k <> 0 OR h <> 0")
-
-    rows = summed(rows.repartition("pair"))
-    for i in range(ROUNDS):
-        j = i % SUBTABLES
-        single = (F.abs("n") == 1) & (F.col("h") == _check(F.col("k"))) & F.col("cell").between(F.col("cells") * j, F.col("cells") * (j + 1) - 1)
-
-        def entry(cell: Column, n: Column, k: Column, h: Column) -> Column:
-            return F.struct(cell.cast("int").alias("cell"), n.cast("int").alias("n"), k.alias("k"), h.alias("h"))
-
-        me = entry(F.col("cell"), F.col("n"), F.col("k"), F.col("h"))
-        out = [entry(_cell(F.col("k"), t, F.col("cells")), -F.col("n"), F.col("k"), F.col("h")) for t in range(SUBTABLES)]
-        # Cell -1 counts what was found.
-        count = entry(F.lit(-1), F.lit(1), F.lit(0).cast("long"), F.lit(0).cast("long"))
-        rows = summed(
-            rows.select("pair", "cells", F.explode(F.when(single, F.array(me, *out, count)).otherwise(F.array(me))).alias("e")).select("pair", "cells", "e.*")
+
+    def less(x: Column, y: Column) -> Column:
+        return F.struct((x["n"] - y["n"]).alias("n"), x["k"].bitwiseXOR(y["k"]).alias("k"), x["h"].bitwiseXOR(y["h"]).alias("h"))
+
+    def state(left: Column, found: Column, stuck: Column) -> Column:
+        return F.struct(left.alias("left"), found.cast("int").alias("found"), stuck.alias("stuck"))
+
+    def without(s: Column, alone: Column) -> Column:
+        def take_out(entry: Column) -> Column:
+            gone = F.struct(alone["n"].alias("n"), entry["k"].alias("k"), entry["h"].alias("h"))
+            hit = lambda i: i.isin(*(entry[f"c{j}"] for j in range(SUBTABLES)))
+            return state(F.transform(s["left"], lambda c, i: F.when(hit(i), less(c, gone)).otherwise(c)), s["found"] + 1, F.lit(False))
+
+        return _once(_entry(alone["k"], cells), take_out)
+
+    def step(s: Column, _: Column) -> Column:
+        single = F.filter(s["left"], lambda c: (F.abs(c["n"]) == 1) & (c["h"] == _check(c["k"])))
+        found = _once(F.get(single, F.lit(0)), lambda alone: F.when(alone.isNull(), state(s["left"], s["found"], F.lit(True))).otherwise(without(s, alone)))
+        return F.when(s["stuck"], s).otherwise(found)
+
+    start = state(F.zip_with(ours, theirs, less), F.lit(0), F.lit(False))
+    empty = lambda s: F.forall(s["left"], lambda c: (c["n"] == 0) & (c["k"] == 0) & (c["h"] == 0))
+    steps = F.sequence(F.lit(1), F.lit(SUBTABLES * cells))
+    return F.aggregate(steps, start, step, lambda s: F.when(empty(s), s["found"]))
+
+
+def _buckets(digests: Column, bits: Column) -> Column:
+    """Map of the digests by their leading bits (one at least)."""
+
+    def cut(d: Column) -> Column:
+        # Spark's shiftright keeps the sign, so buckets follow the order of the digests.
+        of = lambda i: F.call_function("shiftright", F.get(d, i), F.lit(64) - bits)
+        at = F.filter(F.transform(d, lambda _, i: i), lambda i: (i == 0) | (of(i) != of(i - 1)))
+        return _once(
+            at,
+            lambda at: F.map_from_arrays(
+                F.transform(at, of), F.transform(at, lambda s, i: F.slice(d, s + 1, F.coalesce(F.get(at, i + 1), F.size(d)) - s))
+            ),
         )
-    left = F.count(F.when(F.col("cell") >= 0, 1))
-    found = F.coalesce(F.sum(F.when(F.col("cell") < 0, F.col("n"))), F.lit(0))
-    return rows.groupBy("pair").agg(F.when(left == 0, found).alias("found"), F.lit(True).alias("seen"))
 
+    return _once(F.sort_array(digests), cut)
 
-def likeness(pairs: DataFrame) -> DataFrame:
-    """``pair, alike``: shared digests over all digests of two texts, from their sketches' difference.
 
-    ``pairs`` has pair, ours, theirs. Two texts without paragraphs are alike.
+def differing(ours: Column, theirs: Column) -> Column:
+    """How many digests two texts do not share, from the differences of sketches per bucket.
+
+    What no sketch of a bucket peels is counted from its digests.
     """
-    sizes = F.size("ours") + F.size("theirs")
-    cells, done, left = F.lit(BASE_CELLS), [], pairs
-    for attempt in range(RETRIES + 1):
-        found = _peel(left.withColumn("cells", cells.cast("int")))
-        # A pair whose cells all cancel has no row left: nothing differs.
-        tried = left.join(found, "pair", "left").withColumn("found", F.when(F.col("seen").isNull(), F.lit(0)).otherwise(F.col("found"))).drop("seen")
-        tried = staged(tried, "sketch-tries")
-        done.append(tried.filter("found IS NOT NULL"))
-        left = tried.filter("found IS NULL").drop("found")
-        if left.isEmpty():
-            break
-        cells = F.pow(F.lit(2), F.ceil(F.log2(sizes)) + 2 * attempt)
-    else:
-        shared = F.size(F.array_intersect("ours", "theirs"))
-        done.append(left.withColumn("found", (sizes - 2 * shared).cast("long")))
-    whole = reduce(DataFrame.unionByName, done)
-    alike = F.when(sizes == 0, 1.0).otherwise((sizes - F.col("found")) / (sizes + F.col("found")))
-    return whole.select("pair", alike.alias("alike"))
+    none = F.array().cast("array<bigint>")
+    bits = F.greatest(F.lit(1), F.ceil(F.log2((F.size(ours) + F.size(theirs) + 1) / BUCKET))).cast("int")
+
+    def bucket(_: Column, x: Column, y: Column) -> Column:
+        x, y = F.coalesce(x, none), F.coalesce(y, none)
+        tries = [peel(sketch(x, c), sketch(y, c), c) for c in BUCKET_CELLS]
+        return F.coalesce(*tries, F.size(F.array_except(x, y)) + F.size(F.array_except(y, x)))
+
+    per = lambda b: F.map_values(F.map_zip_with(_buckets(ours, b), _buckets(theirs, b), bucket))
+    return F.aggregate(_once(bits, per), F.lit(0), lambda a, n: a + n)
+
+
+def likeness(ours: Column, our_sketch: Column, theirs: Column, their_sketch: Column) -> Column:
+    """Shared digests over all digests of two texts, from their sketches' difference; 1 where neither has any."""
+    sizes = F.size(ours) + F.size(theirs)
+    found = F.coalesce(peel(our_sketch, their_sketch, BASE_CELLS), differing(ours, theirs))
+    return F.when(sizes == 0, 1.0).otherwise(_once(found, lambda n: (sizes - n) / (sizes + n)))
+
+
+def _edges_below(value: Column, edges: list[int]) -> Column:
+    """How many of the sorted edges are at most ``value``: first by every k-th edge, then inside that stretch."""
+    step = math.isqrt(len(edges)) + 1
+
+    def longs(values: list[int]) -> Column:
+        return F.split(F.lit(",".join(map(str, values))), ",").cast("array<bigint>")
+
+    def stretch(i: Column) -> Column:
+        return i * step + F.size(F.filter(F.slice(longs(edges), i * step + 1, step), lambda e: e <= value))
+
+    return _once(F.greatest(F.size(F.filter(longs(edges[::step]), lambda e: e <= value)) - 1, F.lit(0)), stretch)
 
 
 def with_next(docs: DataFrame, blocks: int | None = None) -> DataFrame:
@@ -155,12 +196,12 @@ def with_next(docs: DataFrame, blocks: int | None = None) -> DataFrame:
     """
     spark = docs.sparkSession
     if blocks is None:
-        size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-        blocks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(MOST_BLOCKS, size // BLOCK_BYTES))
+        size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+        blocks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), size // BLOCK_BYTES)
     bounds = sorted(set(docs.select(F.col("id").cast("double").alias("id")).approxQuantile("id", [i / blocks for i in range(1, blocks)], 0.25 / blocks)))
     edges = [int(b) for b in bounds] or [0]
     # Descending ids: block 0 has the largest.
-    block = F.lit(len(edges)) - F.size(F.filter(F.array(*(F.lit(e) for e in edges)), lambda e: e <= F.col("id")))
+    block = F.lit(len(edges)) - _edges_below(F.col("id"), edges)
     dealt = docs.withColumn("block", block.cast("int"))
     tops = sorted((r["block"], r["top"]) for r in dealt.groupBy("block").agg(F.max("id").alias("top")).collect())
     schema = T.StructType([T.StructField("block", T.IntegerType()), T.StructField("top", T.LongType()), T.StructField("guest_of", T.IntegerType())])
@@ -202,32 +243,21 @@ def fingerprint_documents(docs: DataFrame, text: str = "text") -> DataFrame:
     third = F.floor(n / 3).cast("int")
     edited = F.concat(F.substring(F.col("text"), F.lit(1), n - third), F.substring(F.col("next_text"), F.lit(1), third))
     rows = rows.withColumn("edited", edited).withColumn("edited_digests", paragraph_digests(F.col("edited")))
-    rows = staged(
-        rows.select(
-            F.monotonically_increasing_id().alias(ROW),
-            F.nullif("id", F.lit(LEAST_ID)).alias("doc_id"),
-            n.cast("long").alias("n_chars"),
-            F.sha2("edited", 256).alias("edited_sha256"),
-            fingerprint(F.col("digests")).alias("fingerprint"),
-            fingerprint(F.col("edited_digests")).alias("edited_fingerprint"),
-            "digests",
-            "edited_digests",
-            "next_digests",
-        ),
-        "fingerprints",
-    )
-    pair = F.explode(
-        F.array(
-            F.struct((F.col(ROW) * 2).alias("pair"), F.col("digests").alias("ours"), F.col("edited_digests").alias("theirs")),
-            F.struct((F.col(ROW) * 2 + 1).alias("pair"), F.col("digests").alias("ours"), F.col("next_digests").alias("theirs")),
-        )
-    )
-    near = likeness(rows.select(pair.alias("p")).select("p.*"))
-    by_row = near.groupBy(F.floor(F.col("pair") / 2).alias(ROW)).agg(
-        F.max(F.when(F.col("pair") % 2 == 0, F.col("alike"))).alias("near_edited"),
-        F.max(F.when(F.col("pair") % 2 == 1, F.col("alike"))).alias("near_next"),
+    sides = ("digests", "edited_digests", "next_digests")
+    rows = rows.withColumns({f"{d}_sketch": sketch(F.col(d)) for d in sides})
+
+    def near(other: str) -> Column:
+        return likeness(F.col("digests"), F.col("digests_sketch"), F.col(other), F.col(f"{other}_sketch"))
+
+    return rows.select(
+        F.nullif("id", F.lit(LEAST_ID)).alias("doc_id"),
+        n.cast("long").alias("n_chars"),
+        F.sha2("edited", 256).alias("edited_sha256"),
+        fingerprint(F.size("digests"), F.col("digests_sketch")).alias("fingerprint"),
+        fingerprint(F.size("edited_digests"), F.col("edited_digests_sketch")).alias("edited_fingerprint"),
+        near("edited_digests").alias("near_edited"),
+        near("next_digests").alias("near_next"),
     )
-    return rows.drop("digests", "edited_digests", "next_digests").join(by_row, ROW).drop(ROW)
 
 
 def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
