@@ -30,6 +30,8 @@ from pulsegrid.session import local_rows
 SUBTABLES = 3
 # Cells per subtable of the fingerprint itself.
 BASE_CELLS = 4
+# Rounds of peeling before a difference counts as stuck; each goes through one subtable.
+ROUNDS = 12
 # Digests of both texts in a bucket of the larger sketches, about.
 BUCKET = 16
 # Cells per subtable of a bucket, in the order they are tried. All fail with probability below 1e-20.
@@ -103,35 +105,39 @@ def fingerprint(n_digests: Column, cells: Column) -> Column:
 
 
 def peel(ours: Column, theirs: Column, cells: int) -> Column:
-    """How many digests the difference of two sketches holds, null where peeling gets stuck.
+    """How many digests the difference of two sketches holds, null where ROUNDS rounds do not empty it.
 
-    Every digest that is found has been alone in a cell which is empty from then on,
-    so there are at most as many steps as cells.
+    A round goes through one subtable. Its cells that hold a single digest hold
+    different ones, so all of them are taken out.
     """
 
     def less(x: Column, y: Column) -> Column:
         return F.struct((x["n"] - y["n"]).alias("n"), x["k"].bitwiseXOR(y["k"]).alias("k"), x["h"].bitwiseXOR(y["h"]).alias("h"))
 
-    def state(left: Column, found: Column, stuck: Column) -> Column:
-        return F.struct(left.alias("left"), found.cast("int").alias("found"), stuck.alias("stuck"))
+    def state(left: Column, found: Column) -> Column:
+        return F.struct(left.alias("left"), found.cast("int").alias("found"))
 
     def without(s: Column, alone: Column) -> Column:
         def take_out(entry: Column) -> Column:
             gone = F.struct(alone["n"].alias("n"), entry["k"].alias("k"), entry["h"].alias("h"))
-            hit = lambda i: i.isin(*(entry[f"c{j}"] for j in range(SUBTABLES)))
-            return state(F.transform(s["left"], lambda c, i: F.when(hit(i), less(c, gone)).otherwise(c)), s["found"] + 1, F.lit(False))
+            parts, begin = [], F.lit(0)
+            for j in range(SUBTABLES):  # places ascend: a subtable follows the other
+                at = entry[f"c{j}"]
+                parts += [F.slice(s["left"], begin + 1, at - begin), F.array(less(F.get(s["left"], at), gone))]
+                begin = at + 1
+            rest = F.slice(s["left"], begin + 1, F.lit(SUBTABLES * cells))
+            return state(F.concat(*parts, rest), s["found"] + 1)
 
         return _once(_entry(alone["k"], cells), take_out)
 
-    def step(s: Column, _: Column) -> Column:
-        single = F.filter(s["left"], lambda c: (F.abs(c["n"]) == 1) & (c["h"] == _check(c["k"])))
-        found = _once(F.get(single, F.lit(0)), lambda alone: F.when(alone.isNull(), state(s["left"], s["found"], F.lit(True))).otherwise(without(s, alone)))
-        return F.when(s["stuck"], s).otherwise(found)
+    def one_round(s: Column, r: Column) -> Column:
+        subtable = F.slice(s["left"], (r % SUBTABLES) * cells + 1, cells)
+        single = F.filter(subtable, lambda c: (F.abs(c["n"]) == 1) & (c["h"] == _check(c["k"])))
+        return F.aggregate(single, s, without)
 
-    start = state(F.zip_with(ours, theirs, less), F.lit(0), F.lit(False))
+    start = state(F.zip_with(ours, theirs, less), F.lit(0))
     empty = lambda s: F.forall(s["left"], lambda c: (c["n"] == 0) & (c["k"] == 0) & (c["h"] == 0))
-    steps = F.sequence(F.lit(1), F.lit(SUBTABLES * cells))
-    return F.aggregate(steps, start, step, lambda s: F.when(empty(s), s["found"]))
+    return F.aggregate(F.sequence(F.lit(0), F.lit(ROUNDS - 1)), start, one_round, lambda s: F.when(empty(s), s["found"]))
 
 
 def _buckets(digests: Column, bits: Column) -> Column:
