@@ -4,7 +4,7 @@ from collections import defaultdict
 from pulsegrid.llm.common import ROW
 from pulsegrid.llm.components import components
 from pulsegrid.llm.exact_dedup import DigestIndex, exact_dedup
-from pulsegrid.llm.fingerprints import fingerprint_documents
+from pulsegrid.llm.fingerprints import BUCKET_CELLS, differing, fingerprint_documents, peel, sketch
 from pulsegrid.llm.lines import dedup_lines
 from pulsegrid.llm.minhash import near_duplicates
 
@@ -177,6 +177,26 @@ def test_an_edited_paragraph_stays_near(docs_of, prose):
     assert all(0.15 < r["near_edited"] < 0.8 and r["near_next"] < 0.1 for r in got.values()), [(d, r["near_edited"], r["near_next"]) for d, r in got.items()]
 
 
+def test_sketch_differences_are_exact(spark, monkeypatch):
+    """Every size of difference, in buckets of enough cells and of far too few."""
+    import random
+
+    r = random.Random(11)
+    draw = lambda n: [r.randrange(-(1 << 63), 1 << 63) for _ in range(n)]
+    rows = []
+    for both, one, two in [(0, 0, 0), (0, 1, 0), (5, 0, 0), (3, 2, 4), (40, 9, 0), (0, 60, 70), (300, 100, 20), (1500, 3, 900)]:
+        shared = draw(both)
+        rows.append((shared + draw(one), shared[::-1] + draw(two), one + two))
+    sets = spark.createDataFrame(rows, "ours array<long>, theirs array<long>, want int")
+    assert len(BUCKET_CELLS) > 1
+    for cells in (BUCKET_CELLS, (1,), (2, 4)):
+        monkeypatch.setattr("pulsegrid.llm.fingerprints.BUCKET_CELLS", cells)
+        assert all(w == n for w, n in sets.select("want", differing(sets.ours, sets.theirs)).collect())
+    # A sketch that is too small says so, it never miscounts.
+    small = sets.select("want", peel(sketch(sets.ours), sketch(sets.theirs), 4)).collect()
+    assert all(n in (None, w) for w, n in small) and {n is None for _, n in small} == {True, False}
+
+
 def test_fingerprints_of_few_and_odd_rows(docs_of, odd_rows):
     assert fingerprint_documents(docs_of()).collect() == []
     one = fingerprint_documents(docs_of((3, "abc\nd"))).first()
