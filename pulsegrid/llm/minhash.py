@@ -9,10 +9,16 @@ Texts with equal shingle sets are one class from the start. In a band bucket the
 members are not paired with each other: each text is compared with the first
 member of its buckets, which settles a group of near copies with one comparison
 per member. Texts in buckets that still hold several components, as a passage
-shared by many documents makes them, get more and longer bands. In those buckets
-the first members are hubs, and then the next, 8 times as many in each round,
-until every pair of a bucket is linked, compared or joined through others. So no
-link is lost that the bands propose.
+shared by many documents makes them, get more and longer bands. Texts that these
+leave undecided are compared only where they share one of their rarest shingles:
+in a common order from rare to frequent, the first shingle that two similar sets
+share lies so early in both that enough of either set follows it (prefix and
+position filter of set joins). A shared passage is frequent and meets nobody there.
+Variants of one original that are not near each other may meet; a parity bitmap of
+each set, which two sets cannot differ in more often than in their shingles,
+refuses them before full sets are read (bitmap filter, Sandes et al. 2018). Among the texts with such a shingle the first is a hub, and then the
+next, 8 times as many in each round, until every pair is linked, compared or
+joined through others. So no link is lost that the bands propose.
 """
 
 from __future__ import annotations
@@ -21,7 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pulsegrid.llm.common import ROW, in_order, row_column, staged, table, text_or_empty, with_row_id
@@ -34,6 +40,8 @@ BANDS, BAND_ROWS = 32, 4
 # The longer bands: (1 - 0.8**8)**100 = 1e-8, and a pair at 0.4 is proposed in 6 of 100 cases.
 LONG_BANDS, LONG_ROWS = 100, 8
 PERCENT = 80
+# 64-bit words of the parity bitmap. Sets of many more shingles than it has bits fill it at random and pass.
+PARITY_WORDS = 8
 NO_ID = (1 << 63) - 1
 
 
@@ -109,12 +117,56 @@ def _long_bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             sets = [mix64(np.frombuffer(b, np.uint64) ^ SPREAD[4]) for b in part.column("shingles").to_pylist()]
             keys = band_keys(signatures(sets, LONG_BANDS * LONG_ROWS), LONG_BANDS)
             yield pa.RecordBatch.from_arrays(
-                [part.column("node"), pa.array([len(s) for s in sets], pa.int64())]
-                + [pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1) * LONG_BANDS, pa.int32()), pa.array(keys.ravel()))],
-                names=["node", "n", "bands"],
+                [part.column("node"), pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1) * LONG_BANDS, pa.int32()), pa.array(keys.ravel()))],
+                names=["node", "bands"],
             )
 
 
+def _parity(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Per set a bitmap; a bit says whether an odd number of its shingles falls there."""
+    size = 64 * PARITY_WORDS
+    for batch in batches:
+        bits = []
+        for b in batch.column("shingles").to_pylist():
+            place = (mix64(np.frombuffer(b, np.uint64) ^ SPREAD[5]) % np.uint64(size)).astype(np.int64)
+            bits.append(np.packbits((np.bincount(place, minlength=size) & 1).astype(np.uint8)).view(np.int64))
+        yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(bits, pa.list_(pa.int64()))], names=["node", "parity"])
+
+
+def _shingle_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for part in (batch.slice(i, 64) for i in range(0, batch.num_rows, 64)):
+            sets = [np.frombuffer(b, np.int64) for b in part.column("shingles").to_pylist()]
+            sizes = np.array([len(s) for s in sets])
+            nodes = np.repeat(part.column("node").to_numpy(), sizes)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(nodes), pa.array(np.repeat(sizes, sizes)), pa.array(np.concatenate(sets))], names=["node", "n", "key"]
+            )
+
+
+def rare_shingles(sets: DataFrame, percent: int) -> DataFrame:
+    """``key, node, n, rest, parity``: the shingles of every set that may be the first it shares with a similar one.
+
+    Shingles are ordered by how many of the sets have them. ``rest`` counts the
+    shared shingles of the set from this one on: no set whose first common
+    shingle this is can have more in common with it. ``parity`` is the set's bitmap.
+    """
+    each = staged(sets.mapInArrow(_shingle_rows, "node long, n long, key long"), "near-shingles")
+    spread = each.groupBy("key").agg(F.count(F.lit(1)).alias("spread")).filter("spread > 1")
+    backwards = Window.partitionBy("node").orderBy(F.desc("spread"), F.desc("key"))
+    placed = each.join(spread, "key").withColumn("rest", F.row_number().over(backwards))
+    placed = placed.filter(100 * F.col("rest") >= percent * F.col("n")).select("key", "node", "n", "rest")
+    return placed.join(sets.mapInArrow(_parity, "node long, parity array<long>"), "node")
+
+
+def may_be_similar(percent: int) -> Column:
+    """Whether members (n, rest, parity) and (m, left, other) of a rare shingle can be similar; false only if they are not."""
+    sizes = F.col("n") + F.col("m")
+    enough = (100 + percent) * F.least("rest", "left") >= percent * sizes
+    differ = sum(F.bit_count(F.col("parity")[i].bitwiseXOR(F.col("other")[i])) for i in range(PARITY_WORDS))
+    return enough & ((100 + percent) * differ <= (100 - percent) * sizes)
+
+
 def _several(buckets: DataFrame, joined: DataFrame) -> DataFrame:
     """Rows of buckets that hold several components, with the component of each member."""
     now = buckets.join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
@@ -205,10 +257,11 @@ def near_duplicates(
     joined = staged(components(checked.filter("linked").select("a", "b")), "near-components")
     # Longer bands for the texts of buckets that hold several components.
     unsure = _several(buckets.select("key", "node"), joined).select("node").distinct()
-    bands2 = sets.join(unsure, "node", "left_semi").mapInArrow(_long_bands, "node long, n long, bands array<long>")
-    keys = staged(bands2.select("node", "n", F.explode("bands").alias("key")), "near-bands")
+    bands2 = sets.join(unsure, "node", "left_semi").mapInArrow(_long_bands, "node long, bands array<long>")
+    keys = staged(bands2.select("node", F.explode("bands").alias("key")), "near-bands")
     shared = keys.groupBy("key").agg(F.count(F.lit(1)).alias("members")).filter("members > 1").select("key")
-    buckets = staged(keys.join(shared, "key"), "near-buckets")
+    unsure = _several(keys.join(shared, "key"), joined).select("node").distinct()
+    buckets = staged(rare_shingles(sets.join(unsure, "node", "left_semi"), percent), "near-buckets")
     begin, width = 0, 1
     while True:
         open_ = staged(_several(buckets, joined).filter(F.col("size") > begin + 1).drop("size"), "near-open")
@@ -219,9 +272,10 @@ def near_duplicates(
         starts = members.groupBy("key").agg(F.min("place").alias("start"))
         members = members.join(starts, "key").withColumn("place", F.col("place") - F.col("start"))
         hubs = members.filter((F.col("place") >= begin) & (F.col("place") < begin + width))
-        hubs = hubs.select("key", F.col("node").alias("b"), F.col("component").alias("of"), F.col("n").alias("m"))
-        sized = 100 * F.least("n", "m") >= percent * F.greatest("n", "m")
-        fresh = members.join(hubs, "key").filter((F.col("b") < F.col("node")) & (F.col("of") != F.col("component")) & sized)
+        hubs = hubs.select(
+            "key", F.col("node").alias("b"), F.col("component").alias("of"), F.col("n").alias("m"), F.col("rest").alias("left"), F.col("parity").alias("other")
+        )
+        fresh = members.join(hubs, "key").filter((F.col("b") < F.col("node")) & (F.col("of") != F.col("component")) & may_be_similar(percent))
         fresh = fresh.select(F.col("node").alias("a"), "b").distinct().join(checked, ["a", "b"], "left_anti")
         more = _linked(fresh, sets, percent)
         checked = staged(checked.unionByName(more), "near-links")

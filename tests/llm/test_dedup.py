@@ -96,6 +96,74 @@ def test_near_chains_and_shared_passages(docs_of, prose):
     assert order((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got) == order(brute_components(rows))
 
 
+def test_variants_of_one_original_are_hardly_compared(docs_of, prose, monkeypatch):
+    """Many texts near a common original that is not there: few are near each other, and few are compared."""
+    import random
+
+    from pulsegrid.llm import minhash
+
+    r = random.Random(7)
+    base = prose(200, 8).split()
+    rows = []
+    for i in range(120):
+        words = list(base)
+        for at in r.sample(range(len(words)), 5 if i % 20 else 2):
+            words[at] = f"own{i}-{at}"
+        rows.append((1000 - i, " ".join(words)))
+    rows += [(2000 + i, " ".join(base[: 150 + i % 40] + [f"tail{i}"] * 30)) for i in range(40)]
+    compared = []
+    confirm = minhash._linked
+
+    def counted(pairs, sets, percent):
+        compared.append(pairs.count())
+        return confirm(pairs, sets, percent)
+
+    monkeypatch.setattr(minhash, "_linked", counted)
+    got = near_duplicates(docs_of(*rows)).collect()
+    want = brute_components(rows)
+    assert order((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got) == order(want)
+    assert len({c for _, _, c in want}) > 80
+    assert sum(compared) < len(rows) * 8
+
+
+def test_rare_shingles_keep_every_similar_pair(spark):
+    """Of any two sets at 80 %, some kept shingle leaves room for what they share; brute force over random sets."""
+    import random
+    import struct
+
+    from pulsegrid.llm.minhash import may_be_similar, rare_shingles
+
+    r = random.Random(3)
+    sets = {}
+    for i in range(250):
+        if i and r.random() < 0.7:
+            grown = set(sets[r.randrange(i)])
+            for _ in range(r.randrange(6)):
+                grown.discard(r.choice(sorted(grown)))
+                grown.add(r.randrange(-(1 << 63), 1 << 63) if r.random() < 0.5 else r.randrange(90))
+            sets[i] = grown
+        else:
+            sets[i] = {r.randrange(90) for _ in range(r.randrange(1, 40))}
+    packed = [(i, bytearray(b"".join(struct.pack("<q", x) for x in sorted(s)))) for i, s in sets.items()]
+    rare = rare_shingles(spark.createDataFrame(packed, "node long, shingles binary"), 80)
+    kept = rare.collect()
+    other = rare.selectExpr("key", "node AS b", "n AS m", "rest AS left", "parity AS other")
+    passed = {(x["node"], x["b"]) for x in rare.join(other, "key").filter(may_be_similar(80)).select("node", "b").collect()}
+    by = defaultdict(dict)
+    for row in kept:
+        assert row["n"] == len(sets[row["node"]]) and row["key"] in sets[row["node"]]
+        by[row["node"]][row["key"]] = row["rest"]
+    links = 0
+    for a in sets:
+        for b in range(a):
+            shared = len(sets[a] & sets[b])
+            if 100 * shared >= 80 * len(sets[a] | sets[b]):
+                links += 1
+                assert any(min(by[a][k], by[b][k]) >= shared for k in by[a].keys() & by[b].keys())
+                assert (a, b) in passed and (b, a) in passed
+    assert links > 100 and len(kept) < sum(map(len, sets.values())) / 2
+
+
 def test_components(spark):
     links = [(i, i + 1) for i in range(40)] + [(100, 90), (90, 95), (7, 7)]
     got = {tuple(r) for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
