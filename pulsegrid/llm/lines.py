@@ -16,12 +16,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pulsegrid.llm.common import ROW, UPPER, staged, table, text_or_empty, with_row_id
+from pulsegrid.llm.common import ROW, UPPER, sieve, staged, table, text_or_empty, with_row_id
 
 # Lines with fewer words are kept: they repeat in any text.
 LEAST_WORDS = 5
 NO_ID = (1 << 63) - 1
-SIEVE_BITS = 1 << 24
 
 
 def line_words(line: Column) -> Column:
@@ -52,22 +51,6 @@ def _digest(words: Column) -> Column:
     return F.unhex(F.md5(F.array_join(words, " ").cast("binary")))
 
 
-def _sieve(rows: DataFrame, keys: list[str], wanted: DataFrame) -> DataFrame:
-    """Rows that ``wanted`` may have, by a bitmap of hashed keys of fixed size.
-
-    It spares the shuffle most rows; which of the others pass does not matter,
-    as an exact join follows. The more keys are wanted, the less it spares.
-    """
-
-    def place(df: DataFrame) -> DataFrame:
-        h = F.pmod(F.xxhash64(*keys), F.lit(SIEVE_BITS))
-        return df.withColumns({"__word": F.floor(h / 64).cast("int"), "__bit": (h % 64).cast("int")})
-
-    bits = place(wanted.select(*keys)).groupBy("__word").agg(F.bit_or(F.expr("shiftleft(1L, __bit)")).alias("__bits"))
-    found = place(rows).join(F.broadcast(bits), "__word")  # at most SIEVE_BITS / 64 rows
-    return found.filter(F.expr("shiftrightunsigned(__bits, __bit) & 1L") == 1).drop("__word", "__bit", "__bits")
-
-
 def _near(x: Column, y: Column) -> Column:
     """Whether two word arrays are one word apart."""
     n, m = F.size(x), F.size(y)
@@ -116,7 +99,7 @@ def dedup_lines(docs: DataFrame, least_words: int = LEAST_WORDS, text: str = "te
     where = staged(candidates.select("digest", "first", F.col("first.doc_id").alias("doc_id"), F.col("first.line_no").alias("line_no")), "line-candidates")
 
     # Words of the candidates, from one occurrence of each.
-    spoken = _sieve(_lines(docs), ["doc_id", "line_no"], where).select("doc_id", "line_no", line_words(F.col("line")).alias("words"))
+    spoken = sieve(_lines(docs), ["doc_id", "line_no"], where).select("doc_id", "line_no", line_words(F.col("line")).alias("words"))
     spoken = spoken.withColumn("digest", _digest(words))
     texts = staged(spoken.join(where, ["doc_id", "line_no", "digest"]).dropDuplicates(["digest"]).select("digest", "first", "words"), "line-texts")
 

@@ -1,4 +1,5 @@
 import math
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -11,7 +12,7 @@ from pulsegrid.llm import sharding
 from pulsegrid.llm.maxent import score_documents
 from pulsegrid.llm.mixing import fit_counts, mix_sources, share_out
 from pulsegrid.llm.packing import TextTokenizer, default_tokenizer, hilbert_key, pack_along_curve
-from pulsegrid.llm.quality import ORDER, SYMBOLS, _dense, _columns, classify_quality, kneser_ney
+from pulsegrid.llm.quality import ORDER, SYMBOLS, _dense, _columns, classify_quality, kneser_ney, quantiles
 from pulsegrid.llm.sharding import minimax_shards
 from pulsegrid.llm.urls import filter_urls
 
@@ -287,6 +288,26 @@ def test_quality(spark, docs_of, odd_rows, prose):
     assert classify_quality(docs_of(), labels).collect() == []
 
 
+def test_quality_uses_all_trusted(spark, docs_of, odd_rows, prose):
+    rows = odd_rows + [(100 + i, prose(60 + i % 40, i), ("en", "de", None)[i % 3]) for i in range(500)]
+    trusted = [(100 + i, 1, 0) for i in range(400)]
+    # Labels of other documents change nothing, however many they are.
+    others = [(10_000 + i, 1, 0) for i in range(30_000)]
+    one, two = (spark.createDataFrame(l, "doc_id long, quality int, toxic int") for l in (trusted, trusted + others))
+    few, many = (sorted(map(tuple, classify_quality(docs_of(*rows), l).collect()), key=repr) for l in (one, two))
+    assert few == many
+
+
+def test_quantiles(spark):
+    r = random.Random(5)
+    rows = [(g, r.choice((r.random(), 0.5, -2.0))) for g in "aabbbcddddddddd" * 40] + [("one", 1.5)] + [("two", x) for x in (1.0, 2.0)]
+    values = spark.createDataFrame(rows, "g string, value double")
+    for share in (0.0, 0.5, 0.995, 1.0):
+        want = values.groupBy("g").agg(F.count("value"), F.percentile("value", F.lit(share))).collect()
+        got = quantiles(values, ["g"], share).collect()
+        assert sorted(map(tuple, got)) == sorted(map(tuple, want))
+
+
 # -- language model ----------------------------------------------------------------------------
 
 
