@@ -82,19 +82,21 @@ def range_bounds(df: DataFrame, key: Column, ranges: int) -> tuple[list[Any], T.
     return bounds, keys.schema["key"].dataType
 
 
-def range_of(key: Column, bounds: list[Any], kind: T.DataType) -> Column:
-    """How many bounds lie at or below the key, by halving."""
+def with_range(df: DataFrame, key: Column, bounds: list[Any], kind: T.DataType, name: str = "_range") -> DataFrame:
+    """Add how many bounds lie at or below the key, by halving.
+
+    Each step is a projection of its own, so that all of them are compiled and the
+    key is built once; a lambda over the bounds would be interpreted row by row.
+    """
     if not bounds:
-        return F.lit(0)
+        return df.withColumn(name, F.lit(0))
     table = F.array(*(_literal(b, kind) for b in bounds))
-
-    def halve(at: Column, _: Column) -> Column:
-        middle = F.shiftright(at["low"] + at["high"], 1)
-        right = (at["low"] < at["high"]) & (F.get(table, middle) <= key)
-        return F.struct(F.when(right, middle + 1).otherwise(at["low"]).alias("low"), F.when(right, at["high"]).otherwise(middle).alias("high"))
-
-    start = F.struct(F.lit(0).alias("low"), F.lit(len(bounds)).alias("high"))
-    return F.aggregate(F.sequence(F.lit(1), F.lit(len(bounds).bit_length())), start, halve)["low"]
+    found = df.withColumns({"_range_key": key, name: F.lit(0)})
+    for step in (1 << i for i in reversed(range(len(bounds).bit_length()))):
+        # Beyond the last bound there is none, and the comparison is null.
+        lies_right = F.get(table, F.col(name) + step - 1) <= F.col("_range_key")
+        found = found.withColumn(name, F.when(lies_right, F.col(name) + step).otherwise(F.col(name)))
+    return found.drop("_range_key")
 
 
 def number_rows(
@@ -120,12 +122,11 @@ def number_rows(
         return rows.select("*", (place - 1).cast("bigint").alias(name))
     key = order_key(df, order_by)
     bounds, kind = range_bounds(df, key, ranges)
-    here = range_of(key, bounds, kind).alias("_range")
-    counts = df.select(*keys, here).groupBy(*keys, "_range").agg(F.count(F.lit(1)).alias("_n"))
+    counts = with_range(df, key, bounds, kind).groupBy(*keys, "_range").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     shift = counts.select(*keys, "_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_shift"))
     place = F.row_number().over(Window.partitionBy(*keys, "_range").orderBy(*order_by))
-    numbered = rows.select("*", here).withColumn("_place", place - 1).join(checked_broadcast(shift), [*keys, "_range"])
+    numbered = with_range(rows, key, bounds, kind).withColumn("_place", place - 1).join(checked_broadcast(shift), [*keys, "_range"])
     return numbered.select(*rows.columns, (F.col("_place") + F.col("_shift")).cast("bigint").alias(name))
 
 

@@ -521,3 +521,19 @@ def test_reclaim_does_not_look_back(spark, folder, monkeypatch):
     asked.clear()
     assert store.reclaim() == 2 and len(asked) == 2
     assert [r["offset"] for r in store.messages().collect()] == [6]
+
+
+def test_ranges_are_searched_in_compiled_code(spark):
+    rows = spark.range(500).select(F.when(F.col("id") % 50 > 0, F.col("id") % 97).alias("a"), F.col("id").alias("row"))
+    rows = rows.select(F.struct("a", F.col("a").cast("string").alias("b")).alias("source"), "row")
+    key = numbering.order_key(rows, ["source", "row"])
+    for count in (1, 2, 7, 40):
+        bounds, kind = numbering.range_bounds(rows, key, count)
+        placed = numbering.with_range(rows, key, bounds, kind)
+        plan = placed._jdf.queryExecution().executedPlan().toString()
+        assert "lambda" not in plan and "aggregate(" not in plan
+        in_order = [r["_range"] for r in placed.orderBy("source", "row").collect()]
+        assert in_order == sorted(in_order) and set(in_order) == set(range(len(bounds) + 1))
+        # The first row of each range is its bound.
+        firsts = placed.groupBy("_range").agg(F.min(key).alias("first")).orderBy("_range").collect()
+        assert [r["first"] for r in firsts[1:]] == bounds
