@@ -7,6 +7,7 @@ from collections.abc import Callable
 from datetime import datetime
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from pulsegrid.operators.routing import Router
@@ -21,6 +22,16 @@ def source_name(checkpoint: str) -> str:
     return hashlib.sha256(checkpoint.rstrip("/").encode()).hexdigest()[:16]
 
 
+def spread_rows(batch: DataFrame) -> DataFrame:
+    """The batch with its arrival order, on all cores: files that are read whole are few tasks.
+
+    Rows are dealt by their place, so a task that runs again gets the same ones.
+    """
+    ordered = order_rows(batch)
+    cores = batch.sparkSession.sparkContext.defaultParallelism
+    return ordered if batch.rdd.getNumPartitions() >= cores else ordered.repartition(cores, F.col(ARRIVAL)["row"])
+
+
 def stream_publish(
     records: DataFrame,
     log_store: MessageLog,
@@ -49,7 +60,7 @@ def stream_publish(
         if sink is not None:
             sink(batch, batch_id)
             return
-        kept = order_rows(batch).persist(BATCH_STORAGE)
+        kept = spread_rows(batch).persist(BATCH_STORAGE)
         try:
             publish_records(log_store, kept, topic, order_by, stamp, restamped, router, batch_id, source or source_name(checkpoint))
         finally:

@@ -10,7 +10,7 @@ from pulsegrid.sources.csv_records import stream_csv_records
 from pulsegrid.sources.message_log import MessageLog
 from pulsegrid.sources.telemetry_table import TelemetryTable
 from pulsegrid.streaming.collect import ingest_metrics, ingest_rates, stream_collect
-from pulsegrid.streaming.publish import stream_publish
+from pulsegrid.streaming.publish import spread_rows, stream_publish
 from pulsegrid.streaming.rollup import continuous_average, latest_average, telemetry_stream
 
 COLUMNS = ["gpu_id", "timestamp", "temp"]
@@ -279,3 +279,13 @@ def test_turns_cover_every_offset_once():
         assert got == [(p, o) for p, o in got if o < ends[p][1]] and len(set(got)) == len(got)
         assert set(got) == {(p, o) for p, (a, b) in ends.items() for o in range(max(a, committed.get(p, a)), b)}
         assert len({before for before, _ in turns}) == len(turns) and all(b - a <= 4 for _, turn in turns for a, b in turn.values())
+
+
+def test_few_files_are_published_by_all_cores(spark):
+    rows = spark.range(4000).select(F.col("id").cast("string").alias("gpu_id")).coalesce(2)
+    spread = spread_rows(rows).withColumn("task", F.spark_partition_id())
+    sizes = [r["count"] for r in spread.groupBy("task").count().collect()]
+    assert len(sizes) == spark.sparkContext.defaultParallelism and max(sizes) < 2 * min(sizes)
+    # The order is that of the files.
+    in_order = [int(r["gpu_id"]) for r in spread.orderBy("arrival").collect()]
+    assert in_order == [int(r["gpu_id"]) for r in rows.collect()]
