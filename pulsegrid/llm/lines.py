@@ -51,6 +51,24 @@ def _digest(words: Column) -> Column:
     return F.unhex(F.md5(F.array_join(words, " ").cast("binary")))
 
 
+def _variant_keys(marks: Column) -> Column:
+    """Keys of a line and of its variants: at 0 that of the line, at i that of the line without its i-th word.
+
+    A key is the xor of a mark per word, a hash of the word and its place.
+    ``marks`` has every word's mark at its place and one place before. From one
+    variant to the next only two words differ, so a running xor gives all keys.
+    """
+    none = F.array().cast("array<bigint>")
+    without_first = F.aggregate(marks, F.lit(0).cast("long"), lambda a, w: a.bitwiseXOR(w["before"]))
+
+    def step(s: Column, w: Column) -> Column:
+        key = s["now"].bitwiseXOR(w["before"])
+        return F.struct(key.bitwiseXOR(w["here"]).alias("now"), F.concat(s["keys"], F.array(key)).alias("keys"))
+
+    start = F.struct(without_first.alias("now"), none.alias("keys"))
+    return F.aggregate(marks, start, step, lambda s: F.concat(F.array(s["now"]), s["keys"]))
+
+
 def _near(x: Column, y: Column) -> Column:
     """Whether two word arrays are one word apart."""
     n, m = F.size(x), F.size(y)
@@ -98,21 +116,15 @@ def dedup_lines(docs: DataFrame, least_words: int = LEAST_WORDS, text: str = "te
     candidates = firsts.withColumn("id", F.xxhash64("digest")).join(ids, "id", "left_semi")
     where = staged(candidates.select("digest", "first", F.col("first.doc_id").alias("doc_id"), F.col("first.line_no").alias("line_no")), "line-candidates")
 
-    # Words of the candidates, from one occurrence of each.
-    spoken = sieve(_lines(docs), ["doc_id", "line_no"], where).select("doc_id", "line_no", line_words(F.col("line")).alias("words"))
+    # Words of the candidates, from one occurrence of each; only documents that have any are cut into lines again.
+    spoken = sieve(_lines(sieve(docs, ["doc_id"], where)), ["doc_id", "line_no"], where).select("doc_id", "line_no", line_words(F.col("line")).alias("words"))
     spoken = spoken.withColumn("digest", _digest(words))
     texts = staged(spoken.join(where, ["doc_id", "line_no", "digest"]).dropDuplicates(["digest"]).select("digest", "first", "words"), "line-texts")
 
     n = F.size("words")
-    # Hashes of arrays chain, so the hash of two slices is that of the line without the word between them.
-    variants = F.transform(
-        F.sequence(F.lit(1), n),
-        lambda i: F.struct(F.xxhash64(F.slice("words", F.lit(1), i - 1), F.slice("words", i + 1, n)).alias("key"), i.alias("gone")),
-    )
-    whole = F.array(F.struct(F.xxhash64("words").alias("key"), F.lit(0).alias("gone")))
-    keys = staged(
-        texts.select("first", n.alias("n"), F.explode(F.concat(whole, variants)).alias("v")).select("first", "n", "v.key", "v.gone"), "line-variants"
-    )
+    marks = F.transform("words", lambda w, i: F.struct(F.xxhash64(w, i).alias("here"), F.xxhash64(w, i - 1).alias("before")))
+    marked = texts.select("first", n.alias("n"), marks.alias("marks"))
+    keys = staged(marked.select("first", "n", F.posexplode(_variant_keys(F.col("marks"))).alias("gone", "key")), "line-variants")
     replaced = keys.filter("gone > 0").groupBy("key", "gone", "n").agg(F.min("first").alias("other"), F.max("first").alias("last")).filter("other < last")
     by_word = keys.filter("gone > 0").join(replaced.drop("last"), ["key", "gone", "n"]).select("first", "other")
     cut = keys.filter("gone > 0").groupBy("key").agg(F.min("first").alias("other"))

@@ -212,6 +212,24 @@ def test_lines(docs_of, odd_rows):
     assert dedup_lines(docs_of()).collect() == []
 
 
+def test_variant_keys_meet_where_variants_do(spark):
+    """Equal keys for equal word sequences only, whichever word is left out."""
+    from pyspark.sql import functions as F
+
+    from pulsegrid.llm.lines import _variant_keys
+
+    lines = [w.split() for w in ("a", "a b", "b a", "a a b b", "a b c d e f", "a b x d e f", "a b d e f", "a a a a a", "Ä b c d e ß g", "c a b")]
+    marks = F.transform("words", lambda w, i: F.struct(F.xxhash64(w, i).alias("here"), F.xxhash64(w, i - 1).alias("before")))
+    rows = spark.createDataFrame([(w,) for w in lines], "words array<string>").select("words", marks.alias("marks"))
+    of = {}
+    for words, keys in rows.select("words", _variant_keys(F.col("marks"))).collect():
+        assert len(keys) == len(words) + 1
+        for gone, key in enumerate(keys):
+            of.setdefault(key, set()).add(tuple(words[: gone - 1] + words[gone:] if gone else words))
+    assert all(len(v) == 1 for v in of.values())
+    assert len(of) == len(set().union(*of.values()))
+
+
 def paragraphs(text):
     return {p for p in text.split("\n") if p.strip(" ")}
 
