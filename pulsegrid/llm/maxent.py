@@ -134,6 +134,31 @@ class Model:
 STEEPEST = np.float32(60.0)
 
 
+# Runs of more rows than this are left to reduceat, which works column by column and run by run.
+SHORT_RUN = 8
+
+
+def run_sums(values: np.ndarray, first: np.ndarray, times: np.ndarray) -> np.ndarray:
+    """Sums of runs of rows, to the last bit those of ``np.add.reduceat(values, first, axis=0)``."""
+    out = np.take(values, first, axis=0)
+    short = np.flatnonzero((times > 1) & (times <= SHORT_RUN))
+    if len(short):
+        short = short[np.argsort(-times[short], kind="stable")]
+        n, at = times[short], first[short]
+        rest = np.take(values, at + 1, axis=0)
+        for i in range(2, int(n[0])):
+            longer = int(np.searchsorted(-n, -i))
+            rest[:longer] += np.take(values, at[:longer] + i, axis=0)
+        out[short] += rest
+    long = np.flatnonzero(times > SHORT_RUN)
+    if len(long):
+        n = times[long]
+        begin = np.cumsum(n) - n
+        picked = np.repeat(first[long] - begin, n) + np.arange(int(n.sum()))
+        out[long] = np.add.reduceat(np.take(values, picked, axis=0), begin, axis=0)
+    return out
+
+
 class _Softmax:
     """Softmax of minibatches in memory that is used again and again."""
 
@@ -166,19 +191,24 @@ class _Softmax:
             ordered = feature[order]
             first = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1])))
             times = np.diff(np.append(first, len(ordered)))
-            grad.step(table_, ordered[first], np.add.reduceat(self.gather(p, order), first, axis=0), times)
+            grad.step(table_, ordered[first], run_sums(self.gather(p, order), first, times), times)
 
 
 class _AdaGrad:
-    """Steps whose size shrinks with the gradients a row has seen."""
+    """Steps whose size shrinks with the gradients a row has seen. A step overwrites ``total``."""
 
     def __init__(self, seen: np.ndarray):
         self.seen, self.met = seen, np.zeros(len(seen), dtype=np.float32)
 
     def step(self, table_: np.ndarray, rows: np.ndarray, total: np.ndarray, times: np.ndarray) -> None:
         self.met[rows] += times
-        self.seen[rows] += (total**2).mean(axis=1)
-        table_[rows] -= (RATE / np.sqrt(self.seen[rows]))[:, None] * total
+        seen = np.take(self.seen, rows)
+        seen += np.square(total).mean(axis=1)
+        self.seen[rows] = seen
+        total *= (RATE / np.sqrt(seen))[:, None]
+        now = np.take(table_, rows, axis=0)
+        now -= total
+        table_[rows] = now
 
 
 def _gradients(model: Model, texts: Iterator[list[bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

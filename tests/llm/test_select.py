@@ -353,6 +353,18 @@ def test_a_task_keeps_what_it_alone_met(docs_of, monkeypatch):
     assert gain[1] > 0.8 * gain[0] > 0
 
 
+def test_sums_of_runs_are_those_of_reduceat():
+    """To the last bit, in runs of one row and of many."""
+    from pulsegrid.llm.maxent import run_sums
+
+    r = np.random.default_rng(3)
+    for lengths in ([1], [9], [300, 1], [8] * 5, [1] * 50, r.integers(1, 12, 200), r.integers(1, 400, 20)):
+        times = np.array(lengths)
+        first = np.cumsum(times) - times
+        values = r.normal(size=(int(times.sum()), 64)).astype(np.float32)
+        assert (run_sums(values, first, times) == np.add.reduceat(values, first, axis=0)).all()
+
+
 def test_rounds_grow_with_the_text():
     from pulsegrid.llm.maxent import ROUND_TOKENS, rounds_for
 
