@@ -23,9 +23,16 @@ LEAST_WORDS = 5
 NO_ID = (1 << 63) - 1
 
 
+GAPS = "\t\n\x0b\x0c\r"
+
+
 def line_words(line: Column) -> Column:
-    even = F.translate(line, UPPER + "\t\n\x0b\x0c\r", UPPER.lower() + " " * 5)
-    return F.filter(F.split(even, " "), lambda w: w != "")
+    """Words of a line, A-Z in lower case. ``lower`` does that to ASCII only lines, and much faster than ``translate``."""
+    plain = F.octet_length(line) == F.length(line)
+    for gap in GAPS:
+        plain = plain & ~F.contains(line, F.lit(gap))
+    even = F.when(plain, F.lower(line)).otherwise(F.translate(line, UPPER + GAPS, UPPER.lower() + " " * len(GAPS)))
+    return F.array_remove(F.split(even, " "), "")
 
 
 def _half_keys(words: Column) -> Column:
@@ -69,6 +76,12 @@ def _variant_keys(marks: Column) -> Column:
     return F.aggregate(marks, start, step, lambda s: F.concat(F.array(s["now"]), s["keys"]))
 
 
+def _shared_keys(keys: DataFrame) -> DataFrame:
+    """Rows (key, line, ...) of the keys that several lines have; most keys are one line's own, and need no shuffle."""
+    shared = staged(keys.groupBy("key").agg(F.min("line").alias("x"), F.max("line").alias("y")).filter("x <> y").select("key"), "line-shared")
+    return staged(sieve(keys, ["key"], shared).join(shared, "key", "left_semi"), "line-shared")
+
+
 def _near(x: Column, y: Column) -> Column:
     """Whether two word arrays are one word apart."""
     n, m = F.size(x), F.size(y)
@@ -123,8 +136,9 @@ def dedup_lines(docs: DataFrame, least_words: int = LEAST_WORDS, text: str = "te
 
     n = F.size("words")
     marks = F.transform("words", lambda w, i: F.struct(F.xxhash64(w, i).alias("here"), F.xxhash64(w, i - 1).alias("before")))
-    marked = texts.select("first", n.alias("n"), marks.alias("marks"))
-    keys = staged(marked.select("first", "n", F.posexplode(_variant_keys(F.col("marks"))).alias("gone", "key")), "line-variants")
+    marked = texts.select("first", F.monotonically_increasing_id().alias("line"), n.alias("n"), marks.alias("marks"))
+    keys = staged(marked.select("first", "line", "n", F.posexplode(_variant_keys(F.col("marks"))).alias("gone", "key")), "line-variants")
+    keys = _shared_keys(keys)
     replaced = keys.filter("gone > 0").groupBy("key", "gone", "n").agg(F.min("first").alias("other"), F.max("first").alias("last")).filter("other < last")
     by_word = keys.filter("gone > 0").join(replaced.drop("last"), ["key", "gone", "n"]).select("first", "other")
     cut = keys.filter("gone > 0").groupBy("key").agg(F.min("first").alias("other"))

@@ -230,6 +230,27 @@ def test_variant_keys_meet_where_variants_do(spark):
     assert len(of) == len(set().union(*of.values()))
 
 
+def test_only_keys_of_several_lines_are_compared(spark):
+    from pulsegrid.llm.lines import _shared_keys
+
+    rows = [(1, 10, 0), (1, 10, 1), (2, 10, 1), (2, 11, 1), (3, 12, 2), (3, 10, 3), (3, 12, 4), (4, 10, 5), (4, 11, 6)]
+    got = _shared_keys(spark.createDataFrame(rows, "key long, line long, gone int"))
+    assert sorted(tuple(r) for r in got.select("key", "line", "gone").collect()) == sorted(r for r in rows if r[0] != 1)
+
+
+def test_line_words_beyond_ascii(spark):
+    import re
+
+    from pyspark.sql import functions as F
+
+    from pulsegrid.llm.lines import line_words
+
+    lines = ["The END of  it", "É Bé\x0bİX ǅ K", "\tA\x0c\rb ", "", " ", "Ⅷ Ωa", "NBSP\u00a0X\u2003Y z\x1cQ"]
+    word = re.compile(r"[^\x20\x09-\x0D]+")
+    got = spark.createDataFrame([(x,) for x in lines], "line string").select("line", line_words(F.col("line")).alias("words")).collect()
+    assert len(got) == len(lines) and all(r["words"] == word.findall(r["line"].translate(AZ)) for r in got)
+
+
 def paragraphs(text):
     return {p for p in text.split("\n") if p.strip(" ")}
 
