@@ -16,8 +16,8 @@ share lies so early in both that enough of either set follows it (prefix and
 position filter of set joins). A shared passage is frequent and meets nobody there.
 Variants of one original that are not near each other may meet; a parity bitmap of
 each set, which two sets cannot differ in more often than in their shingles,
-refuses them before full sets are read (bitmap filter, Sandes et al. 2018). Among the texts with such a shingle the first is a hub, and then the
-next, 8 times as many in each round, until every pair is linked, compared or
+refuses them before full sets are read (bitmap filter, Sandes et al. 2018). Among the texts with such a shingle the first few are hubs, and then the
+next, many times as many in each round, until every pair is linked, compared or
 joined through others. So no link is lost that the bands propose.
 """
 
@@ -42,6 +42,8 @@ LONG_BANDS, LONG_ROWS = 100, 8
 PERCENT = 80
 # 64-bit words of the parity bitmap. Sets of many more shingles than it has bits fill it at random and pass.
 PARITY_WORDS = 8
+# Members of a bucket that are hubs in the first round, and how many times as many are in each further one.
+HUBS, MORE_HUBS = 8, 32
 NO_ID = (1 << 63) - 1
 
 
@@ -171,8 +173,15 @@ def _several(buckets: DataFrame, joined: DataFrame) -> DataFrame:
     """Rows of buckets that hold several components, with the component of each member."""
     now = buckets.join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
     now = staged(now, "near-open")
-    several = now.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count(F.lit(1)).alias("size"))
-    return now.join(several.filter("x < y").select("key", "size"), "key")
+    several = now.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"))
+    return now.join(several.filter("x < y").select("key"), "key")
+
+
+def _placed(buckets: DataFrame) -> DataFrame:
+    """The same with the ``size`` of each member's bucket and its ``place`` there, which follows the node."""
+    rows = staged(in_order(buckets, ["key", "node"], {"place": F.lit(1)}, "near-order"), "near-order")
+    starts = rows.groupBy("key").agg(F.min("place").alias("start"), F.count(F.lit(1)).alias("size"))
+    return rows.join(starts, "key").withColumn("place", F.col("place") - F.col("start")).drop("start")
 
 
 def _confirm(percent: int):
@@ -262,26 +271,31 @@ def near_duplicates(
     shared = keys.groupBy("key").agg(F.count(F.lit(1)).alias("members")).filter("members > 1").select("key")
     unsure = _several(keys.join(shared, "key"), joined).select("node").distinct()
     buckets = staged(rare_shingles(sets.join(unsure, "node", "left_semi"), percent), "near-buckets")
-    begin, width = 0, 1
+    # A bucket is open or closed as a whole, so sizes and places hold for all rounds.
+    buckets = staged(_placed(_several(buckets, joined).drop("component")), "near-buckets")
+    begin, width, open_ = 0, HUBS, None
     while True:
-        open_ = staged(_several(buckets, joined).filter(F.col("size") > begin + 1).drop("size"), "near-open")
-        if open_.isEmpty():
+        if open_ is None:  # components have changed
+            open_ = staged(_several(buckets.filter(F.col("size") > begin + 1), joined), "near-open")
+            largest = open_.agg(F.max("size")).first()[0] or 0
+        if largest <= begin + 1:
             break
-        # The place of each member in its bucket; places stay, as they follow the node.
-        members = staged(in_order(open_, ["key", "node"], {"place": F.lit(1)}, "near-order"), "near-open")
-        starts = members.groupBy("key").agg(F.min("place").alias("start"))
-        members = members.join(starts, "key").withColumn("place", F.col("place") - F.col("start"))
+        members = open_.filter(F.col("size") > begin + 1)
         hubs = members.filter((F.col("place") >= begin) & (F.col("place") < begin + width))
         hubs = hubs.select(
             "key", F.col("node").alias("b"), F.col("component").alias("of"), F.col("n").alias("m"), F.col("rest").alias("left"), F.col("parity").alias("other")
         )
         fresh = members.join(hubs, "key").filter((F.col("b") < F.col("node")) & (F.col("of") != F.col("component")) & may_be_similar(percent))
-        fresh = fresh.select(F.col("node").alias("a"), "b").distinct().join(checked, ["a", "b"], "left_anti")
+        fresh = staged(fresh.select(F.col("node").alias("a"), "b").distinct().join(checked, ["a", "b"], "left_anti"), "near-fresh")
+        begin, width = begin + width, width * MORE_HUBS
+        if fresh.isEmpty():
+            continue
         more = _linked(fresh, sets, percent)
-        checked = staged(checked.unionByName(more), "near-links")
-        links = joined.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more.filter("linked").select("a", "b"))
-        joined = staged(components(links), "near-components")
-        begin, width = begin + width, width * 8
+        checked = checked.unionByName(more)
+        linked = more.filter("linked").select("a", "b")
+        if not linked.isEmpty():
+            links = joined.select(F.col("node").alias("a"), F.col("component").alias("b")).union(linked)
+            joined, open_ = staged(components(links), "near-components"), None
 
     whole = member.join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = whole.groupBy("component").agg(F.min(F.struct("node_id", "node")).alias("least"))

@@ -1,7 +1,7 @@
 import hashlib
 from collections import defaultdict
 
-from pulsegrid.llm.common import ROW
+from pulsegrid.llm.common import ROW, staged
 from pulsegrid.llm.components import components
 from pulsegrid.llm.exact_dedup import DigestIndex, exact_dedup
 from pulsegrid.llm.fingerprints import BUCKET_CELLS, differing, fingerprint_documents, peel, sketch
@@ -171,6 +171,17 @@ def test_components(spark):
     assert components(spark.createDataFrame([], "a long, b long")).collect() == []
 
 
+def test_components_stop_at_stars(spark, monkeypatch):
+    """Links that are stars are written once, and a path once more per step (two writes)."""
+    written = []
+    monkeypatch.setattr("pulsegrid.llm.components.staged", lambda df, purpose: written.append(purpose) or staged(df, purpose))
+    for links, writes in ([(2, 1), (3, 1), (9, 8)], 1), ([(2, 1), (3, 2), (4, 4)], 3):
+        written.clear()
+        got = {tuple(r) for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
+        assert got == ({(1, 1), (2, 1), (3, 1), (9, 8), (8, 8)} if writes == 1 else {(1, 1), (2, 1), (3, 1)})
+        assert len(written) == writes
+
+
 def word_distance(a, b):
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
