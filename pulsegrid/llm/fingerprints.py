@@ -10,9 +10,10 @@ single digest gives it away, and taking it out of its other cells may free more.
 
 The fingerprint is a sketch of fixed size. Where the difference of two
 fingerprints does not peel, the digests are dealt into buckets by their leading
-bits, and a larger sketch per bucket is subtracted and peeled; a bucket that gets
-stuck is tried again with more cells. All of it happens inside a row: only the
-texts are shuffled, once, to meet the next document.
+bits, and a larger sketch per bucket is subtracted and peeled, subtable by subtable
+and only in cells that hold something; what gets stuck is tried again with more
+cells. All of it happens inside a row: only the texts are shuffled, once, to meet
+the next document.
 """
 
 from __future__ import annotations
@@ -47,8 +48,11 @@ LEAST_ID = -(1 << 63)
 
 
 def _once(value: Column, use: Callable[[Column], Column]) -> Column:
-    """``use(value)``; a lambda's argument is worked out once, an expression inside it for every element."""
-    return F.get(F.transform(F.array(value), use), F.lit(0))
+    """``use(value)``; a lambda's argument is worked out once, an expression inside it for every element.
+
+    The value is the start of an aggregate over nothing: unlike a transform, it copies no result.
+    """
+    return F.aggregate(F.array().cast("array<int>"), value, lambda v, _: v, use)
 
 
 def paragraph_digests(text: Column) -> Column:
@@ -140,38 +144,69 @@ def peel(ours: Column, theirs: Column, cells: int) -> Column:
     return F.aggregate(F.sequence(F.lit(0), F.lit(ROUNDS - 1)), start, one_round, lambda s: F.when(empty(s), s["found"]))
 
 
-def _buckets(digests: Column, bits: Column) -> Column:
-    """Map of the digests by their leading bits (one at least)."""
+def _cells_of(entries: Column, cell: Callable[[Column], Column]) -> Column:
+    """The entries ``n, k`` by their cell, an array for each cell that has any."""
+
+    def cut(e: Column) -> Column:
+        of = lambda i: F.get(e, i)["c"]
+        at = F.filter(F.transform(e, lambda _, i: i), lambda i: (i == 0) | (of(i) != of(i - 1)))
+        return _once(at, lambda at: F.transform(at, lambda s, i: F.slice(e, s + 1, F.coalesce(F.get(at, i + 1), F.size(e)) - s)))
 
-    def cut(d: Column) -> Column:
-        # Spark's shiftright keeps the sign, so buckets follow the order of the digests.
-        of = lambda i: F.call_function("shiftright", F.get(d, i), F.lit(64) - bits)
-        at = F.filter(F.transform(d, lambda _, i: i), lambda i: (i == 0) | (of(i) != of(i - 1)))
-        return _once(
-            at,
-            lambda at: F.map_from_arrays(
-                F.transform(at, of), F.transform(at, lambda s, i: F.slice(d, s + 1, F.coalesce(F.get(at, i + 1), F.size(d)) - s))
-            ),
-        )
+    return _once(F.sort_array(F.transform(entries, lambda e: F.struct(cell(e["k"]).alias("c"), e["n"].alias("n"), e["k"].alias("k")))), cut)
 
-    return _once(F.sort_array(digests), cut)
+
+def _open(own: Column) -> Column:
+    """Whether the difference in a cell is neither empty nor a single digest."""
+    zero = F.struct(F.lit(0).alias("n"), F.lit(0).cast("long").alias("k"), F.lit(0).cast("long").alias("h"))
+    add = lambda a, e: F.struct((a["n"] + e["n"]).alias("n"), a["k"].bitwiseXOR(e["k"]).alias("k"), a["h"].bitwiseXOR(_check(e["k"])).alias("h"))
+    empty = lambda c: (c["n"] == 0) & (c["k"] == 0) & (c["h"] == 0)
+    single = lambda c: (F.abs(c["n"]) == 1) & (c["h"] == _check(c["k"]))
+    return (F.size(own) > 1) & F.aggregate(own, zero, add, lambda c: ~(empty(c) | single(c)))
 
 
 def differing(ours: Column, theirs: Column) -> Column:
     """How many digests two texts do not share, from the differences of sketches per bucket.
 
-    What no sketch of a bucket peels is counted from its digests.
+    A bucket has the digests of the same leading bits. A round works out one subtable
+    of all buckets, as far as its cells have anything. What lies in a cell that is
+    empty or holds a single digest is settled: to take it out of the other subtables
+    is to leave it out when their cells are added up, as cells are sums. What is
+    stuck goes on with more cells, and what no sketch of a bucket peels is counted
+    from its digests.
     """
-    none = F.array().cast("array<bigint>")
     bits = F.greatest(F.lit(1), F.ceil(F.log2((F.size(ours) + F.size(theirs) + 1) / BUCKET))).cast("int")
+    signed = lambda digests, n: F.transform(digests, lambda d: F.struct(F.lit(0).cast("long").alias("c"), F.lit(n).alias("n"), d.alias("k")))
+    odd = lambda by_cell: F.size(F.filter(by_cell, lambda own: F.size(own) % 2 == 1))
+
+    def state(left: Column, found: Column) -> Column:
+        return F.struct(left.alias("left"), found.cast("int").alias("found"))
+
+    def one_round(s: Column, r: Column, b: Column, cells: int) -> Column:
+        def cell(k: Column) -> Column:
+            # Spark's shiftright keeps the sign, so buckets follow the order of the digests.
+            return F.call_function("shiftright", k, F.lit(64) - b) * cells + F.pmod(F.xxhash64(k, r % SUBTABLES, F.lit(cells)), F.lit(cells))
+
+        def settle(by_cell: Column) -> Column:
+            # A cell of odd size that is settled held a single digest, beside shared ones.
+            return _once(F.filter(by_cell, _open), lambda rest: state(F.flatten(rest), s["found"] + odd(by_cell) - odd(rest)))
+
+        return F.when(F.size(s["left"]) == 0, s).otherwise(_once(_cells_of(s["left"], cell), settle))
+
+    def rounds(s: Column, b: Column, cells: int) -> Column:
+        return F.aggregate(F.sequence(F.lit(0), F.lit(ROUNDS - 1)), s, lambda s, r: one_round(s, r, b, cells))
+
+    def counted(s: Column) -> Column:
+        of = lambda n: F.transform(F.filter(s["left"], lambda e: e["n"] == n), lambda e: e["k"])
+        rest = _once(of(1), lambda x: _once(of(-1), lambda y: F.size(F.array_except(x, y)) + F.size(F.array_except(y, x))))
+        return s["found"] + F.when(F.size(s["left"]) == 0, 0).otherwise(rest)
 
-    def bucket(_: Column, x: Column, y: Column) -> Column:
-        x, y = F.coalesce(x, none), F.coalesce(y, none)
-        tries = [peel(sketch(x, c), sketch(y, c), c) for c in BUCKET_CELLS]
-        return F.coalesce(*tries, F.size(F.array_except(x, y)) + F.size(F.array_except(y, x)))
+    def peeled(b: Column) -> Column:
+        s = state(F.concat(signed(ours, 1), signed(theirs, -1)), F.lit(0))
+        for cells in BUCKET_CELLS:
+            s = rounds(s, b, cells)
+        return _once(s, counted)
 
-    per = lambda b: F.map_values(F.map_zip_with(_buckets(ours, b), _buckets(theirs, b), bucket))
-    return F.aggregate(_once(bits, per), F.lit(0), lambda a, n: a + n)
+    return _once(bits, peeled)
 
 
 def likeness(ours: Column, our_sketch: Column, theirs: Column, their_sketch: Column) -> Column:
